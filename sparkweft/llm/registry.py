@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, token_counts
+from . import decontamination, packing, pii, token_counts
 
 
 def queries() -> dict:
     return {
         "op2_packing": packing.op2_packing,
         "op7_token_counts": token_counts.op7_token_counts,
+        "op9_pii": pii.op9_pii,
         "op10_decontamination": decontamination.op10_decontamination,
     }
 
