@@ -70,3 +70,18 @@ def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | N
                     yield out
 
     return df.mapInArrow(run, schema)
+
+
+def append(docs: DataFrame, name: str, kind: pa.DataType, sql: str, work: Callable[[pa.Array], pa.Array]) -> DataFrame:
+    """docs with a column `name` (a column of that name gives way): work applied to texts, null ones as empty."""
+    columns = [c for c in docs.columns if c != name]
+    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "_text"):
+                made = work(part.column(len(columns)))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], made.cast(kind)], [*columns, name])
+
+    texts = docs.select(*(f"`{c}`" for c in columns), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    return texts.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in columns) + f", `{name}` {sql}")

@@ -80,29 +80,27 @@ def words(raw: bytes | np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.nd
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def each(texts: pa.Array, table: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Runs of texts as (first index, how many words each text has, hashes of all their words in order)."""
+def runs(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Texts as (first index, their bytes with a space after each, where each ends): RUN bytes, or one longer text."""
     offsets = np.frombuffer(texts.buffers()[1], np.int32 if pa.types.is_string(texts.type) else np.int64)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     begin = 0
     while begin < len(texts):
         end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + RUN, "right")) - 1)
-        if end == begin + 1:
-            h = words(data[offsets[begin] : offsets[end]], table)[2]
-            yield begin, np.array([len(h)]), h
-        else:
-            # A break between texts: the bytes are copied apart.
-            n = np.diff(offsets[begin : end + 1])
-            apart = np.full(int(n.sum()) + len(n), 32, np.uint8)
-            place = np.arange(int(n.sum())) + np.repeat(np.arange(len(n)), n)
-            apart[place] = data[offsets[begin] : offsets[end]]
-            starts, _, h = _hash_run(apart, table)
-            ends = np.cumsum(n + 1)
-            count = np.diff(np.searchsorted(starts, ends), prepend=0)
-            yield begin, count, h
+        n = np.diff(offsets[begin : end + 1])
+        apart = np.full(int(n.sum()) + len(n), 32, np.uint8)
+        apart[np.arange(int(n.sum())) + np.repeat(np.arange(len(n)), n)] = data[offsets[begin] : offsets[end]]
+        yield begin, apart, np.cumsum(n + 1)
         begin = end
 
 
+def each(texts: pa.Array, table: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Runs of texts as (first index, how many words each text has, hashes of all their words in order)."""
+    for begin, line, ends in runs(texts):
+        starts, _, h = words(line, table)
+        yield begin, np.diff(np.searchsorted(starts, ends), prepend=0), h
+
+
 def hash_of(value: str) -> int:
     """A signed 64-bit hash of a string, the same everywhere."""
     import hashlib

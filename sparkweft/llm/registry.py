@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, pii, token_counts
+from . import decontamination, language, packing, pii, token_counts
 
 
 def queries() -> dict:
     return {
         "op2_packing": packing.op2_packing,
+        "op6_language": language.op6_language,
         "op7_token_counts": token_counts.op7_token_counts,
         "op9_pii": pii.op9_pii,
         "op10_decontamination": decontamination.op10_decontamination,
