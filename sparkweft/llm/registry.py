@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, packing, pii, token_counts
+from . import decontamination, language, licenses, packing, pii, token_counts
 
 
 def queries() -> dict:
     return {
+        "op1_licenses": licenses.op1_licenses,
         "op2_packing": packing.op2_packing,
         "op6_language": language.op6_language,
         "op7_token_counts": token_counts.op7_token_counts,
