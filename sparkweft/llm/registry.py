@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, licenses, packing, pii, secret_scan, token_counts
+from . import decontamination, language, licenses, nearest, packing, pii, secret_scan, token_counts
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_licenses": licenses.op1_licenses,
         "op2_packing": packing.op2_packing,
         "op4_secrets": secret_scan.op4_secrets,
+        "op5_nearest": nearest.op5_nearest,
         "op6_language": language.op6_language,
         "op7_token_counts": token_counts.op7_token_counts,
         "op9_pii": pii.op9_pii,
