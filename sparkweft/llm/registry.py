@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, licenses, nearest, packing, pii, secret_scan, token_counts
+from . import decontamination, kneser_ney, language, licenses, nearest, packing, pii, secret_scan, token_counts
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_nearest": nearest.op5_nearest,
         "op6_language": language.op6_language,
         "op7_token_counts": token_counts.op7_token_counts,
+        "op8_lm_scores": kneser_ney.op8_lm_scores,
         "op9_pii": pii.op9_pii,
         "op10_decontamination": decontamination.op10_decontamination,
     }
