@@ -13,9 +13,6 @@ alone, so tasks may run again.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,53 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, hashing
+from .folder import Folder
 
 #: The end of a text as a token: no word has this hash but by chance.
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 #: Bytes of text to a range of words, tokens to a bucket of bigrams, and entries that a task gathers before it sends them.
 RANGE_BYTES, BUCKET, GATHER = 64 << 20, 1 << 22, 1 << 22
-_maps: dict[str, np.ndarray] = {}
-
-
-class Folder:
-    """Arrays as files of the shared folder, whatever file system it is on."""
-
-    def __init__(self, uri: str):
-        self.uri = uri
-
-    def _open(self):
-        from pyarrow import fs
-
-        return fs.FileSystem.from_uri(self.uri)
-
-    def write(self, name: str, values: np.ndarray) -> None:
-        system, path = self._open()
-        system.create_dir(path, recursive=True)
-        spare = f"{path}/.{name}.{uuid.uuid4().hex}"
-        with system.open_output_stream(spare) as out:
-            out.write(np.ascontiguousarray(values).tobytes())
-        system.move(spare, f"{path}/{name}")
-
-    def read(self, name: str, kind) -> np.ndarray:
-        """The array, mapped; a copy on the worker's disk is mapped where the folder isn't local."""
-        from pyarrow import fs
-
-        key = f"{self.uri}/{name}"
-        if key not in _maps:
-            for old in [k for k in _maps if not k.startswith(self.uri)]:
-                del _maps[old]
-            system, path = self._open()
-            path = f"{path}/{name}"
-            if not isinstance(system, fs.LocalFileSystem):
-                copy = os.path.join(tempfile.mkdtemp(prefix="kn-"), name)
-                fs.copy_files(path, copy, source_filesystem=system, destination_filesystem=fs.LocalFileSystem())
-                path = copy
-            _maps[key] = np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
-        return _maps[key]
-
-    def delete(self) -> None:
-        system, path = self._open()
-        system.delete_dir(path)
 
 
 def _tokens(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -265,7 +221,7 @@ def _discounts(n: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame) -> Model:
     """The model of all rows' texts, null ones as empty; without rows every text has probability 1 a token."""
     spark = docs.sparkSession
-    folder = Folder(f"{common.shared_dir(spark)}/kneser-ney-{uuid.uuid4().hex}")
+    folder = Folder.fresh(spark, "kneser-ney")
     texts = common.text_columns(docs).select("text")
     size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0]
     model = Model(folder)

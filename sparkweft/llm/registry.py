@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, kneser_ney, language, licenses, nearest, packing, pii, secret_scan, token_counts
+from . import decontamination, jaccard, kneser_ney, language, licenses, nearest, packing, pii, secret_scan, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_licenses": licenses.op1_licenses,
         "op2_packing": packing.op2_packing,
+        "op3_jaccard_join": jaccard.op3_jaccard_join,
         "op4_secrets": secret_scan.op4_secrets,
         "op5_nearest": nearest.op5_nearest,
         "op6_language": language.op6_language,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontamination": decontamination.ORACLE_SQL}
+    return {"op3_jaccard_join": jaccard.ORACLE_SQL, "op10_decontamination": decontamination.ORACLE_SQL}
