@@ -90,60 +90,67 @@ def _spans(text: str, ranges: list[tuple[int, int]]) -> list[dict]:
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row for each row of docs: doc_id, text, n_words, hits (spans of code points), n_hit (words inside them), items.
+    """docs with `contamination`: n_words, n_hit (words inside windows), n_items, items, items_sha256, contaminated, hits.
 
-    Null and empty texts have no words and no hits. Items without words have no windows; items whose
-    id is null count under the id "null". Repeated rows of docs each give a row; repeated items count once.
+    contaminated: some word is hit, and at least one in twenty. hits are spans of code points. Null and
+    empty texts have no words and no hits. Items without words have no windows; items whose id is null
+    count under the id "null"; repeated items count once. Rows are judged one by one, so repeated rows
+    and null ids are no matter; an empty table stays empty; a column named contamination gives way.
     """
     bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = bench.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, text string, n_words long, _ranges array<struct<a:long,b:long>>, _items array<string>"
-    out = common.text_columns(docs).select("*", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<struct<a:long,b:long>>").alias("_ranges"), F.lit(None).cast("array<string>").alias("_items"))
+    columns = [c for c in docs.columns if c != "contamination"]
+    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    kept = ", ".join(f"`{c}` {types[c]}" for c in columns)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    out = docs.select(*(f"`{c}`" for c in columns), text.alias(TEXT), F.lit(None).cast(STATE_SQL).alias("contamination"))
     for k in range(blocks):
         part = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else bench
         patterns = windows([(r.item, r.text) for r in part.collect()], width)  # of bounded size: a block
-        name = hashlib.sha256(repr(sorted(patterns)).encode()).hexdigest() + str(width)
+        name = hashlib.sha256(repr(sorted(patterns)).encode()).hexdigest()
+        last = k == blocks - 1
 
-        def work(batch: pa.RecordBatch, patterns=patterns, name=name) -> pa.RecordBatch:
+        def run(batches, patterns=patterns, name=name, last=last):
             made = _automaton(patterns, name)
-            n, ranges, items = [], [], []
-            for text, old, known in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                count, found, ids = _scan(text, made)
-                n.append(count)
-                ranges.append([{"a": a, "b": b} for a, b in _merge([(r["a"], r["b"]) for r in old or []] + found)])
-                items.append(sorted(ids.union(known or [])))
-            made_of = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(ranges, made_of), pa.array(items, pa.list_(pa.string()))], ["doc_id", "text", "n_words", "_ranges", "_items"])
+            for batch in batches:
+                for some in common.slices(batch, TEXT):
+                    texts = some.column(len(columns)).to_pylist()
+                    found = [_found(t, made, old) for t, old in zip(texts, some.column(len(columns) + 1).to_pylist(), strict=True)]
+                    state = pa.array([_finished(t, *x) for t, x in zip(texts, found, strict=True)], RESULT) if last else pa.array([{"n": n, "ranges": [{"a": a, "b": b} for a, b in r], "items": i} for n, r, i in found], STATE)
+                    carried = some.columns[: len(columns)] if last else some.columns[: len(columns) + 1]
+                    yield pa.RecordBatch.from_arrays([*carried, state], [*columns, *([] if last else [TEXT]), "contamination"])
+
+        out = out.mapInArrow(run, f"{kept}, contamination {RESULT_SQL}" if last else f"{kept}, `{TEXT}` string, contamination {STATE_SQL}")
+    return out
 
-        out = common.map_texts(out, work, schema)
-    return _finished(out, kind)
 
+TEXT = "contamination_text"
+STATE = pa.struct([("n", pa.int64()), ("ranges", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), ("items", pa.list_(pa.string()))])
+STATE_SQL = "struct<n:long,ranges:array<struct<a:long,b:long>>,items:array<string>>"
+RESULT = pa.struct([
+    ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.string())), ("items_sha256", pa.string()),
+    ("contaminated", pa.bool_()), ("hits", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+])
+RESULT_SQL = "struct<n_words:long,n_hit:long,n_items:long,items:array<string>,items_sha256:string,contaminated:boolean,hits:array<struct<start:long,end:long>>>"
 
-def _finished(out: DataFrame, kind: str) -> DataFrame:
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ranges = [[(r["a"], r["b"]) for r in x or []] for x in batch.column(3).to_pylist()]
-        spans = [_spans(t.as_py(), r) if r else [] for t, r in zip(batch.column(1), ranges, strict=True)]
-        n_hit = [sum(b - a for a, b in r) for r in ranges]
-        digest = [hashlib.sha256(",".join(x or []).encode()).hexdigest() for x in batch.column(4).to_pylist()]
-        made_of = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n_hit, pa.int64()), batch.column(4), pa.array(digest), pa.array(spans, made_of)], ["doc_id", "n_words", "n_hit", "items", "items_sha256", "hits"])
 
-    return common.map_texts(out, work, f"doc_id {kind}, n_words long, n_hit long, items array<string>, items_sha256 string, hits array<struct<start:long,end:long>>")
+def _found(text: str, automaton, old: dict | None) -> tuple[int, list[tuple[int, int]], list[str]]:
+    """Words, merged ranges and items of a text, with what earlier blocks found."""
+    n, ranges, items = _scan(text, automaton)
+    before = old or {"ranges": [], "items": []}
+    return n, _merge([(r["a"], r["b"]) for r in before["ranges"]] + ranges), sorted(items.union(before["items"]))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """scan() with n_items and contaminated: some word is hit, and at least one in twenty."""
-    found = scan(docs, benchmark, width)
-    return found.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items_sha256",
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "hits",
-    )
+def _finished(text: str, n: int, ranges: list[tuple[int, int]], items: list[str]) -> dict:
+    hit = sum(b - a for a, b in ranges)
+    digest = hashlib.sha256(",".join(items).encode()).hexdigest()
+    return {"n_words": n, "n_hit": hit, "n_items": len(items), "items": items, "items_sha256": digest, "contaminated": hit > 0 and 20 * hit >= n, "hits": _spans(text, ranges)}
 
 
 def op10_decontamination(spark, sf_dir):
-    return decontaminate(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark")).drop("hits")
+    found = scan(common.table(spark, sf_dir, "documents").select("doc_id", "text"), common.table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", *(f"contamination.{c}" for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")))
 
 
 ORACLE_SQL = r"""

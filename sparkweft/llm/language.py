@@ -171,6 +171,15 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 KIND = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("shares", pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))])
 
 
+def accepted(found: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of identify() in a known language with at least that share, without `language`.
+
+    Where nothing was learned, the rows that have a letter.
+    """
+    known = (F.col("language.lang_pred") != UNKNOWN) & (F.col("language.score") >= least) if model.languages else F.coalesce(F.col("text"), F.lit("")).rlike(r"\pL")
+    return found.where(known).drop("language")
+
+
 def held_out(mod: int = 4, is_: int = 2):
     return F.crc32(F.col("doc_id").cast("string")) % mod == is_
 

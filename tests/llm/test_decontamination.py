@@ -24,18 +24,23 @@ TEXTS = [None, "", "One, two three one two three!", "x " * 300 + "what IS the ca
 
 @pytest.mark.parametrize("block", [1 << 20, 30])
 def test_against_brute_force(spark, block):
-    docs = spark.createDataFrame(list(enumerate(TEXTS)) + [(2, TEXTS[2])], "doc_id long, text string").selectExpr("*", "'x' AS n_hit", "'y' AS item_id")
-    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    rows = D.scan(docs, bench, 13, block)
-    got = sorted((r.doc_id, r.n_words, r.n_hit, len(r.items)) for r in rows.collect())
+    docs = spark.createDataFrame(list(enumerate(TEXTS)) + [(2, TEXTS[2])], "doc_id long, text string").selectExpr("*", "'x' AS contamination", "'y' AS item_id")
+    rows = D.scan(docs, bench_of(spark), 13, block).collect()
+    assert {r.item_id for r in rows} == {"y"}
+    got = sorted((r.doc_id, r.contamination.n_words, r.contamination.n_hit, r.contamination.n_items) for r in rows)
+    assert [r.contamination.contaminated for r in rows] == [brute(TEXTS[r.doc_id], ITEMS)[3] for r in rows]
     want = sorted((i, *brute(t, ITEMS)[:3]) for i, t in [*enumerate(TEXTS), (2, TEXTS[2])])
     assert got == want
 
 
+def bench_of(spark):
+    return spark.createDataFrame(ITEMS, "item_id long, text string")
+
+
 def test_spans_point_into_the_original(spark):
     docs = spark.createDataFrame([(1, "Ünï — ONE, two;THREE. x")], "doc_id long, text string")
     bench = spark.createDataFrame([(2, "one two three")], "item_id long, text string")
-    [row] = D.decontaminate(docs, bench).collect()
-    assert [docs.first().text[s.start : s.end] for s in row.hits] == ["ONE, two;THREE"]
-    assert row.contaminated and D.decontaminate(docs, bench.limit(0)).first().n_hit == 0
-    assert D.decontaminate(docs.limit(0), bench).count() == 0
+    found = D.scan(docs, bench).first().contamination
+    assert [docs.first().text[s.start : s.end] for s in found.hits] == ["ONE, two;THREE"]
+    assert found.contaminated and found.items == ["2"] and D.scan(docs, bench.limit(0)).first().contamination.n_hit == 0
+    assert D.scan(docs.limit(0), bench).count() == 0
