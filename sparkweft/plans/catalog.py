@@ -1,11 +1,530 @@
-"""The queries of the graph engine over the star schema tables."""
+"""The registered queries over the driver's tables, each with its SQL where there is any."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from ..functions import scalars as X
+from ..operators import build, depends, layout, metrics, query, retrieve, traverse, validate
+from . import star
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+@dataclass(frozen=True)
+class Entry:
+    run: Query
+    sql: str | None
+
+
+_ENTRIES: dict[str, Entry] = {}
+
+
+def _entry(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(run: Query) -> Query:
+        _ENTRIES[name] = Entry(run, sql)
+        return run
+
+    return keep
+
+
+def _star(name: str, sql: str, recursive: bool = False):
+    """A query of the star graph; its SQL may use N and E."""
+    return _entry(name, f"WITH {'RECURSIVE ' if recursive else ''}{star.SQL.strip()}{'' if sql.lstrip().startswith(',') else ' '}{sql}")
+
+
+def queries() -> dict[str, Query]:
+    return {name: e.run for name, e in _ENTRIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: e.sql for name, e in _ENTRIES.items() if e.sql}
+
+
+PRIMITIVE = ["CONTAINS", "CALLS", "IMPORTS", "INHERITS"]
+_BASIC = ("id", "type", "name", "path", "is_synthetic")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traverse.multi_hop_traversal(star.graph(spark, sf_dir, derived=False).kept(), "file:c0", 2, PRIMITIVE).withColumnRenamed("id", "node_id")
+
+
+# Counts and statistics.
+
+
+@_star("graph_nodes_by_type", "SELECT type, count(*) AS n FROM N GROUP BY type")
+def _(spark, d):
+    return star.graph(spark, d).nodes.groupBy("type").agg(F.count("*").alias("n"))
+
+
+@_star("graph_edges_by_type", "SELECT type, count(*) AS n FROM E GROUP BY type")
+def _(spark, d):
+    return star.graph(spark, d).edges.groupBy("type").agg(F.count("*").alias("n"))
+
+
+@_star("graph_statistics", """, r AS (
+  SELECT 'nodes:' || type AS statistic, count(*) AS value FROM N GROUP BY type UNION ALL SELECT 'edges:' || type, count(*) FROM E GROUP BY type
+  UNION ALL SELECT 'total_nodes', count(*) FROM N UNION ALL SELECT 'total_edges', count(*) FROM E
+  UNION ALL SELECT 'analyzer_entity_count', count(*) FROM N WHERE NOT is_synthetic UNION ALL SELECT 'synthetic_node_count', count(*) FROM N WHERE is_synthetic
+  UNION ALL SELECT 'primitive_relationship_count', count(*) FROM E WHERE NOT is_derived UNION ALL SELECT 'derived_relationship_count', count(*) FROM E WHERE is_derived
+  UNION ALL SELECT 'unresolved_calls_count', count(*) FROM E WHERE type = 'CALLS' AND target LIKE 'unresolved:%')
+SELECT statistic, CAST(value AS BIGINT) AS value FROM r""")
+def _(spark, d):
+    return query.statistics_table(star.graph(spark, d))
+
+
+# Lookups and filters.
+
+
+@_star("find_nodes_exact", "SELECT id, type, name FROM N WHERE name = 'Customer#000000042'")
+def _(spark, d):
+    return query.find_nodes_by_name(star.graph(spark, d), "Customer#000000042").select("id", "type", "name")
+
+
+@_star("find_nodes_substring", "SELECT id, type, name FROM N WHERE contains(lower(name), 'red w') AND type = 'Function'")
+def _(spark, d):
+    return query.find_nodes_by_name(star.graph(spark, d), "ReD W", "function", exact=False).select("id", "type", "name")
+
+
+@_star("nodes_of_type", "SELECT id, type, name, path, is_synthetic FROM N WHERE type = 'Directory'")
+def _(spark, d):
+    return query.find_nodes_by_type(star.graph(spark, d), "directory").select(*_BASIC)
+
+
+@_star("repository_entities", "SELECT id, type, name, path, is_synthetic FROM N WHERE NOT is_synthetic")
+def _(spark, d):
+    return query.get_repository_entities(star.graph(spark, d)).select(*_BASIC)
+
+
+@_star("synthetic_nodes", "SELECT id, type, name, path, is_synthetic FROM N WHERE is_synthetic")
+def _(spark, d):
+    return query.get_synthetic_nodes(star.graph(spark, d)).select(*_BASIC)
+
+
+@_star("relationships_by_type", "SELECT source, target, type FROM E WHERE type = 'IMPORTS'")
+def _(spark, d):
+    return query.get_relationships_by_type(star.graph(spark, d), "imports").select("source", "target", "type")
+
+
+@_star("relationships_filtered", "SELECT source, target, type FROM E WHERE source = 'file:c0' AND type = 'DEPENDS_ON'")
+def _(spark, d):
+    return query.get_relationships(star.graph(spark, d), source_id="file:c0", rel_type="DEPENDS_ON").select("source", "target", "type")
+
+
+@_star("parallel_edges", "SELECT source, target, count(*) AS edges FROM E GROUP BY source, target HAVING count(*) > 1")
+def _(spark, d):
+    return query.parallel_edges(star.graph(spark, d))
+
+
+@_star("visible_subgraph", "SELECT type, count(*) AS n FROM E WHERE NOT is_derived AND target NOT LIKE 'unresolved:%' AND type IN ('CALLS', 'IMPORTS') GROUP BY type")
+def _(spark, d):
+    return query.visible(star.graph(spark, d), True, True, ["CALLS", "IMPORTS"]).edges.groupBy("type").agg(F.count("*").alias("n"))
+
+
+@_star("model_predicates", "SELECT type, is_derived, NOT is_derived AS is_primitive, type = 'CALLS' AND target LIKE 'unresolved:%' AS is_unresolved, count(*) AS n FROM E GROUP BY ALL")
+def _(spark, d):
+    edges = star.graph(spark, d).edges.select("source", "target", "type", "properties")
+    return build.flagged(edges).groupBy("type", "is_derived", "is_primitive", "is_unresolved").agg(F.count("*").alias("n"))
+
+
+# Neighbours and dependencies.
+
+
+def _neighbours(name: str, sql: str, run):
+    @_star(name, sql)
+    def _(spark, d):
+        return run(star.graph(spark, d))
+
+
+_neighbours("neighbors_out", "SELECT DISTINCT target AS id FROM E WHERE source = 'file:c0'", lambda g: traverse.get_neighbors(g, "file:c0", "out"))
+_neighbours("neighbors_in", "SELECT DISTINCT source AS id FROM E WHERE target = 'file:s1'", lambda g: traverse.get_neighbors(g, "file:s1", "in"))
+_neighbours("neighbors_both", "SELECT target AS id FROM E WHERE source = 'file:s1' UNION SELECT source FROM E WHERE target = 'file:s1'", lambda g: traverse.get_neighbors(g, "file:s1"))
+_neighbours("dependencies", "SELECT DISTINCT target AS id FROM E WHERE source = 'file:c0' AND type IN ('DEPENDS_ON', 'IMPORTS')", lambda g: traverse.get_dependencies(g, "file:c0"))
+_neighbours("dependents", "SELECT DISTINCT source AS id FROM E WHERE target = 'file:s0' AND type IN ('DEPENDS_ON', 'IMPORTS')", lambda g: traverse.get_dependents(g, "file:s0"))
+
+_SOME_ORDER = "(SELECT min(id) FROM N WHERE type = 'Class' AND name = '7')"
+_SOME_PART = "(SELECT min(id) FROM N WHERE type = 'Function')"
+
+
+def _of(graph, kind: str, name: str | None = None) -> str:
+    found = graph.nodes.where(F.col("type") == kind)
+    return (found if name is None else found.where(F.col("name") == name)).agg(F.min("id")).first()[0]
+
+
+@_star("callees_all", f"SELECT DISTINCT target AS id FROM E WHERE source = {_SOME_ORDER} AND type = 'CALLS'")
+def _(spark, d):
+    g = star.graph(spark, d)
+    return traverse.get_callees(g, _of(g, "Class", "7"))
+
+
+@_star("callees_resolved", f"SELECT DISTINCT target AS id FROM E WHERE source = {_SOME_ORDER} AND type = 'CALLS' AND target NOT LIKE 'unresolved:%'")
+def _(spark, d):
+    g = star.graph(spark, d)
+    return traverse.get_callees(g, _of(g, "Class", "7"), include_unresolved=False)
+
+
+@_star("callers", f"SELECT DISTINCT source AS id FROM E WHERE target = {_SOME_PART} AND type = 'CALLS'")
+def _(spark, d):
+    g = star.graph(spark, d)
+    return traverse.get_callers(g, _of(g, "Function"))
+
+
+@_star("derive_depends_on", "SELECT sf AS source_file, tf AS target_file, reasons, weight FROM D")
+def _(spark, d):
+    edges = star.graph(spark, d, derived=False).edges
+    return depends.file_dependencies(edges).select("source_file", "target_file", F.array_join("reasons", ",").alias("reasons"), "weight")
+
+
+# Paths and contexts.
+
+_REACH = """, steps AS (SELECT source AS a, target AS b FROM E0 UNION SELECT target, source FROM E0),
+reach AS (SELECT 'file:c0' AS id, 0 AS hop UNION SELECT b, hop + 1 FROM reach JOIN steps ON a = id WHERE hop < {n}),
+near AS (SELECT id, min(hop) AS hop FROM reach GROUP BY id)
+"""
+
+
+@_star("multi_hop_2_both", _REACH.format(n=2) + "SELECT id, hop FROM near", recursive=True)
+def _(spark, d):
+    return traverse.multi_hop_traversal(star.graph(spark, d, derived=False).kept(), "file:c0", 2)
+
+
+@_star("multi_hop_3_contains_out", """, reach AS (SELECT 'repo:0' AS id, 0 AS hop UNION SELECT target, hop + 1 FROM reach JOIN E ON source = id AND type = 'CONTAINS' WHERE hop < 3)
+SELECT id, min(hop) AS hop FROM reach GROUP BY id""", recursive=True)
+def _(spark, d):
+    return traverse.multi_hop_traversal(star.graph(spark, d).kept(), "repo:0", 3, ["CONTAINS"], "out")
+
+
+@_star("multi_hop_batch", """, steps AS (SELECT source AS a, target AS b FROM E0 WHERE target NOT LIKE 'unresolved:%' AND type <> 'CONTAINS'),
+reach AS (SELECT id AS seed, id, 0 AS hop FROM N WHERE type = 'File' UNION SELECT seed, b, hop + 1 FROM reach JOIN steps ON a = id WHERE hop < 2)
+SELECT seed, id, min(hop) AS hop FROM reach GROUP BY seed, id""", recursive=True)
+def _(spark, d):
+    g = star.graph(spark, d, derived=False).kept()
+    seeds = g.nodes.where("type = 'File'").select(F.col("id").alias("seed"))
+    return traverse.hops(g, seeds, 2, ["CALLS", "IMPORTS", "INHERITS"], "out", include_unresolved=False)
+
+
+_CONTEXT = """, steps AS (SELECT source AS a, target AS b FROM E0 UNION SELECT target, source FROM E0),
+reach AS (SELECT 'file:c0' AS id, 0 AS hop UNION SELECT b, hop + 1 FROM reach JOIN steps ON a = id WHERE hop < 2 AND b NOT LIKE 'unresolved:%'),
+near AS (SELECT id, min(hop) AS hop FROM reach GROUP BY id)
+"""
+
+
+@_star("expand_context_nodes", _CONTEXT + "SELECT N.id, type, name, hop FROM N JOIN near USING (id)", recursive=True)
+def _(spark, d):
+    found = traverse.expand_context(star.graph(spark, d, derived=False).kept(), "file:c0", 2)
+    return found.nodes.join(found.hop_distances, "id").select("id", "type", "name", "hop")
+
+
+@_star("expand_context_edges", _CONTEXT + "SELECT source, target, type FROM E0 WHERE source IN (SELECT id FROM near) AND target IN (SELECT id FROM near)", recursive=True)
+def _(spark, d):
+    return traverse.expand_context(star.graph(spark, d, derived=False).kept(), "file:c0", 2).edges.select("source", "target", "type")
+
+
+@_star("structural_context", _CONTEXT.replace("hop < 2", "hop < 1") + "SELECT N.id, type FROM N JOIN near USING (id)", recursive=True)
+def _(spark, d):
+    return query.get_structural_context(star.graph(spark, d, derived=False).kept(), "file:c0").nodes.select("id", "type")
+
+
+@_star("shortest_path_contains", """, walk AS (SELECT 'repo:1' AS id, 0 AS depth, 'repo:1' AS path UNION ALL SELECT target, depth + 1, path || '>' || target FROM walk JOIN E0 ON source = id AND type = 'CONTAINS')
+SELECT id, depth, path FROM walk""", recursive=True)
+def _(spark, d):
+    found = traverse.shortest_paths(star.graph(spark, d, derived=False).kept(), "repo:1", ["CONTAINS"])
+    return found.select("id", "depth", F.array_join("path", ">").alias("path"))
+
+
+@_star("shortest_path_length", """, walk AS (SELECT 'file:c0' AS id, 0 AS depth UNION SELECT target, depth + 1 FROM walk JOIN E0 ON source = id WHERE depth < 3)
+SELECT id, min(depth) AS depth FROM walk GROUP BY id""", recursive=True)
+def _(spark, d):
+    return traverse.shortest_paths(star.graph(spark, d, derived=False).kept(), "file:c0", max_depth=3).select("id", "depth")
+
+
+# Building and validation.
+
+
+def _analysis(spark, d):
+    """The star graph without its placeholders and derived edges, as entities and relationships."""
+    g = star.graph(spark, d, derived=False).kept()
+    entities = g.nodes.where("NOT is_synthetic").select("id", "type", "name", "path", "location", "properties", F.col("node_ord").alias("ord"))
+    return entities, g.edges.select("id", "source", "target", "type", "location", "properties", F.abs("edge_ord").alias("ord"))
+
+
+@_star("build_graph", "SELECT type, is_synthetic, count(*) AS n FROM N GROUP BY ALL")
+def _(spark, d):
+    built = build.from_tables(*_analysis(spark, d))
+    return built.nodes.groupBy("type", "is_synthetic").agg(F.count("*").alias("n"))
+
+
+@_star("placeholder_nodes", "SELECT id, name, name AS raw_call FROM N WHERE is_synthetic")
+def _(spark, d):
+    entities, relationships = _analysis(spark, d)
+    return build.placeholders(entities, build.flagged(relationships)).select(F.col("target").alias("id"), F.col("raw_call").alias("name"), "raw_call")
+
+
+@_star("build_violations", "SELECT 'NodeNotFoundError' AS error, count(*) AS n FROM E0 WHERE source IN (SELECT id FROM N WHERE name IN ('NATION_3', 'NATION_7')) OR target IN (SELECT id FROM N WHERE name IN ('NATION_3', 'NATION_7'))")
+def _(spark, d):
+    entities, relationships = _analysis(spark, d)
+    lacking = entities.where(~F.col("name").isin("NATION_3", "NATION_7"))
+    return build.violations(lacking, build.flagged(relationships)).groupBy("error").agg(F.count("*").alias("n"))
+
+
+@_star("dangling_edges", "SELECT source, target, type FROM E0 WHERE source IN (SELECT id FROM N WHERE name = 'NATION_3') OR target IN (SELECT id FROM N WHERE name = 'NATION_3')")
+def _(spark, d):
+    g = star.graph(spark, d, derived=False)
+    ids = g.nodes.where("name <> 'NATION_3'").select("id")
+    whole = query.induced(g.edges, ids).select("key")
+    return g.edges.join(whole, "key", "left_anti").select("source", "target", "type")
+
+
+@_star("validation_issues", """SELECT level, category, element_id FROM (
+  SELECT 'ERROR' AS level, 'missing_source' AS category, 'rel:' || lower(type) || ':' || source || '->' || target AS element_id FROM E WHERE source = 'dir:3'
+  UNION ALL SELECT 'ERROR', 'missing_target', 'rel:' || lower(type) || ':' || source || '->' || target FROM E WHERE target = 'dir:3'
+  UNION ALL SELECT 'ERROR', 'entity_type', id FROM N WHERE id = 'dir:4' UNION ALL SELECT 'ERROR', 'module_entity', id FROM N WHERE id = 'dir:4'
+  UNION ALL SELECT 'ERROR', 'node_name', id FROM N WHERE id = 'dir:5'
+  UNION ALL SELECT 'WARNING', 'synthetic_node', id FROM N WHERE is_synthetic AND CAST(split_part(id, ':', 2) AS BIGINT) % 7 = 0)""")
+def _(spark, d):
+    g = star.graph(spark, d)
+    broken = g.nodes.where("id <> 'dir:3'").withColumns({
+        "type": F.when(F.col("id") == "dir:4", "Module").otherwise(F.col("type")), "name": F.when(F.col("id") == "dir:5", " ").otherwise(F.col("name")),
+        "resolved": F.when(F.col("is_synthetic") & (F.try_to_number(X.id_part("id", 1), F.lit("9999999999")) % 7 == 0), True).otherwise(F.col("resolved")),
+    })
+    return validate.validation_issues(type(g)(broken, g.edges, g.metadata)).select("level", "category", "element_id")
+
+
+@_star("upsert_nodes", "SELECT type, count(*) AS n, count(path) AS with_path FROM N GROUP BY type")
+def _(spark, d):
+    g = star.graph(spark, d)
+    again = g.nodes.where("type = 'File'").withColumn("extra", F.lit('{"seen":true}'))
+    return build.upsert(type(g)(g.nodes.withColumn("path", F.when(F.col("type") != "File", F.col("path"))), g.edges), again).nodes.groupBy("type").agg(F.count("*").alias("n"), F.count("path").alias("with_path"))
+
+
+# Scalar functions.
+
+
+@_entry("normalize_path", "SELECT page_id, CASE WHEN p = '' THEN '.' ELSE p END AS path FROM (SELECT page_id, regexp_replace(replace(url, '\\', '/'), '^/+|/+$', '', 'g') AS p FROM pages)")
+def _(spark, d):
+    return star.tables(spark, d, "pages")[0].select("page_id", X.normalize_rel_path("url").alias("path"))
+
+
+@_entry("module_name_derivation", r"""SELECT page_id, regexp_replace(replace(regexp_replace(regexp_replace(url || '/__init__.py', '^/+|/+$', '', 'g'), '\.py$', ''), '/', '.'), '(^|\.)__init__$', '') AS module FROM pages""")
+def _(spark, d):
+    return star.tables(spark, d, "pages")[0].select("page_id", X.module_name(F.concat("url", F.lit("/__init__.py"))).alias("module"))
+
+
+@_star("id_split_qualified_name", "SELECT id, CASE WHEN len(string_split(id, ':')) >= 3 THEN split_part(id, ':', 3) ELSE name END AS qualified_name, CASE WHEN id LIKE 'file:%' THEN substr(id, 6) WHEN split_part(id, ':', 1) IN ('class', 'func') THEN split_part(id, ':', 2) END AS file FROM N")
+def _(spark, d):
+    nodes = star.graph(spark, d, derived=False).nodes
+    return nodes.select("id", X.qualified_name(F.lit(""), "id", "name").alias("qualified_name"), X.file_of_id("id").alias("file"))
+
+
+@_entry("line_count", "SELECT doc_id, CAST(len(text) - len(replace(text, chr(10), '')) + CASE WHEN text <> '' AND right(text, 1) <> chr(10) THEN 1 ELSE 0 END AS BIGINT) AS lines FROM documents")
+def _(spark, d):
+    return star.tables(spark, d, "documents")[0].select("doc_id", X.line_count("text").alias("lines"))
+
+
+@_entry("line_slice", "SELECT doc_id, array_to_string(string_split(text, chr(10))[2:3], chr(10)) || CASE WHEN len(string_split(text, chr(10))) > 3 THEN chr(10) ELSE '' END AS part FROM documents")
+def _(spark, d):
+    return star.tables(spark, d, "documents")[0].select("doc_id", X.line_slice("text", F.lit(2), F.lit(3)).alias("part"))
+
+
+@_entry("content_sha256", "SELECT doc_id, sha256(text) AS digest FROM documents")
+def _(spark, d):
+    return star.tables(spark, d, "documents")[0].select("doc_id", F.sha2(F.col("text"), 256).alias("digest"))
+
+
+@_entry("chunk_text_representation", "SELECT doc_id, 'Entity Type: File' || chr(10) || 'Name: ' || source || chr(10) || 'Qualified Name: ' || source || '.' || doc_id || chr(10) || 'File: ' || lang || chr(10) || 'Source Code:' || chr(10) || text AS chunk FROM documents")
+def _(spark, d):
+    docs = star.tables(spark, d, "documents")[0]
+    return docs.select("doc_id", X.chunk_text(F.lit("file"), F.col("source"), F.concat("source", F.lit("."), "doc_id"), F.col("lang"), F.lit(""), F.lit(None).cast("string"), F.col("text")).alias("chunk"))
+
+
+@_star("node_labels", "SELECT id, CASE WHEN len(l) > 18 THEN substr(l, 1, 15) || '...' ELSE l END AS label FROM (SELECT id, CASE WHEN is_synthetic THEN '? ' || name WHEN type = 'Function' THEN name || '()' ELSE name END AS l FROM N)")
+def _(spark, d):
+    return star.graph(spark, d, derived=False).nodes.select("id", X.node_label(F.col("is_synthetic"), F.col("type"), F.col("name"), F.col("raw_call")).alias("label"))
+
+
+@_entry("symbol_last_writer", "SELECT c_nationkey AS path, c_mktsegment AS symbol, max_by(c_custkey, c_custkey) AS id FROM customer GROUP BY ALL")
+def _(spark, d):
+    from ..sources.resolve import symbol_table
+
+    customer = star.tables(spark, d, "customer")[0]
+    entities = customer.select(F.col("c_nationkey").alias("path"), F.col("c_mktsegment").alias("name"), F.col("c_mktsegment").alias("qualified_name"), F.col("c_custkey").alias("id"), F.col("c_custkey").alias("ord"))
+    return symbol_table(entities)
+
+
+@_entry("import_prefix_resolution", """WITH imports AS (SELECT user_id, event_type AS name, min(event_id) AS ord FROM events GROUP BY ALL),
+calls AS (SELECT event_id, user_id, event_type || '.' || CAST(floor(value) AS BIGINT) AS expr FROM events)
+SELECT event_id, min(imports.ord) AS import_ord FROM calls JOIN imports ON calls.user_id = imports.user_id AND (expr = name OR starts_with(expr, name || '.')) GROUP BY event_id""")
+def _(spark, d):
+    from ..sources.resolve import matching_imports
+
+    events = star.tables(spark, d, "events")[0]
+    imports = events.groupBy(F.col("user_id").alias("path"), F.col("event_type").alias("match")).agg(F.min("event_id").alias("ord"))
+    calls = events.select(F.col("event_id").alias("ref"), F.col("user_id").alias("path"), F.concat("event_type", F.lit("."), F.floor("value").cast("string")).alias("expr"))
+    return matching_imports(calls, imports).groupBy(F.col("ref").alias("event_id")).agg(F.min("ord").alias("import_ord"))
+
+
+# Vectors.
+
+_DOT = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
+_COSINE = f"{_DOT} / sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) * list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))"
+
+
+def _chunks(spark, d) -> DataFrame:
+    table = star.tables(spark, d, "embeddings")[0]
+    return table.select(F.col("vec_id").alias("entity_id"), F.col("label").cast("string").alias("entity_type"), "embedding")
+
+
+def _first_vector(chunks: DataFrame) -> list[float]:
+    return list(chunks.where("entity_id = 0").first().embedding)
+
+
+@_entry("vector_top_k", f"SELECT b.vec_id AS entity_id, round({_COSINE}, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id = 0 ORDER BY {_COSINE} DESC, b.vec_id LIMIT 10")
+def _(spark, d):
+    chunks = _chunks(spark, d)
+    return retrieve.search(chunks, _first_vector(chunks), 10).select("entity_id", F.round("score", 6).alias("score"))
+
+
+@_entry("vector_top_k_filtered", f"SELECT b.vec_id AS entity_id, round({_COSINE}, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id = 0 AND b.label IN (1, 2) ORDER BY {_COSINE} DESC, b.vec_id LIMIT 10")
+def _(spark, d):
+    chunks = _chunks(spark, d)
+    return retrieve.search(chunks, _first_vector(chunks), 10, ["1", "2"]).select("entity_id", F.round("score", 6).alias("score"))
+
+
+_RANKED = f"SELECT a.vec_id AS query_id, b.vec_id AS entity_id, a.label AS wanted, b.label AS found, {_COSINE} AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COSINE} DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 10 = 0"
+
+
+def _ranked(spark, d, k: int = 10) -> DataFrame:
+    chunks = _chunks(spark, d)
+    queries = chunks.where("entity_id % 10 = 0").select(F.col("entity_id").alias("query_id"), "embedding", F.col("entity_type").alias("wanted"))
+    found = retrieve.search_batch(chunks, queries, k, exclude_same=True)
+    return found.join(queries.select("query_id", "wanted"), "query_id").withColumn("relevant", F.col("entity_type") == F.col("wanted"))
+
+
+@_entry("vector_top_k_batch", f"SELECT query_id, entity_id, CAST(rank AS INT) AS rank, round(s, 6) AS score FROM ({_RANKED}) WHERE rank <= 10")
+def _(spark, d):
+    return _ranked(spark, d).select("query_id", "entity_id", "rank", F.round("score", 6).alias("score"))
+
+
+@_entry("precision_at_k", f"SELECT query_id, round(sum(CASE WHEN wanted = found THEN 1 ELSE 0 END) / 10.0, 6) AS precision FROM ({_RANKED}) WHERE rank <= 10 GROUP BY query_id")
+def _(spark, d):
+    return metrics.precision_at_k(_ranked(spark, d), 10).select("query_id", F.round("precision", 6).alias("precision"))
+
+
+@_entry("recall_at_k", f"SELECT query_id, round(sum(CASE WHEN wanted = found AND rank <= 10 THEN 1 ELSE 0 END) * 1.0 / sum(CASE WHEN wanted = found THEN 1 ELSE 0 END), 6) AS recall FROM ({_RANKED}) GROUP BY query_id")
+def _(spark, d):
+    chunks = _chunks(spark, d)
+    of_label = chunks.groupBy("entity_type").agg((F.count("*") - 1).alias("total"))
+    totals = chunks.where("entity_id % 10 = 0").join(of_label, "entity_type").select(F.col("entity_id").alias("query_id"), "total")
+    return metrics.recall_at_k(_ranked(spark, d), totals, 10).select("query_id", F.round("recall", 6).alias("recall"))
+
+
+@_entry("mrr", f"SELECT round(avg(r), 6) AS mrr FROM (SELECT query_id, coalesce(1.0 / min(CASE WHEN wanted = found THEN rank END), 0) AS r FROM ({_RANKED}) WHERE rank <= 10 GROUP BY query_id)")
+def _(spark, d):
+    return metrics.mean_reciprocal_rank(_ranked(spark, d)).select(F.round("mrr", 6).alias("mrr"))
+
+
+@_entry("ndcg", f"""SELECT query_id, round(sum(CASE WHEN wanted = found THEN 1 / log2(rank + 1) ELSE 0 END) / max(ideal), 6) AS ndcg FROM ({_RANKED}),
+(SELECT sum(1 / log2(i + 1)) AS ideal FROM range(1, 11) t(i)) WHERE rank <= 10 GROUP BY query_id""")
+def _(spark, d):
+    return metrics.ndcg_at_k(_ranked(spark, d), 10).select("query_id", F.round("ndcg", 6).alias("ndcg"))
+
+
+@_entry("context_efficiency", f"SELECT query_id, round(sum(CASE WHEN wanted = found THEN 1 ELSE 0 END) * 1.0 / count(*), 6) AS efficiency FROM ({_RANKED}) WHERE rank <= 10 GROUP BY query_id")
+def _(spark, d):
+    return metrics.context_efficiency(_ranked(spark, d)).select("query_id", F.round("efficiency", 6).alias("efficiency"))
+
+
+# Text retrieval.
+
+_BM25 = r"""WITH q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM benchmark WHERE item_id < 5),
+t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), dl AS (SELECT doc_id, count(*) AS len FROM t GROUP BY doc_id), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+st AS (SELECT count(*) AS n, avg(len) AS avg FROM dl),
+s AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg))) AS s FROM q JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (doc_id), st GROUP BY ALL),
+r AS (SELECT item_id, doc_id, s, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 6) DESC, doc_id) AS rank FROM s)
+"""
+
+
+def _documents(spark, d) -> DataFrame:
+    return star.tables(spark, d, "documents")[0].select(F.col("doc_id").alias("entity_id"), "text")
+
+
+def _questions(spark, d) -> DataFrame:
+    return star.tables(spark, d, "benchmark")[0].where("item_id < 5").select(F.col("item_id").alias("query_id"), "text")
+
+
+@_entry("bm25_top_k", _BM25 + "SELECT item_id AS query_id, doc_id AS entity_id, CAST(rank AS INT) AS rank, round(s, 4) AS score FROM r WHERE rank <= 10")
+def _(spark, d):
+    return retrieve.bm25(_documents(spark, d), _questions(spark, d), 10).select("query_id", "entity_id", "rank", F.round("score", 4).alias("score"))
+
+
+_TWO = f"""WITH v AS (SELECT b.vec_id AS id, b.label, {_COSINE} AS s FROM embeddings a, embeddings b WHERE a.vec_id = 0),
+a AS (SELECT id, s FROM (SELECT id, s, row_number() OVER (ORDER BY round(s, 6) DESC, id) AS r FROM v) WHERE r <= 30),
+b AS (SELECT id, 1.0 / (1 + id % 4) AS s FROM v WHERE id % 5 = 0),
+na AS (SELECT id, (s - min(s) OVER ()) / nullif(max(s) OVER () - min(s) OVER (), 0) AS s FROM a), nb AS (SELECT id, (s - min(s) OVER ()) / nullif(max(s) OVER () - min(s) OVER (), 0) AS s FROM b),
+h AS (SELECT coalesce(na.id, nb.id) AS id, 0.6 * coalesce(na.s, 0) + 0.4 * coalesce(nb.s, 0) AS s, CASE WHEN nb.id IS NULL THEN 'semantic' WHEN na.id IS NULL THEN 'structural' ELSE 'both' END AS evidence FROM na FULL JOIN nb ON na.id = nb.id)
+"""
+
+
+@_entry("hybrid_rank", _TWO + "SELECT id AS entity_id, evidence, round(s, 6) AS score FROM (SELECT *, row_number() OVER (ORDER BY round(s, 6) DESC, id) AS r FROM h) WHERE r <= 20")
+def _(spark, d):
+    chunks = _chunks(spark, d)
+    semantic = retrieve.search(chunks, _first_vector(chunks), 30).select(F.lit(0).alias("query_id"), "entity_id", "score")
+    structural = chunks.where("entity_id % 5 = 0").select(F.lit(0).alias("query_id"), "entity_id", (F.lit(1.0) / (1 + F.col("entity_id") % 4)).alias("score"))
+    return retrieve.hybrid(semantic, structural, 0.6, 0.4, 20).select("entity_id", "evidence", F.round("score", 6).alias("score"))
+
+
+@_star("structural_retrieval", """, q AS (SELECT id FROM N WHERE lower(name) IN ('customer', 'nation_3', 'nation_5')), reach AS (SELECT id, 0 AS hop FROM q UNION SELECT target, hop + 1 FROM reach JOIN E0 ON source = id WHERE hop < 2 AND target NOT LIKE 'unresolved:%'),
+r AS (SELECT id, 1.0 / (1 + min(hop)) AS s FROM reach GROUP BY id)
+SELECT 0 AS query_id, id AS entity_id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (ORDER BY s DESC, id) AS k FROM r) WHERE k <= 25""", recursive=True)
+def _(spark, d):
+    g = star.graph(spark, d, derived=False).kept()
+    questions = spark.createDataFrame([(0, "Which customer of NATION_3 or nation_5 is there?")], "query_id int, text string")
+    return retrieve.structural(g, questions, 25, max_hops=2, direction="out").select("query_id", "entity_id", F.round("score", 6).alias("score"))
+
+
+@_star("graph_aware_rank", """, seeds AS (SELECT 'file:c0' AS id, 1.0 AS s UNION ALL SELECT 'file:c1', 0.5), steps AS (SELECT source AS a, target AS b FROM E0 WHERE type IN ('IMPORTS', 'CONTAINS')),
+reach AS (SELECT id AS seed, id, 0 AS hop FROM seeds UNION SELECT seed, b, hop + 1 FROM reach JOIN steps ON a = id WHERE hop < 2), near AS (SELECT seed, id, min(hop) AS hop FROM reach GROUP BY ALL),
+r AS (SELECT near.id, max(s * power(0.5, hop)) AS s FROM near JOIN seeds ON seed = seeds.id GROUP BY near.id)
+SELECT 0 AS query_id, id AS entity_id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (ORDER BY s DESC, id) AS k FROM r) WHERE k <= 15""", recursive=True)
+def _(spark, d):
+    g = star.graph(spark, d, derived=False).kept()
+    seeds = spark.createDataFrame([(0, "file:c0", 1.0), (0, "file:c1", 0.5)], "query_id int, entity_id string, score double")
+    return retrieve.graph_aware(g, seeds, 15, 2, ["IMPORTS", "CONTAINS"], "out").select("query_id", "entity_id", F.round("score", 6).alias("score"))
+
+
+@_entry("context_budget", """WITH r AS (SELECT source, doc_id, len(text) AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents),
+w AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank) AS total FROM r)
+SELECT source AS query_id, count(*) AS parts, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY rank) AS ids FROM w WHERE total <= 20000 GROUP BY source""")
+def _(spark, d):
+    docs = star.tables(spark, d, "documents")[0]
+    ranked = docs.select(F.col("source").alias("query_id"), F.col("doc_id").alias("entity_id"), "text", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("rank"))
+    kept = retrieve.within_budget(ranked, 20_000)
+    return kept.groupBy("query_id").agg(F.count("*").alias("parts"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "entity_id"))), lambda x: x["entity_id"].cast("string")), ",").alias("ids"))
+
+
+# Layout.
+
+
+@_star("label_layers", "SELECT id, CAST(CASE WHEN is_synthetic THEN 5 WHEN type = 'Repository' THEN 0 WHEN type = 'Directory' THEN 1 WHEN type = 'File' THEN 2 ELSE 3 END AS INT) AS level FROM N")
+def _(spark, d):
+    return layout.node_levels(star.graph(spark, d, derived=False).kept())
+
+
+@_star("layout_level_positions", """, r AS (SELECT id, (row_number() OVER (ORDER BY id) - 1) * 3.0 - (count(*) OVER () - 1) * 1.5 AS x FROM N WHERE type = 'Repository'),
+dn AS (SELECT N.id, row_number() OVER (ORDER BY r.x, N.id) - 1 AS i, count(*) OVER () AS n FROM N JOIN E0 ON E0.target = N.id AND E0.type = 'CONTAINS' JOIN r ON r.id = E0.source WHERE N.type = 'Directory')
+SELECT id, x, 0.0 AS y FROM r UNION ALL SELECT id, i * 3.0 - (n - 1) * 1.5, -2.4 FROM dn""")
+def _(spark, d):
+    g = star.graph(spark, d, derived=False).kept()
+    top = g.nodes.where("type IN ('Repository', 'Directory')")
+    return layout.hierarchical_layout(type(g)(top, query.induced(g.edges, top.select("id")), g.metadata))
+
+
+@_star("multipartite_layout", "SELECT id, row_number() OVER (PARTITION BY type ORDER BY id) - 1 - (count(*) OVER (PARTITION BY type) - 1) / 2.0 AS y FROM N WHERE type IN ('Repository', 'Directory')")
+def _(spark, d):
+    g = star.graph(spark, d, derived=False)
+    return layout.compute_layout(type(g)(g.nodes.where("type IN ('Repository', 'Directory')"), g.edges), "multipartite").select("id", "y")
