@@ -200,9 +200,8 @@ def upsert(graph: PropertyGraph, nodes: DataFrame | None = None, edges: DataFram
     if nodes is not None:
         merged_nodes = _merged(graph.nodes, nodes, ["id"], "node_ord", S.NodeAlreadyExistsError)
     if edges is not None:
-        ids = merged_nodes.select("id")
         for end in ("source", "target"):
-            lost = edges.join(ids, F.col(end) == F.col("id"), "left_anti").select(end).head()
+            lost = edges.join(merged_nodes.select(F.col("id").alias(end)), end, "left_anti").select(end).head()
             if lost:
                 raise S.NodeNotFoundError(f"{end.capitalize()} node '{lost[0]}' does not exist in graph.")
         merged_edges = _merged(graph.edges, edges, ["source", "target", "key"], "edge_ord", S.RelationshipAlreadyExistsError)
