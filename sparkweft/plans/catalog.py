@@ -528,3 +528,83 @@ def _(spark, d):
 def _(spark, d):
     g = star.graph(spark, d, derived=False)
     return layout.compute_layout(type(g)(g.nodes.where("type IN ('Repository', 'Directory')"), g.edges), "multipartite").select("id", "y")
+
+
+# Source trees, web pages and streams.
+
+
+def _own_source() -> str:
+    """The source tree at hand: this package."""
+    import sparkweft
+
+    return next(iter(sparkweft.__path__))
+
+
+@_entry("repo_scan")
+def _(spark, d):
+    from ..sources.analyzer import analyze_repository
+
+    return analyze_repository(spark, _own_source()).entities.select("id", "type", "name", "path")
+
+
+@_entry("ast_entities")
+def _(spark, d):
+    from ..sources.analyzer import analyze_repository
+
+    return analyze_repository(spark, _own_source()).entities.where("type IN ('Class', 'Function', 'Method')").select("id", "type", "name", "path", "properties")
+
+
+@_entry("ast_calls")
+def _(spark, d):
+    from ..sources.analyzer import analyze_repository
+
+    return analyze_repository(spark, _own_source()).relationships.where("type = 'CALLS'").select("id", "source", "target", "properties")
+
+
+@_entry("chunk_embeddings")
+def _(spark, d):
+    from ..operators.chunk import HashingEmbedder, chunk_entities, embed
+    from ..sources.analyzer import analyze_repository
+
+    found = analyze_repository(spark, _own_source())
+    return embed(chunk_entities(found.entities, found.contents), HashingEmbedder(128)).select("entity_id", "entity_type", "signature", "embedding")
+
+
+@_entry("web_graph_placeholders", """WITH links AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages)
+SELECT 'unresolved:' || href AS id, href AS raw_call, min(page_id) AS first_page FROM links GROUP BY href""")
+def _(spark, d):
+    links = star.tables(spark, d, "pages")[0].select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
+    entities = links.select(F.concat(F.lit("file:"), "url").alias("id")).distinct()
+    calls = links.select(F.concat(F.lit("file:"), "url").alias("source"), F.concat(F.lit("unresolved:"), "href").alias("target"), F.lit("CALLS").alias("type"), F.lit('{"resolved":false}').alias("properties"), F.col("page_id").alias("ord"))
+    return build.placeholders(entities, build.flagged(calls)).select(F.col("target").alias("id"), "raw_call", F.col("ord").alias("first_page"))
+
+
+@_entry("windowed_event_counts", "SELECT time_bucket(INTERVAL '5 minutes', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def _(spark, d):
+    from ..streaming.ingest import windowed_counts
+
+    return windowed_counts(star.tables(spark, d, "events")[0]).withColumn("total", F.round("total", 4))
+
+
+@_entry("canonical_properties", "SELECT event_id, replace(props, ' ', '') AS props FROM events")
+def _(spark, d):
+    from ..functions.schema import canonical
+
+    return star.tables(spark, d, "events")[0].select("event_id", canonical(F.col("props")).alias("props"))
+
+
+@_star("find_path", """, walk AS (SELECT 'repo:1' AS id, 'repo:1' AS path UNION ALL SELECT target, walk.path || '>' || target FROM walk JOIN E0 ON source = walk.id AND type = 'CONTAINS')
+SELECT path FROM walk WHERE id = (SELECT min(w.id) FROM walk w WHERE w.id LIKE 'file:c%')""", recursive=True)
+def _(spark, d):
+    g = star.graph(spark, d, derived=False).kept()
+    inside = traverse.multi_hop_traversal(g, "repo:1", 2, ["CONTAINS"], "out").where("id LIKE 'file:c%'")
+    path = traverse.find_path(g, "repo:1", inside.agg(F.min("id")).first()[0], ["CONTAINS"])
+    return spark.createDataFrame([(">".join(path),)], "path string")
+
+
+@_entry("context_prompt", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents), w AS (SELECT *, sum(len(text)) OVER (PARTITION BY source ORDER BY rank) AS total FROM r)
+SELECT source AS query_id, 'Context:' || chr(10) || coalesce(string_agg(text, chr(10) || chr(10) ORDER BY rank) FILTER (WHERE total <= 3000), '') || chr(10) || chr(10) || 'Question: what about ' || source AS prompt FROM w GROUP BY source""")
+def _(spark, d):
+    docs = star.tables(spark, d, "documents")[0]
+    ranked = docs.select(F.col("source").alias("query_id"), "text", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("rank"))
+    return retrieve.build_context(ranked, docs.select(F.col("source").alias("query_id"), F.concat(F.lit("what about "), "source").alias("text")).distinct(), 3000)
