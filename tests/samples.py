@@ -1,13 +1,52 @@
-"""A small source tree for tests, and its analysis document."""
+"""A small source tree for tests."""
 
 FILES = {
-    "main.py": "from services.user_service import UserService\n\n\ndef main():\n    service = UserService()\n    user = service.create_user(1)\n    fetched = service.get_user(1)\n    print(fetched)\n\n\nif True:\n    main()\n",
-    "models/__init__.py": '"""Models."""\n',
-    "models/base.py": "class BaseModel:\n    \"\"\"Base.\"\"\"\n    def __init__(self, id: int):\n        self.id = id\n",
-    "models/user.py": "from models.base import BaseModel\n\n\nclass User(BaseModel):\n\n    def __init__(self, id, name):\n        super().__init__(id)\n        self.name = name\n\n    def get_display_name(self) -> str:\n        return self.name\n",
-    "services/__init__.py": '"""Services."""\n',
-    "services/user_service.py": "from models.user import User\n\n\nclass UserService:\n    def __init__(self):\n        self.users = {}\n\n    def create_user(self, user_id) -> User:\n        user = User(user_id, 'x')\n        return user\n\n    def get_user(self, user_id) -> User:\n        user = self.users.get(user_id)\n        user.get_display_name()\n        return user\n",
-}
+    "main.py": (
+        "from farm.orchard import Orchard\n"
+        "\n"
+        "\n"
+        "def harvest():\n"
+        "    orchard = Orchard()\n"
+        "    row = orchard.plant('north')\n"
+        "    basket = orchard.pick('north')\n"
+        "    print(row, basket)\n"
+        "\n"
+        "\n"
+        "harvest()\n"
+    ),
+    "trees/__init__.py": '"""Kinds of trees."""\n',
+    "trees/base.py": 'class Tree:\n    """What grows."""\n\n    def __init__(self, age: int):\n        self.age = age\n',
+    "trees/apple.py": (
+        "from trees.base import Tree\n"
+        "\n"
+        "\n"
+        "class Apple(Tree):\n"
+        "    def __init__(self, age, sort):\n"
+        "        super().__init__(age)\n"
+        "        self.sort = sort\n"
+        "\n"
+        "    def label(self) -> str:\n"
+        "        return self.sort\n"
+    ),
+    "farm/__init__.py": '"""Farms."""\n',
+    "farm/orchard.py": (
+        "from trees.apple import Apple\n"
+        "\n"
+        "\n"
+        "class Orchard:\n"
+        "    def __init__(self):\n"
+        "        self.rows = {}\n"
+        "\n"
+        "    def plant(self, row) -> Apple:\n"
+        "        self.rows[row] = Apple(1, row)\n"
+        "        return self.rows[row]\n"
+        "\n"
+        "    def pick(self, row):\n"
+        "        tree = self.rows.get(row)\n"
+        "        tree.label()\n"
+        "        return tree\n"
+    ),
+}
 
 
 def write(root, files=None):

@@ -9,7 +9,7 @@ from tests import samples
 
 @pytest.fixture(scope="module")
 def sample(spark, tmp_path_factory):
-    root = samples.write(tmp_path_factory.mktemp("tree") / "sample_repo")
+    root = samples.write(tmp_path_factory.mktemp("tree") / "grove")
     return analyze_repository(spark, str(root))
 
 
@@ -25,16 +25,16 @@ def test_golden_counts(sample):
 
 def test_golden_relations(sample):
     assert relations(sample, "CALLS") == {
-        ("file:main.py", "func:main.py:main"), ("func:main.py:main", "class:services/user_service.py:UserService"), ("func:main.py:main", "unresolved:service.create_user"),
-        ("func:main.py:main", "unresolved:service.get_user"), ("func:main.py:main", "unresolved:print"), ("method:models/user.py:User.__init__", "unresolved:super().__init__"),
-        ("method:models/user.py:User.__init__", "unresolved:super"), ("method:services/user_service.py:UserService.create_user", "class:models/user.py:User"),
-        ("method:services/user_service.py:UserService.get_user", "unresolved:self.users.get"), ("method:services/user_service.py:UserService.get_user", "unresolved:user.get_display_name"),
+        ("file:main.py", "func:main.py:harvest"), ("func:main.py:harvest", "class:farm/orchard.py:Orchard"), ("func:main.py:harvest", "unresolved:orchard.plant"),
+        ("func:main.py:harvest", "unresolved:orchard.pick"), ("func:main.py:harvest", "unresolved:print"), ("method:trees/apple.py:Apple.__init__", "unresolved:super().__init__"),
+        ("method:trees/apple.py:Apple.__init__", "unresolved:super"), ("method:farm/orchard.py:Orchard.plant", "class:trees/apple.py:Apple"),
+        ("method:farm/orchard.py:Orchard.pick", "unresolved:self.rows.get"), ("method:farm/orchard.py:Orchard.pick", "unresolved:tree.label"),
     }
-    assert relations(sample, "INHERITS") == {("class:models/user.py:User", "class:models/base.py:BaseModel")}
-    assert relations(sample, "DEPENDS_ON") == {("file:main.py", "file:services/user_service.py"), ("file:models/user.py", "file:models/base.py"), ("file:services/user_service.py", "file:models/user.py")}
-    row = sample.relationships.where("type = 'DEPENDS_ON' AND source = 'file:models/user.py'").first()
+    assert relations(sample, "INHERITS") == {("class:trees/apple.py:Apple", "class:trees/base.py:Tree")}
+    assert relations(sample, "DEPENDS_ON") == {("file:main.py", "file:farm/orchard.py"), ("file:trees/apple.py", "file:trees/base.py"), ("file:farm/orchard.py", "file:trees/apple.py")}
+    row = sample.relationships.where("type = 'DEPENDS_ON' AND source = 'file:trees/apple.py'").first()
     assert json.loads(row.properties) == {"derived": True, "reasons": ["IMPORTS", "INHERITS"], "weight": 2}
-    row = sample.relationships.where("id = 'rel:calls:func:main.py:main->unresolved:print:8:4'").first()
+    row = sample.relationships.where("id = 'rel:calls:func:main.py:harvest->unresolved:print:8:4'").first()
     assert json.loads(row.properties) == {"raw_call": "print", "resolved": False, "confidence": "syntactic_only"}
 
 
@@ -56,15 +56,15 @@ def test_scopes():
 
 def test_scenarios(spark, tmp_path):
     root = samples.write(tmp_path, {
-        "auth.py": "def verify_token(): pass\n", "service.py": "from auth import verify_token\nimport os\n\ndef run():\n    verify_token()\n    os.path.join('a')\n",
-        "nested.py": "def outer():\n    def helper(): pass\n    helper()\ndef another():\n    def helper(): pass\n", ".venv/x.py": "a = 1\n", "empty/readme.txt": "x", "bad.py": "def (",
+        "gate.py": "def admit(): pass\n", "house.py": "from gate import admit\nimport os\n\ndef enter():\n    admit()\n    os.path.join('a')\n",
+        "nested.py": "def day():\n    def tick(): pass\n    tick()\ndef night():\n    def tick(): pass\n", ".venv/x.py": "a = 1\n", "empty/readme.txt": "x", "bad.py": "def (",
     })
     found = analyze_repository(spark, str(root))
     ids = {r.id for r in found.entities.collect()}
-    assert {"func:nested.py:outer.helper", "func:nested.py:another.helper", "dir:empty", "file:bad.py"} <= ids and "file:.venv/x.py" not in ids
-    assert ("func:service.py:run", "func:auth.py:verify_token") in relations(found, "CALLS")
-    assert ("func:service.py:run", "unresolved:os.path.join") in relations(found, "CALLS")
-    assert relations(found, "IMPORTS") == {("file:service.py", "file:auth.py"), ("file:service.py", "module:os")}
+    assert {"func:nested.py:day.tick", "func:nested.py:night.tick", "dir:empty", "file:bad.py"} <= ids and "file:.venv/x.py" not in ids
+    assert ("func:house.py:enter", "func:gate.py:admit") in relations(found, "CALLS")
+    assert ("func:house.py:enter", "unresolved:os.path.join") in relations(found, "CALLS")
+    assert relations(found, "IMPORTS") == {("file:house.py", "file:gate.py"), ("file:house.py", "module:os")}
     assert relations(analyze_repository(spark, str(root), include_derived=False), "DEPENDS_ON") == set()
     with pytest.raises(FileNotFoundError):
         analyze_repository(spark, str(root / "none"))

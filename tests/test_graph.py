@@ -15,7 +15,7 @@ from tests import samples
 
 @pytest.fixture(scope="module")
 def analysis(spark, tmp_path_factory):
-    return analyze_repository(spark, str(samples.write(tmp_path_factory.mktemp("tree") / "sample_repo")))
+    return analyze_repository(spark, str(samples.write(tmp_path_factory.mktemp("tree") / "grove")))
 
 
 @pytest.fixture(scope="module")
@@ -78,7 +78,7 @@ def test_golden_graph(graph):
     assert (stats["total_nodes"], stats["total_edges"], stats["primitive_relationship_count"], stats["derived_relationship_count"], stats["unresolved_calls_count"]) == (26, 35, 32, 3, 7)
     node = graph.get_node("unresolved:print")
     assert node["is_synthetic"] and not node["resolved"] and node["raw_call"] == node["name"] == "print"
-    assert graph.get_relationships("file:main.py", "file:services/user_service.py").count() == 2
+    assert graph.get_relationships("file:main.py", "file:farm/orchard.py").count() == 2
     assert validate.validate_or_raise(graph).summary() == "Validation PASSED: 0 error(s), 0 warning(s)."
 
 
@@ -114,12 +114,12 @@ def test_options_of_the_builder(spark):
 
 
 def test_traversal(graph):
-    assert ids(traverse.get_callers(graph, "func:main.py:main")) == ["file:main.py"]
-    assert ids(traverse.get_callees(graph, "func:main.py:main", include_unresolved=False)) == ["class:services/user_service.py:UserService"]
-    assert ids(traverse.get_dependencies(graph, "file:main.py")) == ["file:services/user_service.py"] == ids(traverse.get_dependencies(graph, "file:main.py", []))
-    assert ids(traverse.get_dependents(graph, "file:models/base.py")) == ["file:models/user.py"]
+    assert ids(traverse.get_callers(graph, "func:main.py:harvest")) == ["file:main.py"]
+    assert ids(traverse.get_callees(graph, "func:main.py:harvest", include_unresolved=False)) == ["class:farm/orchard.py:Orchard"]
+    assert ids(traverse.get_dependencies(graph, "file:main.py")) == ["file:farm/orchard.py"] == ids(traverse.get_dependencies(graph, "file:main.py", []))
+    assert ids(traverse.get_dependents(graph, "file:trees/base.py")) == ["file:trees/apple.py"]
     assert ids(traverse.get_neighbors(graph, "file:main.py", rel_types=[])) == []
-    path = ["repo:sample_repo", "dir:models", "file:models/user.py", "class:models/user.py:User", "method:models/user.py:User.__init__"]
+    path = ["repo:grove", "dir:trees", "file:trees/apple.py", "class:trees/apple.py:Apple", "method:trees/apple.py:Apple.__init__"]
     assert traverse.find_path(graph, path[0], path[-1], ["CONTAINS"]) == path
     assert traverse.find_path(graph, path[-1], path[0]) is None and traverse.find_path(graph, path[0], path[-1], ["CONTAINS"], 3) is None
     assert traverse.find_path(graph, path[0], path[0]) == path[:1]
@@ -128,9 +128,9 @@ def test_traversal(graph):
     with pytest.raises(ValueError):
         traverse.get_neighbors(graph, path[0], "up")
     found = traverse.expand_context(graph, "file:main.py", 1)
-    assert set(ids(found.nodes)) == {"file:main.py", "repo:sample_repo", "func:main.py:main", "file:services/user_service.py"} and found.edges.count() == 5
+    assert set(ids(found.nodes)) == {"file:main.py", "repo:grove", "func:main.py:harvest", "file:farm/orchard.py"} and found.edges.count() == 5
     assert {r.hop for r in traverse.multi_hop_traversal(graph, ["file:main.py"], 0).collect()} == {0}
-    assert query.find_nodes_by_name(graph, "USER", "method", exact=False).count() == 2
+    assert query.find_nodes_by_name(graph, "P", "method", exact=False).count() == 2
     assert query.visible(graph, hide_unresolved=True, hide_derived=True).edges.count() == 25
 
 
@@ -189,10 +189,10 @@ def test_chunks_and_search(spark, analysis, document, graph, tmp_path):
     chunks = chunk_analysis(spark, document, analysis.contents)
     rows = {r.entity_id: r for r in chunks.collect()}
     assert len(rows) == 16 == chunk_graph(graph, analysis.contents).count()
-    method = rows["method:services/user_service.py:UserService.get_user"]
-    assert method.signature == "get_user(self, user_id)" and method.source_code.startswith("    def get_user") and method.qualified_name == "UserService.get_user"
-    assert method.text_representation.startswith("Entity Type: Method\nName: get_user\nQualified Name: UserService.get_user\nFile: services/user_service.py\nSignature: get_user(self, user_id)\nSource Code:\n")
-    assert rows["class:models/user.py:User"].signature == "class User(BaseModel)" and rows["file:main.py"].signature == "main.py"
+    method = rows["method:farm/orchard.py:Orchard.pick"]
+    assert method.signature == "pick(self, row)" and method.source_code.startswith("    def pick") and method.qualified_name == "Orchard.pick"
+    assert method.text_representation.startswith("Entity Type: Method\nName: pick\nQualified Name: Orchard.pick\nFile: farm/orchard.py\nSignature: pick(self, row)\nSource Code:\n")
+    assert rows["class:trees/apple.py:Apple"].signature == "class Apple(Tree)" and rows["file:main.py"].signature == "main.py"
     index = embed(chunks, HashingEmbedder(64))
     save_index(index, str(tmp_path / "index"))
     index = load_index(spark, str(tmp_path / "index"))
@@ -208,7 +208,7 @@ def test_chunks_and_search(spark, analysis, document, graph, tmp_path):
 
 def test_layout(graph):
     places = {r.id: (r.x, round(r.y, 6)) for r in layout.compute_layout(graph).collect()}
-    assert places["repo:sample_repo"] == (0.0, 0.0) and places["dir:models"][1] == -2.4 and places["unresolved:print"][1] == -12.0
+    assert places["repo:grove"] == (0.0, 0.0) and places["dir:trees"][1] == -2.4 and places["unresolved:print"][1] == -12.0
     assert len(places) == 26
     with pytest.raises(ValueError):
         layout.compute_layout(graph, "spring")
