@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
