@@ -2,8 +2,10 @@
 
 Emails, addresses, card and phone numbers are found by their forms. Each value is a protected
 entity. The corpus tells how strongly a term near its mentions reveals it: with document counts
-n(t), n(e) and n(t, e), the disclosure is PMI(t; e) / IC(e), that is log(N n(t,e) / n(t) n(e)) over
-log(N / n(e)); 1 means that whoever sees the term knows the entity. In documents that mention the
+n(t), n(e) and n(t, e), the disclosure is PMI(t; e) / IC(e), that is log(N P(e|t) / n(e)) over
+log(N / n(e)); 1 means that whoever sees the term knows the entity. P(e|t) is smoothed by half a
+document for either outcome, (n(t,e) + 1/2) / (n(t) + 1), so entities of any document frequency are
+judged, and what one document says counts for less than what many say. In documents that mention the
 entity, terms at or above `remove` are removed and those at or above `generalise` are generalised.
 """
 
@@ -34,7 +36,6 @@ _DIGITS = re.compile(r"[^0-9]+")
 @dataclass(frozen=True)
 class Rule:
     window: int = 10  # words on either side of a mention
-    support: int = 3  # documents that have the term near the entity
     remove: float = 0.9
     generalise: float = 0.7
     least: int = 3  # bytes of a term
@@ -117,10 +118,10 @@ def disclosures(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
     texts = common.text_columns(docs)
     mentions = common.cut(common.map_texts(texts, near, "entity long, terms array<long>"))  # a row a document and entity
-    known = mentions.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= rule.support)
-    both = mentions.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= rule.support)
+    known = mentions.groupBy("entity").agg(F.count("*").alias("n_e"))
+    both = mentions.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_te"))
     pairs = common.cut(both.join(known, "entity"))
-    # A filter of fixed size: which slots hold a term worth counting. What passes by chance goes in the join.
+    # A filter of fixed size: which slots hold a term near an entity. What passes by chance goes in the join.
     rows = pairs.select(F.expr(f"pmod(term, {SLOTS})").alias("slot")).groupBy(F.expr("cast(slot DIV 32 AS INT)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 32 AS INT)))").alias("bits")).collect()
     marks = np.zeros(SLOTS // 32, np.uint32)
     for r in rows:
@@ -141,11 +142,11 @@ def disclosures(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
                 total[term] = total.get(term, 0) + c
         return pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int64()), pa.array(total.values(), pa.int64()), pa.array([0] * len(total), pa.int64())], ["term", "n", "rows"])
 
-    if not rows:  # nothing is near an entity often enough
+    if not rows:  # nothing is near an entity
         return pairs.select("entity", "term", F.lit(1.0).alias("score"))
     seen = common.map_texts(texts, count, "term long, n long, rows long").groupBy("term").agg(F.sum("n").alias("n_t"))
     n_docs = float(docs.count())
-    pmi = F.log(F.lit(n_docs) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
+    pmi = F.log(F.lit(n_docs) * (F.col("n_te") + 0.5) / ((F.col("n_t") + 1) * F.col("n_e")))
     ic = F.log(F.lit(n_docs) / F.col("n_e"))
     scored = pairs.join(seen, "term").select("entity", "term", F.when(ic > 0, pmi / ic).otherwise(0.0).alias("score"))
     return common.cut(scored.where(F.col("score") >= rule.generalise))

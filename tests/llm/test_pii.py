@@ -59,3 +59,15 @@ def test_revealing_terms_go(spark, limit):
             assert r.text == texts[r.doc_id] and r.pii.spans == ""
     assert [r.text for r in rows if r.doc_id == 200] == [None]
     assert P.sanitise(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("limit", [1000, 0])
+def test_an_entity_in_one_document(spark, limit):
+    rows = [(i, f"the harbour was calm and some people walked there on day {i} of the year") for i in range(200)]
+    rows += [(300, "the harbour was calm and Zbigniewska walked there, write to j.z@mail.example for the key"), (301, "some people saw Quellmann and +49 30 1234567 there"), (302, "some people rang +49 (30) 1234567 there")]
+    rows += [(303, "the calm Quellmann walked on day 400 of the year")]
+    got = {r.doc_id: r for r in P.sanitise(spark.createDataFrame(rows, "doc_id long, text string"), P.Rule(), limit).collect()}
+    assert "Zbigniewska" not in got[300].text and "[EMAIL]" in got[300].text and "the harbour was calm and" in got[300].text
+    assert "Quellmann" not in got[301].text and "some people" in got[301].text  # the number stands in two documents
+    assert got[300].pii.n_term >= 1 and got[302].pii.n_phone == 1
+    assert [got[i].text for i, t in rows if i < 300 or i == 303] == [t for i, t in rows if i < 300 or i == 303]
