@@ -8,12 +8,16 @@ texts, and packing makes sequences of them.
 from __future__ import annotations
 
 import uuid
+from fractions import Fraction
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkweft.llm import common, decontamination, jaccard, language, packing, pii
 
+#: Near duplicates of the pipeline: five words and 0.8. op3_jaccard_join keeps the contract's four words and 0.85.
+NEAR = jaccard.Rule(5, Fraction(80, 100))
+
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs whose language the model knows and that holds at least half of the text."""
@@ -23,7 +27,7 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest doc_id, of each group of linked documents."""
-    return jaccard.distinct(docs)
+    return jaccard.distinct(docs, NEAR)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

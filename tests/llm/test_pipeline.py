@@ -74,3 +74,25 @@ def test_repeated_rows_and_empty_tables(spark):
     for _, stage in C.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
     assert decontamination.scan(docs, docs.selectExpr("doc_id AS item_id", "text").limit(0)).count() == 4
+
+
+def test_near_duplicates_by_five_words_and_four_fifths(spark):
+    def shingles(text, k):
+        w = text.split()
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+
+    def alike(a, b, k):
+        a, b = shingles(a, k), shingles(b, k)
+        return len(a & b) / len(a | b)
+
+    words = [f"w{i}" for i in range(100)]
+    changed = lambda *at: " ".join("other" if i in at else w for i, w in enumerate(words))
+    # Two changes are near by five words at 0.8, not by four at 0.85; three changes are not near.
+    rows = [(1, changed()), (2, changed(40, 60)), (3, changed(20, 50, 80)), (4, "x " + changed(10, 30, 70, 90))]
+    assert alike(rows[0][1], rows[1][1], 5) >= 0.8 and alike(rows[0][1], rows[1][1], 4) < 0.85
+    links = {(a, b) for a, s in rows for b, t in rows if a < b and alike(s, t, 5) >= 0.8}
+    assert links == {(1, 2)}
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    made = C.drop_near_duplicates(spark, docs, SF)
+    assert sorted(r.doc_id for r in made.collect()) == [1, 3, 4]
+    assert sorted(r.doc_id for r in jaccard.distinct(docs).collect()) == [1, 2, 3, 4]  # op 3's own rule stays
