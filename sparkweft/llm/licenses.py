@@ -1,13 +1,17 @@
 """Licence notices in texts, by Dice coefficient over word bigrams.
 
-Texts and templates are normalised to words of letters and digits in lower case. Where a text has
-bigrams of a template, runs of them (up to GAP words apart) are passages. A passage is compared with
-those templates whose size allows the asked coefficient: for sizes a and b, Dice is at most
-2 min(a, b) / (a + b), so b must lie between a t / (2 - t) and a (2 - t) / t.
+Texts and templates are normalised to words of letters and digits in lower case. The places of each
+template's own bigrams in a text form runs of that template, and the best window of a run is compared
+with it. For sizes a and b, Dice is at most 2 min(a, b) / (a + b), so a window holds between
+b t / (2 - t) and b (2 - t) / t different bigrams, at least b t / (2 - t) of them the template's, and at
+most 2 b (1 / t - 1) others: a run ends where more lie between two of its bigrams, and one with too
+few is no passage. Of windows that overlap, the one that explains most of the text stays.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,8 +19,8 @@ from pyspark.sql import functions as F
 
 from . import common, hashing
 
-#: The least coefficient, and how many words a passage may hold between two bigrams of templates.
-LEAST, GAP = 0.8, 3
+#: The least coefficient.
+LEAST = 0.8
 
 # Notices and texts of public licences.
 TEMPLATES: dict[str, list[str]] = {
@@ -53,10 +57,17 @@ class Templates:
         self.sets = [(name, frozenset(_pairs(hashing.words(t.encode(), hashing.WORDS)[2]).tolist())) for name in sorted(texts) for t in texts[name]]
         self.sets = [x for x in self.sets if x[1]]
         self.sizes = [len(s) for _, s in self.sets]
-        #: A passage of fewer bigrams is too short for every template.
-        self.floor = min(self.sizes, default=1) * least / (2 - least)
+        #: The fewest bigrams that a passage shares with a template, the most that it holds, and the most others in it.
+        self.fewest = np.array([math.ceil(b * least / (2 - least) - 1e-9) for b in self.sizes])
+        self.most = [int(b * (2 - least) / least + 1e-9) for b in self.sizes]
+        self.others = [int(2 * b * (1 / least - 1) + 1e-9) for b in self.sizes]
         known = np.array(sorted(set().union(*(s for _, s in self.sets))), np.uint64)
         self.known = known if len(known) else np.zeros(1, np.uint64)
+        #: The templates of each known bigram, one after another, and where each one's begin.
+        entries = sorted((x, k) for k, (_, s) in enumerate(self.sets) for x in s)
+        self.of = np.array([k for _, k in entries], np.int64)
+        self.begin = np.searchsorted(np.array([x for x, _ in entries], np.uint64), np.append(self.known, self.known[-1:]), "left")
+        self.begin[-1] = len(entries)
         self.mask = np.zeros(1 << 16, bool)
         self.mask[(known & np.uint64(0xFFFF)).astype(np.int64)] = True
 
@@ -66,25 +77,71 @@ class Templates:
         at = np.minimum(np.searchsorted(self.known, pairs[maybe]), len(self.known) - 1)
         return maybe[self.known[at] == pairs[maybe]]
 
-    def best(self, passage: set[int]) -> tuple[float, str] | None:
-        """The coefficient and name of the most similar template; of equals, the name that sorts first."""
-        a, found = len(passage), None
-        for (name, template), b in zip(self.sets, self.sizes, strict=True):
-            if 2 * min(a, b) < self.least * (a + b):
-                continue  # the size alone rules it out
-            dice = 2 * len(passage & template) / (a + b)
-            if dice >= self.least and (found is None or dice > found[0]):
-                found = dice, name
-        return found
-
-
-def _passages(at: np.ndarray, gap: int) -> list[tuple[int, int]]:
-    """Runs of bigram places, first and last."""
-    breaks = np.flatnonzero(np.diff(at) > gap)
-    return list(zip(at[np.concatenate([[0], breaks + 1])].tolist(), at[np.concatenate([breaks, [len(at) - 1]])].tolist(), strict=True))
+    def notices(self, pairs: np.ndarray, at: np.ndarray) -> list[tuple[float, str, int, int]]:
+        """Coefficient, name, first and last bigram of each notice, in order; at: the places of templates' bigrams."""
+        known = np.searchsorted(self.known, pairs[at])
+        n = self.begin[known + 1] - self.begin[known]
+        of = self.of[np.repeat(self.begin[known] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        places = np.repeat(at, n)
+        found: list[tuple[float, str, int, int, int]] = []
+        for k in np.flatnonzero(np.bincount(of, minlength=len(self.sets)) >= self.fewest).tolist():
+            own = places[of == k]
+            if len(own):
+                breaks = np.flatnonzero(np.diff(own) > self.others[k] + 1) + 1
+                for run in np.split(own, breaks):
+                    found += self._windows(k, pairs, run)
+        # Most bigrams shared, weighed by the coefficient; of equals the name that sorts first, then the first place.
+        found.sort(key=lambda x: (-x[4] * x[0], x[1], x[2]))
+        kept: list[tuple[float, str, int, int]] = []
+        for dice, name, a, b, _ in found:
+            if all(b + 1 < c or d + 1 < a for _, _, c, d in kept):  # a bigram's second word is the next one's first
+                kept.append((dice, name, a, b))
+        return sorted(kept, key=lambda x: x[2])
+
+    def _windows(self, k: int, pairs: np.ndarray, run: np.ndarray) -> list[tuple[float, str, int, int, int]]:
+        """The best window of a run, and those of what lies before and behind it."""
+        out, todo = [], [run]
+        while todo:
+            run = todo.pop()
+            best = self._best(k, pairs, run) if len(run) >= self.fewest[k] else None
+            if best:
+                out.append((best[0], self.sets[k][0], *best[1:]))
+                todo += [run[run < best[1] - 1], run[run > best[2] + 1]]
+        return out
+
+    def _best(self, k: int, pairs: np.ndarray, run: np.ndarray) -> tuple[float, int, int, int] | None:
+        """Coefficient, first and last bigram and bigrams shared of the best window that begins and ends in the run."""
+        low, b, best = int(run[0]), self.sizes[k], None
+        line = pairs[low : int(run[-1]) + 1]
+        order = np.argsort(line, kind="stable")
+        before = np.full(len(line), -1)  # where the same bigram stood last
+        same = line[order[1:]] == line[order[:-1]]
+        before[order[1:][same]] = order[:-1][same]
+        mine = np.zeros(len(line), bool)
+        mine[run - low] = True
+        for start in (run - low).tolist():
+            # As far as the window can hold different bigrams: the first part, doubled until it is too large.
+            width = 2 * self.most[k]
+            while True:
+                fresh = before[start : start + width] < start
+                size = np.cumsum(fresh)
+                if size[-1] > self.most[k] or start + width >= len(line):
+                    break
+                width *= 2
+            inside = mine[start : start + len(size)]
+            shared = np.cumsum(fresh & inside)
+            if shared[-1] < self.fewest[k]:
+                continue
+            dice = np.where(inside, 2 * shared / (size + b), 0.0)
+            end = int(np.argmax(dice))
+            if dice[end] >= self.least and (best is None or dice[end] > best[0]):
+                best = float(dice[end]), low + start, low + start + end, int(shared[end])
+                if best[0] == 1:
+                    break
+        return best
 
 
-def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, least: float = LEAST, gap: int = GAP) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, least: float = LEAST) -> DataFrame:
     """docs with `licences`: licence, dice, start and end (code points) of each notice, in order.
 
     Null and empty texts have none. Rows are judged one by one, so repeated rows and null ids are no
@@ -105,15 +162,12 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, least:
             hit = known.hits(pairs)
             doc = np.searchsorted(ends, starts, "right")
             hit = hit[doc[hit] == doc[hit + 1]]
+            bounds = np.searchsorted(doc[hit], np.arange(len(ends) + 1))
             for i in np.unique(doc[hit]).tolist():
                 low, raw = (int(ends[i - 1]) if i else 0), line
-                for a, b in _passages(hit[doc[hit] == i], gap):
-                    if b - a + 1 < known.floor:
-                        continue
-                    found = known.best(set(pairs[a : b + 1].tolist()))
-                    if found:
-                        place = lambda x: int(((raw[low:x] & 0xC0) != 0x80).sum())  # noqa: B023, E731
-                        out[begin + i].append({"licence": found[1], "dice": found[0], "start": place(int(starts[a])), "end": place(int(stops[b + 1]))})
+                place = lambda x: int(((raw[low:x] & 0xC0) != 0x80).sum())  # noqa: B023, E731
+                for dice, name, a, b in known.notices(pairs, hit[bounds[i] : bounds[i + 1]]):
+                    out[begin + i].append({"licence": name, "dice": dice, "start": place(int(starts[a])), "end": place(int(stops[b + 1]))})
         return pa.array(out, KIND)
 
     return common.append(docs, "licences", KIND, "array<struct<licence:string,dice:double,start:long,end:long>>", work)

@@ -39,3 +39,19 @@ def test_against_all_windows(spark):
     assert [(x.licence, x.start) for x in by[4]] == [("GPL-3.0", 6)]
     assert [x.licence for x in by[5]] == ["MIT"] and by[5][0].dice < 1
     assert L.scan(docs.limit(0)).count() == 0
+
+
+def test_notices_beside_others_and_common_words(spark):
+    texts = {
+        "The rest of the page. Released under the MIT License.": ["MIT"],
+        "Released under the MIT License. Licensed under CC BY 4.0.": ["MIT", "CC-BY-4.0"],
+        "Code: Licensed under the MIT License. Text: Licensed under CC BY 4.0.": ["MIT", "CC-BY-4.0"],
+        "Licensed under the MIT License. See the license for details.": ["MIT"],
+        "of the x. " * 50 + L.TEMPLATES["MIT"][2] + " in the " * 50: ["MIT"],
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in L.scan(docs).collect()}
+    for i, (text, want) in enumerate(texts.items()):
+        assert [x.licence for x in got[i].licences] == want and all(x.dice == 1 for x in got[i].licences), text
+    one = got[3].licences[0]
+    assert got[3].text[one.start : one.end] == "Licensed under the MIT License"
