@@ -55,3 +55,14 @@ def test_notices_beside_others_and_common_words(spark):
         assert [x.licence for x in got[i].licences] == want and all(x.dice == 1 for x in got[i].licences), text
     one = got[3].licences[0]
     assert got[3].text[one.start : one.end] == "Licensed under the MIT License"
+
+
+def test_full_texts_and_headers(spark):
+    want = ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0", "BSD-3-Clause", "BSD-2-Clause", "Unlicense", "AGPL-3.0", "ISC", "LGPL-3.0"]
+    texts = [(name, f"Some words of ours. {max(L.TEMPLATES[name], key=len)} And more of them.") for name in want]
+    texts += [("GPL-2.0", "# " + L.TEMPLATES["GPL-2.0"][1] + " x = 1"), ("LGPL-2.1", L.TEMPLATES["LGPL-2.1"][0])]
+    bsd = max(L.TEMPLATES["BSD-3-Clause"], key=len)
+    texts.append(("BSD-3-Clause", bsd.replace("the University nor", "Grove and Orchard Company Limited nor")))
+    got = {r.doc_id: r.licences for r in L.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")).collect()}
+    for i, (name, _) in enumerate(texts):
+        assert name in {x.licence for x in got[i]} and got[i][0].licence == name, (name, got[i])
