@@ -1,6 +1,7 @@
 """Secrets in texts, with a random forest that removes false positives.
 
-Candidates are runs of key characters that have a digit and are long, or that follow an assignment.
+Candidates are runs of key characters that have a digit and are long, or that follow an assignment
+(spaces or not), and quoted values of assignments up to their closing quotes.
 Features: length, character transitions (classes, and a bigram model of the corpus itself), coverage
 by the corpus's dictionary, the path and the neighbouring words. The forest is trained from labelled
 findings: a table given by the caller, or the bounded set that made_findings() writes by rule.
@@ -29,6 +30,8 @@ DICTIONARY, WORD = 20_000, 4
 SAMPLE, TREES, DEPTH = 20_000, 40, 8
 NEAR = 40  # characters on either side that hold the neighbouring words
 _KEY = np.array([48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c in b"+/_-" for c in range(256)])
+#: A quoted value of an assignment, on one line.
+_QUOTED = re.compile(r"""[=:][ \t]*(?:"((?:\\.|[^"\\\r\n])++)"|'((?:\\.|[^'\\\r\n])++)')""")
 _DIGIT = np.array([48 <= c <= 57 for c in range(256)])
 
 # Words whose neighbourhood speaks for a secret, or against one.
@@ -89,20 +92,26 @@ def candidates(text: str) -> list[tuple[int, int]]:
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     long = ends - starts >= ASSIGNED
     starts, ends = starts[long], ends[long]
+    values = [m.span(m.lastindex) for m in _QUOTED.finditer(text)] if '"' in text or "'" in text else []
+    values = [(a, b) for a, b in values if b - a >= ASSIGNED]
     if not len(starts):
-        return []
+        return values
     digits = np.concatenate([[0], np.cumsum(_DIGIT[raw])])
+    # The last byte that is no space, at or before each place.
+    solid = np.maximum.accumulate(np.where((raw != 32) & (raw != 9), np.arange(len(raw)), 0))
     last = np.where(starts > 0, raw[starts - 1], 0)
     quoted = ((last == 34) | (last == 39)) & (starts > 1)
-    before = np.where(quoted, raw[np.maximum(starts - 2, 0)], last)
-    wide = quoted & (before == 32) & (starts > 2)
-    before = np.where(wide, raw[np.maximum(starts - 3, 0)], before)
+    before = np.where(starts > 0, raw[solid[np.maximum(np.where(quoted, starts - 2, starts - 1), 0)]], 0)
     assigned = (before == 61) | (before == 58)
-    keep = ((ends - starts >= LONG) & (digits[ends] > digits[starts])) | assigned
+    sure = (ends - starts >= LONG) & (digits[ends] > digits[starts])
+    keep = sure | assigned
     if not keep.any():
-        return []
+        return values
     point = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-    return list(zip(point[starts[keep]].tolist(), point[ends[keep]].tolist(), strict=True))
+    heads = {a for a, _ in values}
+    # A quoted value takes the place of the run at its beginning, unless that is long.
+    runs = [(a, b) for a, b, x in zip(point[starts[keep]].tolist(), point[ends[keep]].tolist(), sure[keep].tolist(), strict=True) if x or a not in heads]
+    return sorted({*runs, *values})
 
 
 def corpus_model(docs: DataFrame) -> Corpus:
@@ -160,6 +169,7 @@ def made_findings(n: int = 3000, seed: int = 7) -> list[tuple[str, str, str, str
         out.append(rng.choice([
             (draw(hexa, rng.choice([16, 20, 32, 40, 64])), path(), f"{prose()} {name}{link}{quote}", f"{quote} {prose()}", 1),
             (draw(alnum, rng.randrange(10, 41)), path(), f"{prose()} {name}{link}{quote}", f"{quote} {prose()}", 1),
+            (rng.choice(lower + upper) + draw(digits, 2) + draw(alnum + "!@#.$%-", rng.randrange(5, 20)), path(), f"{prose()} {name}{rng.choice([' = ', ': ', '=', ':'])}\"", f"\" {prose()}", 1),
             ("AKIA" + draw(upper + digits, 16), path(), prose() + " ", " " + prose(), 1),
             ("ghp_" + draw(alnum, 36), path(), prose() + " ", " " + prose(), 1),
         ]))
@@ -172,6 +182,8 @@ def made_findings(n: int = 3000, seed: int = 7) -> list[tuple[str, str, str, str
             (f"{word()}/{word()}/{word()}{rng.randrange(9)}", path(), f"{prose()} path: ", " " + prose(), 0),
             (rng.choice(["changeme", "xxxxxxxx", "your_password_here", "placeholder", "EXAMPLEKEY123"]), "docs/example.md", f"{prose()} {name}{link}{quote}", f"{quote} {prose()}", 0),
             (word() + word(), path(), f"{prose()}:", " " + prose(), 0),
+            (word() + word(), path(), f"{prose()}{rng.choice([': ', ' = '])}", " " + prose(), 0),
+            (f"{prose().capitalize()}{rng.choice(['.', ',', '!', ''])}", path(), f"{prose()}{rng.choice([': ', ' = ', '='])}\"", f"\" {prose()}", 0),
             (f"{word()}_{word()}", path(), f"{prose()} name{link}", " " + prose(), 0),
             (f"2{draw(digits, 3)}-0{draw('123456789', 1)}-1{draw(digits, 1)}T00", path(), f"{prose()} version ", " " + prose(), 0),
         ]))
