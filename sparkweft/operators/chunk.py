@@ -82,14 +82,14 @@ class Embedder(Protocol):
 class HashingEmbedder:
     """Feature hashing of words and their pairs: the default where no model is at hand."""
 
-    def __init__(self, dimension: int = 768, longest: int = 512):
-        self.dimension, self.longest = dimension, longest
+    def __init__(self, dimension: int = 768):
+        self.dimension = dimension
 
     def __call__(self, texts: Sequence[str]) -> list[list[float]]:
         return [self._vector(t or "") for t in texts]
 
     def _vector(self, text: str) -> list[float]:
-        words = re.findall(r"[A-Za-z]+|[0-9]+", text.lower())[: self.longest]
+        words = re.findall(r"[A-Za-z]+|[0-9]+", text.lower())
         out = [0.0] * self.dimension
         for feature in [*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))]:
             h = int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8).digest(), "little")

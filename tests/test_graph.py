@@ -230,3 +230,9 @@ def test_contexts_and_experiments(spark):
 
     rows = retrieve.run_experiment({"good": Good(), "bad": Bad()}, asked).collect()
     assert sorted((r.method, r.entity_id or "", r.error or "") for r in rows) == [("bad", "", "no model"), ("good", "a", ""), ("good", "b", "")]
+
+
+def test_every_word_of_a_long_text_is_embedded():
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(600)]
+    one, other = HashingEmbedder(64)([" ".join(words), " ".join([*words, "harvest", "orchard"])])
+    assert one != other and abs(sum(x * x for x in other) - 1) < 1e-9
