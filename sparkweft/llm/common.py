@@ -32,6 +32,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.get()
 
 
+def free(name: str, columns: list[str]) -> str:
+    """The name, or one like it that none of the columns has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder; a lost executor doesn't lose it."""
     shared_dir(df.sparkSession)
@@ -79,9 +87,10 @@ def append(docs: DataFrame, name: str, kind: pa.DataType, sql: str, work: Callab
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, given):
                 made = work(part.column(len(columns)))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], made.cast(kind)], [*columns, name])
 
-    texts = docs.select(*(f"`{c}`" for c in columns), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    given = free("_text", columns)
+    texts = docs.select(*(f"`{c}`" for c in columns), F.coalesce(F.col("text").cast("string"), F.lit("")).alias(given))
     return texts.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in columns) + f", `{name}` {sql}")

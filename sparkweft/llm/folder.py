@@ -3,14 +3,28 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import struct
 import uuid
+from collections import OrderedDict
 
 import numpy as np
 
 from . import common
 
-_maps: dict[str, np.ndarray] = {}
+#: Arrays that a worker holds mapped, and bytes of those that it had to read whole because the folder isn't a local path.
+MAPS, HELD = 512, 256 << 20
+_HEADER = struct.Struct("<8sq")  # the kind of the entries, and how many
+_maps: OrderedDict[str, np.ndarray] = OrderedDict()
+
+
+def _kept(key: str, values: np.ndarray) -> np.ndarray:
+    """values, kept under the key; what was used least recently goes."""
+    _maps[key] = values
+    read = sum(a.nbytes for a in _maps.values() if not isinstance(a, np.memmap)) if not isinstance(values, np.memmap) else 0
+    while len(_maps) > MAPS or (read > HELD and len(_maps) > 1):
+        _, old = _maps.popitem(last=False)
+        read -= 0 if isinstance(old, np.memmap) else old.nbytes
+    return values
 
 
 class Folder:
@@ -29,30 +43,51 @@ class Folder:
         return fs.FileSystem.from_uri(self.uri)
 
     def write(self, name: str, values: np.ndarray) -> None:
+        """Under a name of its own first, so that a task that runs again, or twice, leaves one whole file."""
         system, path = self._open()
         system.create_dir(path, recursive=True)
         spare = f"{path}/.{name}.{uuid.uuid4().hex}"
         with system.open_output_stream(spare) as out:
-            out.write(np.ascontiguousarray(values).tobytes())
+            out.write(_HEADER.pack(values.dtype.str.encode(), len(values)) + np.ascontiguousarray(values).tobytes())
         system.move(spare, f"{path}/{name}")
 
     def read(self, name: str, kind) -> np.ndarray:
-        """The array, mapped; a copy on the worker's disk is mapped where the folder isn't local."""
+        """The array, mapped; empty, of the kind given, if it was never written."""
         from pyarrow import fs
 
         key = f"{self.uri}/{name}"
-        if key not in _maps:
-            for old in [k for k in _maps if not k.startswith(self.uri)]:
-                del _maps[old]
-            system, path = self._open()
-            path = f"{path}/{name}"
-            if not isinstance(system, fs.LocalFileSystem):
-                copy = os.path.join(tempfile.mkdtemp(prefix="kn-"), name)
-                fs.copy_files(path, copy, source_filesystem=system, destination_filesystem=fs.LocalFileSystem())
-                path = copy
-            _maps[key] = np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
-        return _maps[key]
+        if key in _maps:
+            _maps.move_to_end(key)
+            return _maps[key]
+        system, path = self._open()
+        path = f"{path}/{name}"
+        if system.get_file_info(path).type == fs.FileType.NotFound:
+            return np.zeros(0, kind)  # not kept: another task may write it yet
+        if isinstance(system, fs.LocalFileSystem):
+            with open(path, "rb") as f:
+                stored, n = _HEADER.unpack(f.read(_HEADER.size))
+            stored = np.dtype(stored.rstrip(b"\0").decode())
+            return _kept(key, np.memmap(path, stored, "r", _HEADER.size, (n,)) if n else np.zeros(0, stored))
+        with system.open_input_stream(path) as f:
+            raw = f.read()
+        stored, n = _HEADER.unpack_from(raw)
+        return _kept(key, np.frombuffer(raw, np.dtype(stored.rstrip(b"\0").decode()), n, _HEADER.size))
+
+    def piece(self, name: str, kind, begin: int, end: int) -> np.ndarray:
+        """Entries begin to end; of a file that can't be mapped only these are read."""
+        from pyarrow import fs
+
+        system, path = self._open()
+        if isinstance(system, fs.LocalFileSystem) or f"{self.uri}/{name}" in _maps:
+            return self.read(name, kind)[begin:end]
+        kind = np.dtype(kind)
+        with system.open_input_file(f"{path}/{name}") as f:
+            f.seek(_HEADER.size + begin * kind.itemsize)
+            return np.frombuffer(f.read((end - begin) * kind.itemsize), kind)
 
     def delete(self) -> None:
+        for key in [k for k in _maps if k.startswith(self.uri)]:
+            del _maps[key]
         system, path = self._open()
-        system.delete_dir(path)
+        if os.path.basename(path) and system.get_file_info(path).type.name == "Directory":
+            system.delete_dir(path)

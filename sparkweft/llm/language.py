@@ -21,8 +21,10 @@ from . import common, hashing
 
 #: N-grams in a run; rounds of EM; shares below LEAST are dropped together; what a language more costs, in log(runs).
 UNIT, ROUNDS, LEAST, COST = 48, 8, 0.01, 1.0
-#: Entries of the model, over all languages; slots of one language at most and at least.
-ENTRIES, MOST_SLOTS, LEAST_SLOTS = 1 << 20, 1 << 16, 1 << 10
+#: Slots of a language: the model has SLOTS floats, 256 KiB, for each and goes to every worker. So it grows with the languages, not with the documents.
+SLOTS = 1 << 16
+#: Languages that a model has at most (256 MiB).
+LANGUAGES = 1024
 UNKNOWN = "und"
 _LETTERS = np.array([c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256)], np.uint8)
 
@@ -32,18 +34,14 @@ class Model:
     languages: list[str]
     table: np.ndarray  # slots x languages: log probabilities
 
-    @property
-    def slots(self) -> int:
-        return len(self.table)
 
-
-def _grams(line: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
+def _grams(line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of letters, and the slot of the n-gram around each."""
     letters = _LETTERS[line]
     at = np.flatnonzero(letters != 32)
     apart = np.concatenate([[32], letters, [32]]).astype(np.uint32)
     code = (apart[at] << np.uint32(16)) | (apart[at + 1] << np.uint32(8)) | apart[at + 2]
-    return at, ((code * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64) & (slots - 1)
+    return at, ((code * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64)
 
 
 def _blocks(line: np.ndarray):
@@ -52,34 +50,38 @@ def _blocks(line: np.ndarray):
 
 
 def train(docs: DataFrame) -> Model:
-    """The model of all rows with a label; null labels and texts add nothing, repeated rows count each time."""
+    """The model of all rows with a label; null labels and texts add nothing, repeated rows count each time.
+
+    More than LANGUAGES different labels are an error, since the model goes to every worker.
+    """
     labelled = common.text_columns(docs, F.col("lang").cast("string").alias("lang")).where("lang IS NOT NULL").select("lang", "text")
-    languages = sorted(r.lang for r in labelled.select("lang").distinct().collect())
-    slots = MOST_SLOTS
-    while slots > LEAST_SLOTS and slots * max(1, len(languages)) > ENTRIES:
-        slots //= 2
+    languages = sorted(r.lang for r in labelled.select("lang").distinct().limit(LANGUAGES + 1).collect())
+    if len(languages) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    number = {name: i for i, name in enumerate(languages)}
 
     def run(batches):
-        total: dict[str, np.ndarray] = {}
+        total = np.zeros(len(languages) * SLOTS, np.int64)
         for batch in batches:
             for part in common.slices(batch):
-                names = part.column(0).to_pylist()
+                of = np.array([number[name] for name in part.column(0).to_pylist()], np.int64)
                 for begin, line, ends in hashing.runs(part.column(1)):
                     for at, block in _blocks(line):
-                        place, slot = _grams(block, slots)
-                        doc = np.searchsorted(ends, place + at, "right") + begin
-                        kinds, index = np.unique(np.array(names, object)[doc], return_inverse=True) if len(ends) > 1 else (np.array(names[begin : begin + 1], object), np.zeros(len(doc), np.int64))
-                        counts = np.bincount(index * slots + slot, minlength=len(kinds) * slots).reshape(len(kinds), slots)
-                        for kind, c in zip(kinds, counts, strict=True):
-                            total[kind] = total.get(kind, 0) + c
-        for kind, c in total.items():
-            at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], ["lang", "slot", "n"])
-
-    counted = labelled.mapInArrow(run, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
-    table = np.full((slots, len(languages)), 0.5)
+                        place, slot = _grams(block)
+                        key = of[np.searchsorted(ends, place + at, "right") + begin] * SLOTS + slot
+                        if len(total) <= 4 * len(key):
+                            total += np.bincount(key, minlength=len(total))
+                        else:
+                            found, n = np.unique(key, return_counts=True)
+                            total[found] += n
+        at = np.flatnonzero(total)
+        for some in np.array_split(at, max(1, len(at) // SLOTS)):
+            yield pa.RecordBatch.from_arrays([pa.array(some // SLOTS, pa.int32()), pa.array(some % SLOTS, pa.int32()), pa.array(total[some], pa.int64())], ["lang", "slot", "n"])
+
+    counted = labelled.mapInArrow(run, "lang int, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    table = np.full((SLOTS, len(languages)), 0.5)
     for r in counted.groupBy("lang").agg(F.collect_list("slot").alias("slots"), F.collect_list("n").alias("n")).toLocalIterator():
-        table[r.slots, languages.index(r.lang)] += r.n
+        table[r.slots, r.lang] += r.n
     table = np.log(table / table.sum(axis=0)).astype(np.float32) if languages else table.astype(np.float32)
     return Model(languages, table)
 
@@ -88,7 +90,7 @@ def _units(line: np.ndarray, ends: np.ndarray, model: Model) -> tuple[np.ndarray
     """Log-likelihoods of the runs of n-grams, by language, and the text of each."""
     sums, docs = [], []
     for at, block in _blocks(line):
-        place, slot = _grams(block, model.slots)
+        place, slot = _grams(block)
         if not len(place):
             continue
         doc = np.searchsorted(ends, place + at, "right")
@@ -141,12 +143,12 @@ def mixtures(units: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarra
         drop[~more] = False
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with `language`: lang_pred, score (its share, 0 to 1) and the shares of the languages found.
+def identify(docs: DataFrame, model: Model, name: str = "language") -> DataFrame:
+    """docs with a column `name`: lang_pred, score (its share, 0 to 1) and the shares of the languages found.
 
     A null or empty text, one without a letter, and any text when nothing was learned is `und`, with
     score 0. Ties go to the language that sorts first. Repeated rows and null ids are no matter; an
-    empty table stays empty.
+    empty table stays empty; a column of that name gives way.
     """
     languages = model.languages
 
@@ -165,26 +167,27 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                     out[begin + i] = {"lang_pred": languages[top], "score": float(min(1.0, share[top])), "shares": [{"lang": languages[k], "share": float(share[k])} for k in np.flatnonzero(share >= LEAST)]}
         return pa.array(out, KIND)
 
-    return common.append(docs, "language", KIND, "struct<lang_pred:string,score:double,shares:array<struct<lang:string,share:double>>>", work)
+    return common.append(docs, name, KIND, "struct<lang_pred:string,score:double,shares:array<struct<lang:string,share:double>>>", work)
 
 
 KIND = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("shares", pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))])
 
 
-def accepted(found: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of identify() in a known language with at least that share, without `language`.
+def accepted(found: DataFrame, model: Model, least: float = 0.5, name: str = "language") -> DataFrame:
+    """The rows of identify() in a known language with at least that share, without its column.
 
     Where nothing was learned, the rows that have a letter.
     """
-    known = (F.col("language.lang_pred") != UNKNOWN) & (F.col("language.score") >= least) if model.languages else F.coalesce(F.col("text"), F.lit("")).rlike(r"\pL")
-    return found.where(known).drop("language")
+    known = (F.col(f"{name}.lang_pred") != UNKNOWN) & (F.col(f"{name}.score") >= least) if model.languages else F.coalesce(F.col("text"), F.lit("")).rlike(r"\pL")
+    return found.where(known).drop(name)
 
 
 def held_out(mod: int = 4, is_: int = 2):
-    return F.crc32(F.col("doc_id").cast("string")) % mod == is_
+    """Whether a document is kept from training; one without a doc_id isn't."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % mod == is_, F.lit(False))
 
 
 def op6_language(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents")
     found = identify(docs.select("doc_id", "text"), train(docs.where(~held_out())))
-    return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "language.lang_pred", "language.score", F.size("language.shares").cast("long").alias("n_languages"))
+    return found.select("doc_id", held_out().alias("held_out"), "language.lang_pred", "language.score", F.size("language.shares").cast("long").alias("n_languages"))

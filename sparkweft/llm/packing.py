@@ -37,6 +37,10 @@ class Limits:
     segments: int = 64
     loss_tokens: int = 2048
 
+    def __post_init__(self) -> None:
+        if min(self.tokens, self.segments, self.loss_tokens) < 1:
+            raise ValueError(f"each limit must be at least 1: {self}")  # else no token would ever fit
+
 
 class Encoder:
     """The ids of the library `tokenizers`, as little-endian unsigned 32-bit integers.
@@ -124,7 +128,7 @@ class Item:
 
 
 def place(items: list[Item], limits: Limits, cut: bool) -> list[list[Item]]:
-    """Bins in the order in which they were opened; every item in one of them, whole or cut."""
+    """Bins in the order in which they were opened; every item in one of them, whole or cut. Of equal scores the first item is taken."""
     items = list(items)
     need = np.array([[i.tokens, 1, i.loss] for i in items], float).reshape(-1, 3)
     size = np.array([limits.tokens, limits.segments, limits.loss_tokens], float)

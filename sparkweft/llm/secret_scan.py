@@ -3,8 +3,9 @@
 Candidates are runs of key characters that have a digit and are long, or that follow an assignment
 (spaces or not), and quoted values of assignments up to their closing quotes.
 Features: length, character transitions (classes, and a bigram model of the corpus itself), coverage
-by the corpus's dictionary, the path and the neighbouring words. The forest is trained from labelled
-findings: a table given by the caller, or the bounded set that made_findings() writes by rule.
+by the corpus's dictionary, the path and the neighbouring words, all of whole candidates. The forest is
+trained from labelled findings: a table given by the caller, or the bounded set that made_findings()
+writes by rule.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from . import common, hashing
 
 #: Characters of a candidate at least: with a digit, or after an assignment.
 LONG, ASSIGNED = 12, 6
-#: Entries of the dictionary: the most frequent words of the corpus, of WORD characters at least.
+#: Entries of the dictionary at most, which goes to every worker: the most frequent words (runs of letters) of
+#: the corpus, of WORD characters at least. Words that are equally frequent are all in it or all out.
 DICTIONARY, WORD = 20_000, 4
 #: Labelled findings that training takes, at most (a random sample beyond); trees and their depth.
 SAMPLE, TREES, DEPTH = 20_000, 40, 8
@@ -39,6 +41,7 @@ FOR = ("password", "passwd", "pwd", "secret", "token", "key", "apikey", "api_key
 AGAINST = ("example", "sample", "test", "dummy", "placeholder", "commit", "sha", "sha256", "md5", "hash", "checksum", "uuid", "id", "version", "isbn", "phone", "card", "http", "https", "path", "file")
 PATHS = ("test", "example", "sample", "doc", "vendor", "fixture", "spec")
 _WORDS = re.compile(r"[a-z0-9_]+")
+_LETTERS = re.compile(rf"[^\W\d_]{{{WORD},}}")
 FEATURES = ["length", "entropy", "switches", "digits", "upper", "hexadecimal", "natural", "covered", "prefix", "assigned", "quoted", "speaks_for", "speaks_against", "path_against"]
 
 
@@ -48,6 +51,14 @@ class Corpus:
 
     transitions: np.ndarray = field(default_factory=lambda: np.full((256, 256), math.log(1 / 256)))
     words: frozenset[str] = frozenset()
+    #: How long the words are, longest first, by their first WORD letters.
+    lengths: dict[str, list[int]] = field(init=False, default_factory=dict)
+
+    def __post_init__(self) -> None:
+        for w in self.words:
+            self.lengths.setdefault(w[:WORD], []).append(len(w))
+        for head, found in self.lengths.items():
+            self.lengths[head] = sorted(set(found), reverse=True)
 
 
 def _entropy(value: str) -> float:
@@ -58,28 +69,27 @@ def _class(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
 
-def _covered(value: str, words: frozenset[str]) -> float:
+def _covered(value: str, corpus: Corpus) -> float:
     """The share of characters in words of the dictionary, longest first from the left."""
     low, at, hit = value.lower(), 0, 0
     while at < len(low):
-        n = next((k for k in range(min(16, len(low) - at), WORD - 1, -1) if low[at : at + k] in words), 0)
+        n = next((k for k in corpus.lengths.get(low[at : at + WORD], ()) if low[at : at + k] in corpus.words), 0)
         hit += n
         at += n or 1
     return hit / len(low)
 
 
 def features(value: str, path: str, before: str, after: str, corpus: Corpus) -> list[float]:
-    head = value[:256]  # of a run of any length; its length is a feature by itself
-    raw = np.frombuffer(head.lower().encode(), np.uint8)
+    raw = np.frombuffer(value.lower().encode(), np.uint8)
     natural = float(corpus.transitions[raw[:-1], raw[1:]].mean()) if len(raw) > 1 else 0.0
     near = set(_WORDS.findall(before.lower()[-NEAR:])[-3:])
     around = near | set(_WORDS.findall(after.lower()[:NEAR])[:2])
-    kinds = [_class(c) for c in head]
+    kinds = [_class(c) for c in value]
     tail = before.rstrip("\"' ")
     return [
-        math.log(len(value)), _entropy(head), sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / len(head),
-        kinds.count(2) / len(head), kinds.count(1) / len(head), float(all(c in "0123456789abcdefABCDEF" for c in head)),
-        natural, _covered(head, corpus.words), float(head.startswith(("AKIA", "ASIA", "ghp_", "gho_", "sk_live_", "xox", "AIza", "glpat-", "eyJ"))),
+        math.log(len(value)), _entropy(value), sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / len(value),
+        kinds.count(2) / len(value), kinds.count(1) / len(value), float(all(c in "0123456789abcdefABCDEF" for c in value)),
+        natural, _covered(value, corpus), float(value.startswith(("AKIA", "ASIA", "ghp_", "gho_", "sk_live_", "xox", "AIza", "glpat-", "eyJ"))),
         float(tail.endswith(("=", ":", ":="))), float(before.endswith(('"', "'"))),
         float(any(w in FOR for w in near)), float(any(w in AGAINST for w in around)), float(any(w in path.lower() for w in PATHS)),
     ]
@@ -115,7 +125,11 @@ def candidates(text: str) -> list[tuple[int, int]]:
 
 
 def corpus_model(docs: DataFrame) -> Corpus:
-    """Character transitions and the most frequent words, counted over all documents."""
+    """Character transitions and the most frequent words, counted over all documents.
+
+    To the driver come 65,536 pairs of characters at most, the histogram of word counts (with counts
+    cut to 12 significant bits, so of bounded size whatever the corpus), and the dictionary.
+    """
     texts = common.text_columns(docs).select("text")
 
     def count(batches):
@@ -124,7 +138,7 @@ def corpus_model(docs: DataFrame) -> Corpus:
             for part in common.slices(batch):
                 for _, line, _ in hashing.runs(part.column(0)):
                     for at in range(0, len(line), hashing.RUN):
-                        low = hashing.SPACED[line[at : at + hashing.RUN]].astype(np.int64)
+                        low = hashing.SPACED[line[at : at + hashing.RUN + 1]].astype(np.int64)  # with the next run's first byte
                         pairs += np.bincount((low[:-1] << 8) | low[1:], minlength=1 << 16)
         at = np.flatnonzero(pairs)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(pairs[at], pa.int64())], ["pair", "n"])
@@ -139,67 +153,102 @@ def corpus_model(docs: DataFrame) -> Corpus:
         for batch in batches:
             for part in common.slices(batch):
                 for text in part.column(0).to_pylist():
-                    total.update(w for w in text.lower().split() if len(w) >= WORD)
+                    total.update(_LETTERS.findall(text.lower()))
                 if len(total) > 500_000:
                     yield _counted(total)
                     total.clear()
         yield _counted(total)
 
-    top = texts.mapInArrow(tally, "word string, n long").where(F.length("word") <= 32).groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(DICTIONARY)
-    return Corpus(np.log(table / table.sum(axis=1, keepdims=True)), frozenset(r.word for r in top.collect() if r.word.isalpha()))
+    words = common.cut(texts.mapInArrow(tally, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    rough = F.expr("shiftleft(shiftright(n, greatest(length(bin(n)) - 12, 0)), greatest(length(bin(n)) - 12, 0))")
+    least, kept = 1 << 62, 0
+    for r in sorted(words.groupBy(rough.alias("level")).count().collect(), reverse=True):
+        kept += r["count"]
+        if kept > DICTIONARY:
+            break
+        least = r.level
+    top = words.where(F.col("n") >= least).select("word").collect()
+    return Corpus(np.log(table / table.sum(axis=1, keepdims=True)), frozenset(r.word for r in top))
 
 
 def _counted(total: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], ["word", "n"])
 
 
-def made_findings(n: int = 3000, seed: int = 7) -> list[tuple[str, str, str, str, int]]:
-    """Labelled findings (value, path, before, after, label) written by rule: real forms of secrets, and what looks like them."""
+def made_findings(n: int = 3000, seed: int = 7, without: tuple[str, ...] = (), only: tuple[str, ...] = ()) -> list[tuple[str, str, str, str, int]]:
+    """Labelled findings (value, path, before, after, label) written by rule: n real forms of secrets, and n that look like them.
+
+    without and only name families, to hold some out of training and to test on them.
+    """
     rng = random.Random(seed)
     lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-    draw = lambda alphabet, k: "".join(rng.choice(alphabet) for _ in range(k))
-    word = lambda: draw(lower, rng.randrange(2, 9))
-    prose = lambda: " ".join(word() for _ in range(4))
-    path = lambda: rng.choice(["src", "lib/app.py", "conf/settings.yml", "web", "tests/data", "docs/example.md"])
     hexa, alnum = digits + "abcdef", lower + upper + digits
+
+    def draw(alphabet: str, k: int) -> str:
+        return "".join(rng.choice(alphabet) for _ in range(k))
+
+    def word() -> str:
+        return draw(lower, rng.randrange(2, 9))
+
+    def prose() -> str:
+        return " ".join(word() for _ in range(4))
+
+    def assigned(value: str, links: tuple = (("=", ""), (" = ", '"'), (": ", ""), (": ", "'"), ("=", '"'))) -> tuple[str, str, str]:
+        link, quote = rng.choice(links)
+        return value, f"{prose()} {rng.choice(['password', 'passwd', 'secret', 'token', 'api_key', 'key', 'auth'])}{link}{quote}", f"{quote} {prose()}"
+
+    def among(value: str, before: str = " ") -> tuple[str, str, str]:
+        return value, f"{prose()}{before}", f" {prose()}"
+
+    quoted = ((" = ", '"'), (": ", '"'), ("=", '"'), (":", '"'))
+    secrets = {
+        "hexadecimal": lambda: assigned(draw(hexa, rng.choice([16, 20, 32, 40, 64]))),
+        "letters and digits": lambda: assigned(draw(alnum, rng.randrange(10, 41))),
+        "signs": lambda: assigned(rng.choice(lower + upper) + draw(digits, 2) + draw(alnum + "!@#.$%-", rng.randrange(5, 20)), quoted),
+        "cloud key": lambda: among("AKIA" + draw(upper + digits, 16)),
+        "repository token": lambda: among("ghp_" + draw(alnum, 36)),
+    }
+    lookalikes = {
+        "commit": lambda: among(draw(hexa, 40), " commit "),
+        "digest": lambda: among(draw(hexa, 64), " sha256:"),
+        "identifier": lambda: among("-".join(draw(hexa, k) for k in (8, 4, 4, 4, 12)), " id "),
+        "number": lambda: among(draw(digits, rng.randrange(12, 20))),
+        "joined words": lambda: among(f"{word()}-{word()}-{rng.randrange(99)}{word()}"),
+        "path": lambda: among(f"{word()}/{word()}/{word()}{rng.randrange(9)}", " path: "),
+        "placeholder": lambda: assigned(rng.choice(["changeme", "xxxxxxxx", "your_password_here", "placeholder", "EXAMPLEKEY123"])),
+        "labelled word": lambda: among(word() + word(), rng.choice([":", ": ", " = "])),
+        "quoted prose": lambda: (f"{prose().capitalize()}{rng.choice(['.', ',', '!', ''])}", f"{prose()}{rng.choice([': ', ' = ', '='])}\"", f"\" {prose()}"),
+        "name": lambda: (f"{word()}_{word()}", f"{prose()} name{rng.choice(['=', ': '])}", f" {prose()}"),
+        "version": lambda: among(f"2{draw(digits, 3)}-0{draw('123456789', 1)}-1{draw(digits, 1)}T00", " version "),
+    }
     out = []
-    for _ in range(n):
-        name = rng.choice(["password", "passwd", "secret", "token", "api_key", "key", "auth"])
-        link, quote = rng.choice([("=", ""), (" = ", '"'), (": ", ""), (": ", "'"), ("=", '"')])
-        out.append(rng.choice([
-            (draw(hexa, rng.choice([16, 20, 32, 40, 64])), path(), f"{prose()} {name}{link}{quote}", f"{quote} {prose()}", 1),
-            (draw(alnum, rng.randrange(10, 41)), path(), f"{prose()} {name}{link}{quote}", f"{quote} {prose()}", 1),
-            (rng.choice(lower + upper) + draw(digits, 2) + draw(alnum + "!@#.$%-", rng.randrange(5, 20)), path(), f"{prose()} {name}{rng.choice([' = ', ': ', '=', ':'])}\"", f"\" {prose()}", 1),
-            ("AKIA" + draw(upper + digits, 16), path(), prose() + " ", " " + prose(), 1),
-            ("ghp_" + draw(alnum, 36), path(), prose() + " ", " " + prose(), 1),
-        ]))
-        out.append(rng.choice([
-            (draw(hexa, 40), path(), f"{prose()} commit ", " " + prose(), 0),
-            (draw(hexa, 64), path(), f"{prose()} sha256:", " " + prose(), 0),
-            ("-".join(draw(hexa, k) for k in (8, 4, 4, 4, 12)), path(), f"{prose()} id ", " " + prose(), 0),
-            (draw(digits, rng.randrange(12, 20)), path(), prose() + " ", " " + prose(), 0),
-            (f"{word()}-{word()}-{rng.randrange(99)}{word()}", path(), prose() + " ", " " + prose(), 0),
-            (f"{word()}/{word()}/{word()}{rng.randrange(9)}", path(), f"{prose()} path: ", " " + prose(), 0),
-            (rng.choice(["changeme", "xxxxxxxx", "your_password_here", "placeholder", "EXAMPLEKEY123"]), "docs/example.md", f"{prose()} {name}{link}{quote}", f"{quote} {prose()}", 0),
-            (word() + word(), path(), f"{prose()}:", " " + prose(), 0),
-            (word() + word(), path(), f"{prose()}{rng.choice([': ', ' = '])}", " " + prose(), 0),
-            (f"{prose().capitalize()}{rng.choice(['.', ',', '!', ''])}", path(), f"{prose()}{rng.choice([': ', ' = ', '='])}\"", f"\" {prose()}", 0),
-            (f"{word()}_{word()}", path(), f"{prose()} name{link}", " " + prose(), 0),
-            (f"2{draw(digits, 3)}-0{draw('123456789', 1)}-1{draw(digits, 1)}T00", path(), f"{prose()} version ", " " + prose(), 0),
-        ]))
+    for label, families in ((1, secrets), (0, lookalikes)):
+        names = [f for f in families if f not in without and (not only or f in only)]
+        for _ in range(n if names else 0):
+            family = rng.choice(names)
+            value, before, after = families[family]()
+            path = "docs/example.md" if family == "placeholder" else rng.choice(["src", "lib/app.py", "conf/settings.yml", "web", "tests/data", "docs/example.md"])
+            out.append((value, path, before, after, label))
     return out
 
 
 def train(spark: SparkSession, corpus: Corpus, findings: DataFrame | None = None, seed: int = 7):
-    """A forest from labelled findings (value, path, before, after, label); null texts count as empty, null labels are left out."""
+    """A forest from labelled findings (value, path, before, after, label: 0 or 1).
+
+    Null texts count as empty; rows without a value or label are left out. Of more than SAMPLE rows a
+    random sample of about so many is taken. Findings that lack one of the two labels, an empty table
+    too, are completed by made_findings().
+    """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.linalg import Vectors
 
-    if findings is None:
-        rows = made_findings(seed=seed)
-    else:
-        given = findings.where("label IS NOT NULL AND value <> ''").orderBy(F.rand(seed)).limit(SAMPLE)
-        rows = [(r.value, r.path or "", r.before or "", r.after or "", r.label) for r in given.collect()]
+    rows = made_findings(seed=seed)
+    if findings is not None:
+        usable = findings.where("label IN (0, 1) AND value <> ''").select("value", "path", "before", "after", "label")
+        n = usable.count()
+        given = usable.where(F.rand(seed) < SAMPLE / n) if n > SAMPLE else usable
+        labelled = [(r.value, r.path or "", r.before or "", r.after or "", int(r.label)) for r in given.collect()]
+        rows = labelled if {r[-1] for r in labelled} == {0, 1} else labelled + rows
     data = [(float(label), Vectors.dense(features(v, p, b, a, corpus))) for v, p, b, a, label in rows]
     frame = spark.createDataFrame(data, ["label", "features"]).coalesce(1)
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed).fit(frame)
