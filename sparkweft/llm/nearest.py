@@ -1,33 +1,40 @@
 """Approximate nearest neighbours by inner product with an inverted multi-index.
 
-Both halves of a vector are quantised apart, so K centroids a half make K x K cells. A query walks the
-cells by summed distance (here: falling summed inner product) with a heap. It stops where the cells
-left are expected to hold less than MISSING of its k nearest: for a cell, scores are taken as normal
-around the centroids' sum, with the spread measured over all rows of the index. Entries of the cells
-walked are reranked by the exact inner product in double precision.
-
-Cells lie in parts of bounded size, and a crowded cell in several. Queries meet the parts that hold
-their cells, in blocks, so no task holds more than one part and one block of queries.
+Both halves of a vector are quantised apart, so K centroids a half make K x K cells, and K grows with
+the square root of the rows. A query walks the cells by summed distance (here: falling summed inner
+product) with a heap. It stops where the cells left are expected to hold less than MISSING of its k
+nearest: for a cell, scores are taken as normal around the centroids' sum, with the spread measured
+over all rows of the index. The score that about k rows exceed is estimated on COARSE x COARSE groups
+of cells, so a query's work before the walk doesn't grow with K x K. Entries of the cells walked are
+reranked by the exact inner product in double precision.
+
+Cells lie in parts of bounded size, and a crowded cell in several. A part goes to as many tasks as
+there are blocks of queries that want it, and to none that don't, so the rows shuffled grow with rows
+and queries, and no task holds more than one part and one block of queries.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Rows that the centroids are fitted to, at most (those with the smallest hash of their id); centroids of a half, at most.
-SAMPLE, CENTROIDS, PER_CELL = 16_384, 64, 48
+#: Rows that the centroids are fitted to, about (a random sample beyond), rows to a cell, and centroids of a half at
+#: most: the counts of CENTROIDS x CENTROIDS cells, 8 MiB, go to every worker.
+SAMPLE, PER_CELL, CENTROIDS = 16_384, 48, 1024
+#: Groups of centroids of a half, on which the score of the k nearest is estimated.
+COARSE = 64
 #: The share of the k nearest that a walk may be expected to miss.
 MISSING = 0.02
-#: Vectors of a part and queries of a block, in a task; queries scored at a time.
-PART, BLOCK, AT_ONCE = 16_384, 8_192, 256
+#: Vectors of a part and queries of a block, in a task; queries scored at a time; queries that a task routes.
+PART, BLOCK, AT_ONCE, ROUTED = 16_384, 8_192, 256, 2_048
 
 
 def _upper(x: np.ndarray) -> np.ndarray:
@@ -54,6 +61,24 @@ def _nearest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((centres**2).sum(axis=1) - 2 * rows @ centres.T).argmin(axis=1)
 
 
+@dataclass
+class Coarse:
+    """Groups of a half's centroids: their means, how far rows spread around them by component, and the group of each centroid."""
+
+    centre: np.ndarray
+    spread: np.ndarray
+    of: np.ndarray
+
+    @staticmethod
+    def made(centres: np.ndarray, spread: np.ndarray, rows: np.ndarray) -> Coarse:
+        k = min(COARSE, len(centres))
+        of = np.arange(k) if k == len(centres) else _nearest(centres, _fit(centres, k))
+        weight = np.maximum(np.bincount(of, rows, k), 1e-12)[:, None]
+        mean = lambda x: np.stack([np.bincount(of, x[:, c] * rows, k) for c in range(x.shape[1])], axis=1) / weight if x.shape[1] else np.zeros((k, 0))
+        centre = mean(centres)
+        return Coarse(centre, mean(spread + (centres - centre[of]) ** 2), of)
+
+
 @dataclass
 class Cells:
     """The quantisers, what is known of each cell, and the parts that hold it."""
@@ -63,6 +88,7 @@ class Cells:
     count: np.ndarray | None = None  # of rows, K x K
     spread: tuple[np.ndarray, np.ndarray] | None = None  # variance by component around each centroid
     parts: tuple[np.ndarray, np.ndarray] | None = None  # a cell's first part, and in how many it lies
+    coarse: tuple[Coarse, Coarse, np.ndarray] | None = None  # of both halves, and the rows of their pairs
 
     @property
     def half(self) -> int:
@@ -71,32 +97,39 @@ class Cells:
     def assign(self, rows: np.ndarray) -> np.ndarray:
         return _nearest(rows[:, : self.half], self.first) * len(self.second) + _nearest(rows[:, self.half :], self.second)
 
+    def _wanted(self, q1: np.ndarray, q2: np.ndarray, k: int) -> tuple[float, float]:
+        """The score that about k rows exceed, and how many rows are expected to exceed it."""
+        a, b, count = self.coarse
+        mean = (a.centre @ q1)[:, None] + (b.centre @ q2)[None, :]
+        sd = np.sqrt((a.spread @ (q1 * q1))[:, None] + (b.spread @ (q2 * q2))[None, :])
+        sd = np.maximum(sd, 1e-9 * (1 + np.abs(mean).max()))
+        low, high = float((mean - 8 * sd).min()), float((mean + 8 * sd).max())
+        for _ in range(14):
+            middle = (low + high) / 2
+            low, high = (middle, high) if (count * _upper((middle - mean) / sd)).sum() > k else (low, middle)
+        return low, float((count * _upper((low - mean) / sd)).sum())
+
     def walk(self, query: np.ndarray, k: int) -> list[int]:
         """Cells in the order of their summed distance, as far as the k nearest need."""
         q1, q2 = query[: self.half], query[self.half :]
+        least, missing = self._wanted(q1, q2, k)
+        left = missing * MISSING
         d1, d2 = -(self.first @ q1), -(self.second @ q2)
-        mean = -(d1[:, None] + d2[None, :])
-        sd = np.sqrt(self.spread[0] @ (q1 * q1))[:, None] ** 2 + np.sqrt(self.spread[1] @ (q2 * q2))[None, :] ** 2
-        sd = np.maximum(np.sqrt(sd), 1e-9 * (1 + np.abs(mean).max()))
-        low, high = float((mean - 8 * sd).min()), float((mean + 8 * sd).max())
-        for _ in range(14):  # the score that about k rows exceed
-            middle = (low + high) / 2
-            low, high = (middle, high) if (self.count * _upper((middle - mean) / sd)).sum() > k else (low, middle)
-        wanted = self.count * _upper((low - mean) / sd)
-        left = wanted.sum() * MISSING
-        missing, rows = wanted.sum(), 0
+        v1, v2 = self.spread[0] @ (q1 * q1), self.spread[1] @ (q2 * q2)
         o1, o2 = np.argsort(d1, kind="stable"), np.argsort(d2, kind="stable")
-        s1, s2, n2 = d1[o1].tolist(), d2[o2].tolist(), len(o2)
-        mass, count = wanted[o1][:, o2].tolist(), self.count[o1][:, o2].tolist()
-        heap, found, done = [(s1[0] + s2[0], 0, 0)], [], [0] * len(s1)
+        s1, s2, v1, v2, n2 = d1[o1].tolist(), d2[o2].tolist(), v1[o1].tolist(), v2[o2].tolist(), len(o2)
+        o1, o2, count = o1.tolist(), o2.tolist(), self.count
+        far = 6 * math.sqrt(max(v1) + max(v2))  # beyond it a cell holds nothing that exceeds `least`
+        heap, found, rows, done = [(s1[0] + s2[0], 0, 0)], [], 0, [0] * len(s1)
         while heap:
-            _, i, j = heapq.heappop(heap)
-            if count[i][j]:
-                found.append(int(o1[i]) * n2 + int(o2[j]))
-                rows += count[i][j]
-                missing -= mass[i][j]
-                if missing <= left and rows >= 4 * k:
-                    break
+            distance, i, j = heapq.heappop(heap)
+            if rows >= 4 * k and (missing <= left or distance > far - least):
+                break
+            n = int(count[o1[i], o2[j]])
+            if n:
+                found.append(o1[i] * n2 + o2[j])
+                rows += n
+                missing -= n * math.erfc((least + distance) / max(1e-9 * (1 + abs(distance)), math.sqrt(2 * (v1[i] + v2[j])))) / 2
             done[i] = j + 1
             # (i, j + 1) waits until (i - 1, j + 1) has been walked, and (i + 1, j) until (i + 1, j - 1) has.
             if j + 1 < n2 and (i == 0 or done[i - 1] > j + 1):
@@ -106,14 +139,18 @@ class Cells:
         return found
 
 
+def _good(table: DataFrame) -> DataFrame:
+    v = F.col("embedding").cast("array<double>")
+    return table.select("vec_id", v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
+
+
 def _vectors(table: DataFrame) -> tuple[DataFrame, int, int]:
-    """vec_id and v (array<double>) of the rows that take part, how many, and their components.
+    """vec_id and v (array<double>) of the rows that take part, how many, and their components (0: none takes part).
 
     Rows without id, with null, zero or non-finite vectors, or with another number of components than
     most rows have (of equals, the smaller number) take no part.
     """
-    v = F.col("embedding").cast("array<double>")
-    good = table.select("vec_id", v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
+    good = _good(table)
     most = good.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").first()
     return (good.where(F.size("v") == most["size"]), most["count"], most["size"]) if most else (good, 0, 0)
 
@@ -124,7 +161,8 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
 
 def build(good: DataFrame, n: int, size: int) -> Cells:
     """Quantisers from the sample; counts, spreads and parts of the cells from every row."""
-    sample = np.array([r.v for r in good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()])
+    some = good.where(F.rand(0) < SAMPLE / n) if n > SAMPLE else good
+    sample = np.array([r.v for r in some.collect()])
     k = int(min(max(1, (n / PER_CELL) ** 0.5), CENTROIDS, len(sample)))
     half = (size + 1) // 2
     cells = Cells(_fit(sample[:, :half], k), _fit(sample[:, half:], k) if size > 1 else np.zeros((1, 0)))
@@ -149,6 +187,10 @@ def build(good: DataFrame, n: int, size: int) -> Cells:
         total[r.kind][r.at] = r.x
     cells.count = total[0].reshape(k, wide)
     cells.spread = (total[1].reshape(k, half) / np.maximum(cells.count.sum(axis=1), 1)[:, None], total[2].reshape(wide, size - half) / np.maximum(cells.count.sum(axis=0), 1)[:, None])
+    a, b = Coarse.made(cells.first, cells.spread[0], cells.count.sum(axis=1)), Coarse.made(cells.second, cells.spread[1], cells.count.sum(axis=0))
+    coarse = np.zeros((len(a.centre), len(b.centre)))
+    np.add.at(coarse, (a.of[:, None], b.of[None, :]), cells.count)
+    cells.coarse = a, b, coarse
     first, pieces, part, room = np.zeros(k * wide, np.int64), np.ones(k * wide, np.int64), 0, PART
     for cell, rows in enumerate(cells.count.ravel().astype(np.int64).tolist()):
         if rows > room:
@@ -159,24 +201,23 @@ def build(good: DataFrame, n: int, size: int) -> Cells:
             part, room = part + int(pieces[cell]), PART
         else:
             room -= rows
-    cells.parts = first, pieces
+    cells.parts, cells.count = (first, pieces), cells.count.astype(np.int64)
     return cells
 
 
 def search(table: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of each query's k nearest rows found, ties to the smaller vec_id.
 
-    Both have vec_id and embedding. A query's own vec_id is no candidate for it. A vec_id on several
-    rows counts once, by its nearest row; as a query, by its smallest vector. Rows that take no part
-    (see _vectors) are neither; other columns are ignored; an empty table gives no rows.
+    Both have vec_id and embedding. Rows with a query's own vec_id are no candidates for it; of others
+    with one vec_id each row is one. A vec_id on several rows is one query, by its smallest vector. Rows
+    that take no part (see _vectors) are neither; other columns are ignored; an empty table gives no rows.
     """
     good, n, size = _vectors(table)
     kind = table.schema["vec_id"].dataType.simpleString()
     if not n:
         return good.selectExpr("vec_id AS query_id", "cast(0 AS int) AS rank", "vec_id", "cast(0 AS double) AS score").limit(0)
     cells = build(good, n, size)
-    asked = _vectors(queries)[0].where(F.size("v") == size).groupBy("vec_id").agg(F.min("v").alias("v"))
-    blocks = max(1, -(-queries.count() // BLOCK))
+    asked = _good(queries).where(F.size("v") == size).groupBy("vec_id").agg(F.min("v").alias("v"))
 
     def place(batches):
         first, pieces = cells.parts
@@ -203,13 +244,10 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     def rerank(asked: pa.Table, held: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if asked.num_rows and held.num_rows:
-            ids, cell = held["vec_id"].to_pylist(), held["cell"].to_numpy()
+            ids, cell = held["vec_id"].to_numpy(), held["cell"].to_numpy()
             rows = np.frombuffer(b"".join(held["v"].to_pylist()), float).reshape(-1, size)
-            order = np.lexsort((np.array(ids), cell))
-            ids, cell, rows = [ids[i] for i in order], cell[order], rows[order]
-            same = np.array([a == b for a, b in zip(ids[1:], ids[:-1], strict=True)], bool) & (rows[1:] == rows[:-1]).all(axis=1)
-            keep = np.concatenate([[True], ~same])
-            ids, cell, rows = np.array(ids)[keep], cell[keep], rows[keep]
+            order = np.lexsort((ids, cell))
+            ids, cell, rows = ids[order], cell[order], rows[order]
             kinds, begin = np.unique(cell, return_index=True)
             bounds = dict(zip(kinds.tolist(), zip(begin.tolist(), [*begin[1:].tolist(), len(cell)], strict=True), strict=True))
             keys = asked["vec_id"].to_pylist()
@@ -237,14 +275,16 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         types = [asked.schema.field("vec_id").type, held.schema.field("vec_id").type, pa.float64()]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 3, types, strict=True)], ["query_id", "vec_id", "score"])
 
-    salted = good.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)).alias("salt"))
-    index = salted.mapInArrow(place, f"vec_id {kind}, v binary, cell long, part long").select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    routed = asked.mapInArrow(route, f"vec_id {kind}, v binary, part long, cells array<long>").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    found = routed.groupBy("part", "block").cogroup(index.groupBy("part", "block")).applyInArrow(lambda a, b: rerank(a.drop_columns(["part", "block"]), b.drop_columns(["part", "block"])), f"query_id {kind}, vec_id {kind}, score double")
-    from pyspark.sql import Window
-
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    salted = good.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 30)).alias("salt"))
+    index = salted.mapInArrow(place, f"vec_id {kind}, v binary, cell long, part long")
+    tasks = max(table.sparkSession.sparkContext.defaultParallelism, -(-queries.count() // ROUTED))
+    routed = common.cut(asked.repartition(tasks, "vec_id").mapInArrow(route, f"vec_id {kind}, v binary, part long, cells array<long>"))
+    blocks = routed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    block = F.pmod(F.xxhash64("vec_id"), F.col("blocks"))
+    dealt = routed.join(blocks, "part").withColumn("block", block).drop("blocks")
+    copies = index.join(blocks, "part").select("vec_id", "v", "cell", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    found = dealt.groupBy("part", "block").cogroup(copies.groupBy("part", "block")).applyInArrow(lambda a, b: rerank(a.drop_columns(["part", "block"]), b.drop_columns(["part", "block"])), f"query_id {kind}, vec_id {kind}, score double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
