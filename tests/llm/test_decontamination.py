@@ -44,3 +44,44 @@ def test_spans_point_into_the_original(spark):
     assert [docs.first().text[s.start : s.end] for s in found.hits] == ["ONE, two;THREE"]
     assert found.contaminated and found.items == ["2"] and D.scan(docs, bench.limit(0)).first().contamination.n_hit == 0
     assert D.scan(docs.limit(0), bench).count() == 0
+
+
+def test_against_brute_force_on_random_texts():
+    """Few words, so that windows, anchors and items overlap, repeat and share runs."""
+    import random
+
+    rng = random.Random(4)
+    for width in (13, 6, 3):
+        for _ in range(40):
+            word = lambda: f"w{rng.choice([0, 0, 0, 1, 1, 2, 3, 4])}"
+            items = [(i, " ".join(word() for _ in range(rng.choice([0, 1, 2, 5, 13, 14, 30])))) for i in range(8)]
+            scanner = D.Scanner(D.Index.made([(str(i), t) for i, t in items], width))
+            for _ in range(10):
+                words = [word() if rng.random() < 0.95 else "none" for _ in range(60)]
+                item = rng.choice(items)[1].split()
+                words[20 : 20 + len(item)] = item
+                n, ranges, found = scanner.scan(" ".join(words))
+                hit = {k for a, b in ranges for k in range(a, b)}
+                assert (n, len(hit), len(found)) == brute(" ".join(words), items, width)[:3]
+
+
+def test_the_automaton_is_small_beside_the_benchmark():
+    import random
+
+    rng = random.Random(4)
+    words = [f"{rng.randrange(30000):x}ab" for _ in range(100_000)]
+    items = [(str(i), " ".join(words[i : i + 100])) for i in range(0, len(words), 100)]
+    made = D.Scanner(D.Index.made(items))
+    size = sum(len(t) for _, t in items)
+    assert made.automaton.get_stats()["total_size"] < 12 * size
+    assert made.scan(items[7][1])[2] == {"700"}
+
+
+def test_the_query_against_brute_force(spark):
+    folder = "/root/testdata/sf0.001"
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    rows = D.op10_decontamination(spark, folder).collect()
+    assert len(rows) == len(texts) and any(r.contaminated for r in rows)
+    for r in rows:
+        assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == brute(texts[r.doc_id], items)
