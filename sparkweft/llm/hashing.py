@@ -41,8 +41,8 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
-def _hash_run(raw: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of the words in the bytes."""
+def _hash_run(raw: np.ndarray, table: np.ndarray, stop=None) -> tuple[np.ndarray, ...]:
+    """Starts, ends and hashes of the words in the bytes; with stop(raw, starts, ends), the ends of their beginnings and the hashes of these too."""
     line = table[raw]
     inside = line != 0
     if table is SPACED:
@@ -56,27 +56,30 @@ def _hash_run(raw: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarra
     total = np.empty(len(raw) + 1, np.uint64)
     total[0] = 0
     np.cumsum(value * up[: len(raw)], out=total[1:])
-    hashes = (total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64)
-    return starts, ends, mix(hashes)
+    hashes = lambda to: mix((total[to] - total[starts]) * down[starts] + (to - starts).astype(np.uint64))
+    if stop is None:
+        return starts, ends, hashes(ends)
+    stops = stop(raw, starts, ends)
+    return starts, ends, hashes(ends), stops, hashes(stops)
 
 
-def words(raw: bytes | np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends (bytes) and hashes of the words of one text."""
+def words(raw: bytes | np.ndarray, table: np.ndarray, stop=None) -> tuple[np.ndarray, ...]:
+    """Starts, ends (bytes) and hashes of the words of one text; see _hash_run."""
     raw = np.frombuffer(raw, np.uint8) if isinstance(raw, bytes) else raw
     if len(raw) <= RUN:
-        return _hash_run(raw, table)
+        return _hash_run(raw, table, stop)
     found, at = [], 0
     while at < len(raw):
-        stop = min(len(raw), at + RUN)
-        while stop < len(raw):  # back to a break, or else on to the next one
-            breaks = np.flatnonzero((table[raw[at:stop]] == 0) & (raw[at:stop] != 0 if table is SPACED else True))
+        end = min(len(raw), at + RUN)
+        while end < len(raw):  # back to a break, or else on to the next one
+            breaks = np.flatnonzero((table[raw[at:end]] == 0) & (raw[at:end] != 0 if table is SPACED else True))
             if len(breaks):
-                stop = at + int(breaks[-1]) + 1
+                end = at + int(breaks[-1]) + 1
                 break
-            stop = min(len(raw), stop + RUN)
-        s, e, h = _hash_run(raw[at:stop], table)
-        found.append((s + at, e + at, h))
-        at = stop
+            end = min(len(raw), end + RUN)
+        s, e, h, *more = _hash_run(raw[at:end], table, stop)
+        found.append((s + at, e + at, h, *(x if i else x + at for i, x in enumerate(more))))
+        at = end
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -106,3 +109,17 @@ def hash_of(value: str) -> int:
     import hashlib
 
     return int.from_bytes(hashlib.blake2b(value.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def within(values: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each sorted slice values[low:high], the first place that isn't below the wanted value, and whether it equals it."""
+    low, top = low.astype(np.int64), high.astype(np.int64)
+    end, last = top, max(0, len(values) - 1)
+    while True:
+        left = low < top
+        if not left.any():
+            break
+        middle = (low + top) >> 1
+        below = left & (values[np.minimum(middle, last)] < wanted) if len(values) else left
+        low, top = np.where(below, middle + 1, low), np.where(left & ~below, middle, top)
+    return low, (low < end) & (values[np.minimum(low, last)] == wanted) if len(values) else np.zeros(len(low), bool)

@@ -7,6 +7,11 @@ log(N / n(e)); 1 means that whoever sees the term knows the entity. P(e|t) is sm
 document for either outcome, (n(t,e) + 1/2) / (n(t) + 1), so entities of any document frequency are
 judged, and what one document says counts for less than what many say. In documents that mention the
 entity, terms at or above `remove` are removed and those at or above `generalise` are generalised.
+
+A term's generalisations are classes of words: all that begin with its first half (its stem), and all of
+its shape (letters, digits, or both). A class discloses as a term does, by the documents that have any
+of its words. The first class whose own disclosure lies below `generalise` takes the term's place; where
+none does, the term is removed.
 """
 
 from __future__ import annotations
@@ -41,6 +46,10 @@ class Rule:
     least: int = 3  # bytes of a term
 
 
+#: Shapes of words, and their numbers among the terms; stems have those of words, turned by _STEM.
+SHAPES = ("WORD", "NUMBER", "CODE")
+_SHAPE = np.array([hashing.hash_of(f"shape:{x}") for x in SHAPES], np.int64)
+_STEM = np.int64(0x5DEECE66D1234567)
 #: Pairs of entity and term that go to every worker; beyond, they are joined by document.
 PAIRS = 500_000
 #: Slots of the filter of terms worth counting.
@@ -83,16 +92,43 @@ def entity(kind: str, value: str) -> int:
     return hashing.hash_of(f"{kind}:{_DIGITS.sub('', value) if kind in ('card', 'phone') else value.lower()}")
 
 
-def _terms(text: str, spans: list[tuple[str, int, int]], rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends (code points) and hashes of the words outside the spans."""
+def _stems(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where the stem of each word ends: its first half, three bytes at least, in whole characters."""
+    stop = np.minimum(starts + np.maximum(3, (ends - starts + 1) // 2), ends)
+    for _ in range(3):
+        stop = stop + ((stop < ends) & ((raw[np.minimum(stop, len(raw) - 1)] & 0xC0) == 0x80))
+    return stop
+
+
+def _shapes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """0, 1 or 2: no digit, digits alone, both."""
+    digits = np.concatenate([[0], np.cumsum((raw >= 48) & (raw <= 57))])
+    n = digits[ends] - digits[starts]
+    return np.where(n == 0, 0, np.where(n == ends - starts, 1, 2))
+
+
+@dataclass(frozen=True)
+class Words:
+    """Words of a text outside its spans: places (code points), numbers, ends and numbers of their stems (0: none), shapes."""
+
+    start: np.ndarray
+    end: np.ndarray
+    word: np.ndarray
+    cut: np.ndarray
+    stem: np.ndarray
+    shape: np.ndarray
+
+
+def _words(text: str, spans: list[tuple[str, int, int]], rule: Rule) -> Words:
     raw = np.frombuffer(text.encode(), np.uint8)
-    s, e, h = hashing.words(raw, hashing.WORDS)
+    s, e, h, c, hc = hashing.words(raw, hashing.WORDS, _stems)
     point = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-    keep = e - s >= rule.least
-    s, e = point[s], point[e]
+    shape, keep = _shapes(raw, s, e), e - s >= rule.least
+    stem = np.where(c < e, hc.view(np.int64) ^ _STEM, 0)
+    s, e, c = point[s], point[e], point[c]
     for _, a, b in spans:
         keep &= (e <= a) | (s >= b)
-    return s[keep], e[keep], h[keep].view(np.int64)
+    return Words(s[keep], e[keep], h[keep].view(np.int64), c[keep], stem[keep], shape[keep])
 
 
 def _digest(spans: list[tuple[str, int, int]]) -> str:
@@ -100,7 +136,7 @@ def _digest(spans: list[tuple[str, int, int]]) -> str:
 
 
 def disclosures(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """entity, term (64-bit hashes) and score of the pairs at or above `generalise`, from counts over all docs."""
+    """entity, term (64-bit hashes, of words and of their classes) and score of the pairs at or above `generalise`, from counts over all docs."""
 
     def near(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         out: list[tuple] = []
@@ -108,11 +144,13 @@ def disclosures(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
             spans = base_spans(text)
             if not spans:
                 continue
-            starts, _, h = _terms(text, spans, rule)
+            w = _words(text, spans, rule)
             by: dict[int, set[int]] = {}
             for kind, a, b in spans:
-                low, high = np.searchsorted(starts, a), np.searchsorted(starts, b)
-                by.setdefault(entity(kind, text[a:b]), set()).update(h[max(0, low - rule.window) : high + rule.window].tolist())
+                around = slice(max(0, int(np.searchsorted(w.start, a)) - rule.window), int(np.searchsorted(w.start, b)) + rule.window)
+                terms = by.setdefault(entity(kind, text[a:b]), set())
+                terms.update(w.word[around].tolist(), w.stem[around].tolist(), _SHAPE[w.shape[around]].tolist())
+                terms.discard(0)
             out += [(e, sorted(t)) for e, t in by.items()]
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int64()))], ["entity", "terms"])
 
@@ -129,17 +167,21 @@ def disclosures(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         total: dict[int, int] = {}
-        for first, n, h in hashing.each(batch.column(1), hashing.WORDS):
-            h = h.view(np.int64)
-            at = h & (SLOTS - 1)
-            hit = np.flatnonzero((marks[at >> 5] >> (at & 31).astype(np.uint32)) & 1)
-            doc = np.repeat(np.arange(len(n)), n)[hit]
-            order = np.lexsort((doc, h[hit]))
-            d, t = doc[order], h[hit][order]
-            new = np.ones(len(t), bool)
-            new[1:] = (t[1:] != t[:-1]) | (d[1:] != d[:-1])
-            for term, c in zip(*(x.tolist() for x in np.unique(t[new], return_counts=True)), strict=True):
-                total[term] = total.get(term, 0) + c
+        for _, line, ends in hashing.runs(batch.column(1)):
+            s, e, h, c, hc = hashing.words(line, hashing.WORDS, _stems)
+            doc, long = np.searchsorted(ends, s, "right"), e - s >= rule.least
+            shapes = np.bincount(doc[long] * 3 + _shapes(line, s, e)[long], minlength=3 * len(ends)).reshape(-1, 3)
+            for term, n in zip(_SHAPE.tolist(), (shapes > 0).sum(axis=0).tolist(), strict=True):
+                total[term] = total.get(term, 0) + n
+            for some, keep in ((h.view(np.int64), long), (hc.view(np.int64) ^ _STEM, long & (c < e))):
+                at = some & (SLOTS - 1)
+                hit = np.flatnonzero(keep & (((marks[at >> 5] >> (at & 31).astype(np.uint32)) & 1) > 0))
+                order = np.lexsort((doc[hit], some[hit]))
+                d, t = doc[hit][order], some[hit][order]
+                new = np.ones(len(t), bool)
+                new[1:] = (t[1:] != t[:-1]) | (d[1:] != d[:-1])
+                for term, n in zip(*(x.tolist() for x in np.unique(t[new], return_counts=True)), strict=True):
+                    total[term] = total.get(term, 0) + n
         return pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int64()), pa.array(total.values(), pa.int64()), pa.array([0] * len(total), pa.int64())], ["term", "n", "rows"])
 
     if not rows:  # nothing is near an entity
@@ -152,16 +194,26 @@ def disclosures(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     return common.cut(scored.where(F.col("score") >= rule.generalise))
 
 
-def _added(text: str, spans: list[tuple[str, int, int]], scores: dict[int, float], rule: Rule) -> list[tuple[str, int, int, float]]:
-    """Spans of the revealing terms in the text, joined where they touch no other."""
+def _added(text: str, spans: list[tuple[str, int, int]], scores: dict[int, float], rule: Rule) -> list[tuple[str, int, int, str]]:
+    """Spans of the revealing terms in the text, each with what takes its place."""
     if not scores:
         return []
-    s, e, h = _terms(text, spans, rule)
-    return [("term", int(a), int(b), scores[t]) for a, b, t in zip(s, e, h.tolist(), strict=True) if t in scores]
-
-
-def _redact(text: str, spans: list[tuple[str, int, int]], more: list[tuple[str, int, int, float]], rule: Rule) -> str:
-    cuts = [(a, b, f"[{k.upper()}]") for k, a, b in spans] + [(a, b, "" if score >= rule.remove else "[TERM]") for _, a, b, score in more]
+    w, out = _words(text, spans, rule), []
+    for i, term in enumerate(w.word.tolist()):
+        if term in scores:
+            a, b, shape = int(w.start[i]), int(w.end[i]), int(w.shape[i])
+            if scores[term] >= rule.remove:
+                place = ""
+            elif w.stem[i] and int(w.stem[i]) not in scores:
+                place = text[a : int(w.cut[i])] + "*"
+            else:
+                place = "" if int(_SHAPE[shape]) in scores else f"[{SHAPES[shape]}]"
+            out.append(("term", a, b, place))
+    return out
+
+
+def _redact(text: str, spans: list[tuple[str, int, int]], more: list[tuple[str, int, int, str]]) -> str:
+    cuts = [(a, b, f"[{k.upper()}]") for k, a, b in spans] + [(a, b, place) for _, a, b, place in more]
     out, last = [], 0
     for a, b, mark in sorted(cuts):
         if a < last:  # within or across another span: no character of either stays
@@ -172,14 +224,15 @@ def _redact(text: str, spans: list[tuple[str, int, int]], more: list[tuple[str,
     return "".join([*out, text[last:]])
 
 
-def sanitise(docs: DataFrame, rule: Rule = Rule(), pairs_limit: int = PAIRS) -> DataFrame:
-    """All columns of docs with `text` sanitised, and `pii`: n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term.
+def sanitise(docs: DataFrame, rule: Rule = Rule(), pairs_limit: int = PAIRS, name: str = "pii") -> DataFrame:
+    """All columns of docs with `text` sanitised, and `name`: n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term.
 
     Null texts stay null and count as empty. Rows with the same doc_id, null too, are judged each by
-    its own text. An empty table gives an empty one. A column named pii in docs is replaced.
+    its own text. A term that reveals several entities of a text counts by its largest disclosure. An
+    empty table gives an empty one. A column of that name in docs is replaced.
     """
     revealing = disclosures(docs, rule)
-    columns = [c for c in docs.columns if c != "pii"]
+    columns = [c for c in docs.columns if c != name]
     docs = docs.select(*columns, docs["text"].cast("string").alias("_text"))
     table: dict[int, list[tuple[int, float]]] = {}
     joined = revealing.count() > pairs_limit
@@ -202,16 +255,16 @@ def sanitise(docs: DataFrame, rule: Rule = Rule(), pairs_limit: int = PAIRS) ->
                 for t, score in table.get(entity(k, text[a:b]), ()):
                     scores[t] = max(score, scores.get(t, 0.0))
             more = _added(text or "", spans, scores, rule)
-            clean.append(_redact(text, spans, more, rule) if spans else text)
+            clean.append(_redact(text, spans, more) if spans else text)
             count = [sum(k == kind for k, _, _ in spans) for kind in KINDS[:4]]
             base = _digest(spans)
             found.append(dict(zip(FIELDS, (*count, hashlib.sha256(base.encode()).hexdigest(), _digest(spans + [x[:3] for x in more]), len(more)), strict=True)))
         kept = [batch.column(i) for i in range(len(columns))]
         kept[columns.index("text")] = pa.array(clean, pa.string())
-        return pa.RecordBatch.from_arrays([*kept, pa.array(found, PII)], [*columns, "pii"])
+        return pa.RecordBatch.from_arrays([*kept, pa.array(found, PII)], [*columns, name])
 
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join(f"`{c}` {'string' if c == 'text' else types[c]}" for c in columns) + ", pii struct<n_email:long,n_ip:long,n_card:long,n_phone:long,base_sha256:string,spans:string,n_term:long>"
+    schema = ", ".join(f"`{c}` {'string' if c == 'text' else types[c]}" for c in columns) + f", `{name}` struct<n_email:long,n_ip:long,n_card:long,n_phone:long,base_sha256:string,spans:string,n_term:long>"
 
     def run(batches):
         for batch in batches:

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -71,3 +72,111 @@ def test_an_entity_in_one_document(spark, limit):
     assert "Quellmann" not in got[301].text and "some people" in got[301].text  # the number stands in two documents
     assert got[300].pii.n_term >= 1 and got[302].pii.n_phone == 1
     assert [got[i].text for i, t in rows if i < 300 or i == 303] == [t for i, t in rows if i < 300 or i == 303]
+
+
+def words_of(text, spans=True):
+    """Lower-cased words of three bytes at least, with their places; those outside the spans, or all."""
+    lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    found = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower) if len(m[0].encode()) >= 3]
+    return [w for w in found if all(w[1] <= a or w[0] >= b for _, a, b in (brute(text) if spans else ()))]
+
+
+def stem(word):
+    stop = max(3, (len(word.encode()) + 1) // 2)
+    for i in range(len(word) + 1):
+        if len(word[:i].encode()) >= stop:
+            return word[:i] if i < len(word) else None
+
+
+def shape(word):
+    digits = sum(c in "0123456789" for c in word)
+    return "WORD" if not digits else "NUMBER" if digits == len(word) else "CODE"
+
+
+def classes(word):
+    return {("word", word), ("shape", shape(word))} | ({("stem", stem(word))} if stem(word) else set())
+
+
+def disclosure(rows, window=10):
+    """(entity, term or class) with its disclosure, by hand: PMI over IC with counts of documents."""
+    n_e, n_t, n_te = {}, {}, {}
+    for _, text in rows:
+        words, near = words_of(text), {}
+        for t in {c for _, _, w in words_of(text, spans=False) for c in classes(w)}:
+            n_t[t] = n_t.get(t, 0) + 1
+        for kind, a, b in brute(text):
+            value = re.sub("[^0-9]", "", text[a:b]) if kind in ("card", "phone") else text[a:b].lower()
+            before, after = [w for w in words if w[0] < a][-window:], [w for w in words if w[0] >= b][:window]
+            near.setdefault((kind, value), set()).update(c for _, _, w in before + after for c in classes(w))
+        for e, terms in near.items():
+            n_e[e] = n_e.get(e, 0) + 1
+            for t in terms:
+                n_te[e, t] = n_te.get((e, t), 0) + 1
+    n = len(rows)
+    return {(e, t): math.log(n * (x + 0.5) / ((n_t[t] + 1) * n_e[e])) / math.log(n / n_e[e]) if n_e[e] < n else 0.0 for (e, t), x in n_te.items()}
+
+
+def number(term):
+    kind, value = term
+    if kind == "shape":
+        return P.hashing.hash_of(f"shape:{value}")
+    h = int(P.hashing.words(value.encode(), P.hashing.WORDS)[2].view("int64")[0])
+    return h ^ int(P._STEM) if kind == "stem" else h
+
+
+def made_rows():
+    rng = random.Random(8)
+    plain = ["harbour", "river", "morning", "walked", "people", "calm", "bridge", "window", "garden", "été", "漢字漢字"]
+    rows = [(i, " ".join(rng.choice(plain) for _ in range(20))) for i in range(150)]
+    names = ["Quellmann", "Quellbach", "Zbigniewska", "x77k", "2291044", "Łukaszewicz"]
+    for i in range(40):
+        name = rng.choice(names)
+        mail = f"{name[:3].encode('ascii', 'ignore').decode()}{rng.choice('ab')}@mail.example"
+        rows.append((1000 + i, f"{rng.choice(plain)} {name} {rng.choice(plain)} writes from {mail} to {rng.choice(plain)} {rng.choice(names)}"))
+    return rows
+
+
+def test_disclosures_against_brute_force(spark):
+    rows = made_rows()
+    rule = P.Rule(generalise=0.5)
+    got = {(r.entity, r.term): r.score for r in P.disclosures(spark.createDataFrame(rows, "doc_id long, text string"), rule).collect()}
+    want = {(P.entity(*e), number(t)): x for (e, t), x in disclosure(rows).items() if x >= 0.5}
+    assert set(got) == set(want) and len(want) > 20 and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
+
+
+def test_what_takes_a_terms_place_discloses_less(spark):
+    rows, rule = made_rows(), P.Rule(generalise=0.45, remove=0.6)
+    known = disclosure(rows)
+    texts, kinds = dict(rows), set()
+    for r in P.sanitise(spark.createDataFrame(rows, "doc_id long, text string"), rule).collect():
+        text, last = texts[r.doc_id], 0
+        entities = {(k, text[a:b].lower()) for k, a, b in brute(text)}
+        worst = lambda t: max((known.get((e, t), 0.0) for e in entities), default=0.0)  # noqa: B023, E731
+        out = []
+        cuts = [(a, b, f"[{k.upper()}]") for k, a, b in brute(text)]
+        for a, b, w in words_of(text):
+            if worst(("word", w)) >= rule.generalise:
+                options = [(("stem", stem(w)), text[a:b][: len(stem(w))] + "*")] if stem(w) else []
+                options += [(("shape", shape(w)), f"[{shape(w)}]")]
+                place = "" if worst(("word", w)) >= rule.remove else next((p for c, p in options if worst(c) < rule.generalise), "")
+                kinds.add(place[:1] and ("stem" if place.endswith("*") else "shape"))
+                cuts.append((a, b, place))
+        for a, b, place in sorted(cuts):
+            out += [text[last:a], place]
+            last = b
+        assert r.text == "".join([*out, text[last:]])
+    assert kinds == {"", "stem", "shape"}
+
+
+def test_the_query_against_brute_force(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    known, texts = disclosure(rows), dict(rows)
+    for r in P.op9_pii(spark, folder).collect():
+        base = brute(texts[r.doc_id])
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == kind for k, _, _ in base) for kind in PATTERNS)
+        digest = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert r.base_sha256 == hashlib.sha256(digest.encode()).hexdigest()
+        entities = {(k, re.sub("[^0-9]", "", texts[r.doc_id][a:b]) if k in ("card", "phone") else texts[r.doc_id][a:b].lower()) for k, a, b in base}
+        terms = [("term", a, b) for a, b, w in words_of(texts[r.doc_id]) if max((known.get((e, ("word", w)), 0.0) for e in entities), default=0.0) >= P.Rule.generalise]
+        assert r.n_term == len(terms) and r.spans == ",".join(f"{k}:{a}:{b}" for k, a, b in base + terms)

@@ -38,7 +38,7 @@ def test_clean_documents_stay(stages):
 
 def test_one_of_each_group(stages):
     docs, made = stages[1]
-    want = sorted(d for d, _, c in components([(r.doc_id, r.text) for r in docs.collect()]) if d == c)
+    want = sorted(d for d, _, c in components([(r.doc_id, r.text) for r in docs.collect()], 5, 80) if d == c)
     assert sorted(r.doc_id for r in made.collect()) == want
 
 
@@ -76,6 +76,21 @@ def test_repeated_rows_and_empty_tables(spark):
     assert decontamination.scan(docs, docs.selectExpr("doc_id AS item_id", "text").limit(0)).count() == 4
 
 
+def test_columns_of_the_same_names_long_texts_and_ties(spark):
+    """Columns named like the stages' own, a very long text, and two languages with equal claims."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, language string, contamination string, pii string, _language string"
+    english, german = "the harbour was calm and people walked there ", "der hafen war ruhig und leute gingen dort "
+    rows = [(i, (english if i % 2 else german) * (i + 1) + f"w{i} " * 9, "en" if i % 2 else "de", "s", 1, "a", "b", "c", "d") for i in range(12)]
+    rows += [(50, "walked a.b@mail.example " + english * 30_000, "en", "s", 1, "a", "b", "c", "d"), (51, english * 5 + german * 5, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    for _, stage in C.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, SF).collect(), schema)
+        assert docs.columns == [c.split()[0] for c in schema.split(", ")] and {(r.language, r.pii) for r in docs.collect()} <= {("a", "c"), (None, None)}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert "[EMAIL]" in texts[50] and len(texts[50]) > 1_000_000
+    assert sum(r.length for r in C.pack(spark, docs, SF).where("doc_id = 50").collect()) > 200_000
+
+
 def test_near_duplicates_by_five_words_and_four_fifths(spark):
     def shingles(text, k):
         w = text.split()
