@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import csv
 import sys
 
 from pyspark.sql import SparkSession
@@ -16,7 +17,7 @@ def _parser() -> argparse.ArgumentParser:
     a.add_argument("--output", required=True)
     a.add_argument("--no-derived", action="store_true")
     a.add_argument("--canonical-only", action="store_true")
-    v = commands.add_parser("layout", help="coordinates of a graph's nodes, as CSV, and a picture where matplotlib is installed")
+    v = commands.add_parser("layout", help="coordinates of a graph's nodes, as CSV, or a picture, as SVG")
     v.add_argument("json_path")
     v.add_argument("-o", "--output", required=True)
     v.add_argument("--hide-unresolved", action="store_true")
@@ -24,7 +25,8 @@ def _parser() -> argparse.ArgumentParser:
     v.add_argument("--relationships", default="")
     v.add_argument("--layout", default="hierarchical")
     v.add_argument("--title", default="Repository graph")
-    v.add_argument("--dpi", type=int, default=200)
+    v.add_argument("--dpi", type=int, default=200, help="of no effect: the picture is one of lines")
+    v.add_argument("--show", action="store_true", help="print the picture too")
     return parser
 
 
@@ -40,28 +42,24 @@ def main(argv: list[str] | None = None) -> int:
             print(f"{name}: {value}")
         print(f"canonical hash: {analysis.canonical_hash()}")
         return 0
+    from .operators.draw import as_graph, visualize_graph
     from .operators.layout import compute_layout
     from .operators.query import visible
-    from .sources.graph_io import import_json
 
     types = [t.strip().upper() for t in args.relationships.split(",") if t.strip()]
-    graph = visible(import_json(spark, args.json_path), args.hide_unresolved, args.hide_derived, types)
-    places = compute_layout(graph, args.layout).toPandas()  # a drawing's nodes
     if args.output.endswith(".csv"):
-        places.to_csv(args.output, index=False)
+        graph = visible(as_graph(spark, args.json_path), args.hide_unresolved, args.hide_derived, types)
+        with open(args.output, "w", encoding="utf-8", newline="") as out:
+            rows = csv.writer(out)
+            rows.writerow(("id", "x", "y"))
+            rows.writerows(compute_layout(graph, args.layout).orderBy("id").toLocalIterator())
         return 0
-    try:
-        import matplotlib.pyplot as plt
-    except ImportError:
-        print("matplotlib is not installed; write coordinates to a .csv file instead", file=sys.stderr)
+    if not args.output.endswith(".svg"):
+        print("the output is a .svg picture or a .csv table", file=sys.stderr)
         return 1
-    at = {r.id: (r.x, r.y) for r in places.itertuples()}
-    _, axes = plt.subplots()
-    for e in graph.edges.select("source", "target").collect():
-        axes.annotate("", at[e.target], at[e.source], arrowprops={"arrowstyle": "->"})
-    axes.scatter(places.x, places.y)
-    axes.set_title(args.title)
-    plt.savefig(args.output, dpi=args.dpi)
+    text = visualize_graph(args.json_path, args.output, args.hide_unresolved, args.hide_derived, types, args.layout, args.title, spark)
+    if args.show:
+        print(text)
     return 0
 
 

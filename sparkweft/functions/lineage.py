@@ -4,14 +4,22 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the session's checkpoint directory (spark.checkpoint.dir)."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
+def shared_dir(spark: SparkSession) -> str:
+    """The session's checkpoint directory (spark.checkpoint.dir); a local session without one gets one."""
+    context = spark.sparkContext
+    found = context._jsc.sc().getCheckpointDir()
+    if not found.isDefined():
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="sparkweft-"))
+        found = context._jsc.sc().getCheckpointDir()
+    return found.get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder; a lost executor doesn't lose it."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -85,12 +85,17 @@ def signature(explicit: Column, kind: Column, name: Column, arguments: Column, b
     return F.coalesce(blank_to_null(explicit), made)
 
 
+# The labels of a chunk's lines.
+CHUNK_LABELS = ("Entity Type", "Name", "Qualified Name", "File", "Signature", "Docstring", "Source Code")
+
+
 def chunk_text(kind: Column, name: Column, qualified: Column, path: Column, sign: Column, doc: Column, source: Column) -> Column:
     """What a chunk says of its entity, a line each; parts that are missing or empty are left out."""
+    of_type, of_name, of_qualified, of_file, of_signature, of_doc, of_source = CHUNK_LABELS
     line = lambda label, value, link=" ": F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(f"{label}:{link}"), value))
     return F.concat_ws(
-        "\n", F.concat(F.lit("Entity Type: "), F.initcap(kind)), F.concat(F.lit("Name: "), name), F.when(qualified != name, line("Qualified Name", qualified)),
-        F.concat(F.lit("File: "), path), line("Signature", sign), line("Docstring", doc), line("Source Code", source, "\n"),
+        "\n", F.concat(F.lit(f"{of_type}: "), F.initcap(kind)), F.concat(F.lit(f"{of_name}: "), name), F.when(qualified != name, line(of_qualified, qualified)),
+        F.concat(F.lit(f"{of_file}: "), path), line(of_signature, sign), line(of_doc, doc), line(of_source, source, "\n"),
     )
 
 
@@ -98,11 +103,16 @@ def contains_ignoring_case(value: str | Column, part: str) -> Column:
     return F.contains(F.lower(_text(value)), F.lower(F.lit(part)))
 
 
-def node_label(synthetic: Column, kind: Column, name: Column, raw_call: Column, longest: int = 18) -> Column:
-    """A short label: placeholders with a question mark, functions and methods with parentheses."""
-    called = F.when(kind.isin("Function", "Method") & ~F.contains(name, F.lit("(")), F.concat(name, F.lit("()"))).otherwise(name)
-    label = F.when(synthetic, F.concat(F.lit("? "), F.coalesce(raw_call, name))).otherwise(called)
-    return F.when(F.length(label) > longest, F.concat(F.substr(label, F.lit(1), F.lit(longest - 3)), F.lit("..."))).otherwise(label)
+def node_label(synthetic: Column, kind: Column, name: Column, raw_call: Column, identifier: Column, longest: int = 18) -> Column:
+    """A short label: placeholders with a question mark before their call, functions and methods with parentheses.
+
+    What is longer than `longest` is cut; the question mark doesn't count. Without a name it is the identifier's last part.
+    """
+    short = lambda c: F.when(F.length(c) > longest, F.concat(F.substr(c, F.lit(1), F.lit(longest - 3)), F.lit("..."))).otherwise(c)
+    plain = F.coalesce(blank_to_null(name), F.element_at(F.split(identifier, ":"), -1))
+    called = F.when(kind.isin("Function", "Method") & ~F.contains(plain, F.lit("(")), F.concat(plain, F.lit("()"))).otherwise(plain)
+    placeholder = F.coalesce(synthetic, F.lit(False)) | F.coalesce(kind == "UnresolvedReference", F.lit(False))
+    return F.when(placeholder, F.concat(F.lit("? "), short(F.coalesce(blank_to_null(raw_call), plain)))).otherwise(short(called))
 
 
 def dot(a: str | Column, b: str | Column) -> Column:

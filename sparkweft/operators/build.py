@@ -6,7 +6,7 @@ import json
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import schema as S
@@ -56,11 +56,26 @@ def with_entity_flags(entities: DataFrame) -> DataFrame:
     })
 
 
-def _first_of_each(rows: DataFrame, keys: list[str], values: list[str], order: str) -> DataFrame:
-    """rows with `fresh` (the first of its keys) and `same` (equal to that first one in the values)."""
+def _judged(rows: DataFrame, keys: list[str], values: list[str], order: str) -> DataFrame:
+    """rows with `fresh` (the first of its keys) and `same` (equal to that first one in the values): one shuffle, and none where rows lie by one of the keys."""
+    so_far = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     print_ = F.struct(*values)
-    first = rows.groupBy(*keys).agg(F.min(order).alias("_least"), F.min_by(print_, order).alias("_first"))
-    return rows.join(first, keys).withColumn("fresh", F.col(order) == F.col("_least")).withColumn("same", print_.eqNullSafe(F.col("_first"))).drop("_least", "_first")
+    first = F.first(F.struct(F.col(order).alias("o"), print_.alias("v"))).over(so_far)
+    return rows.withColumn("_first", first).withColumn("fresh", F.col(order) == F.col("_first.o")).withColumn("same", print_.eqNullSafe(F.col("_first.v"))).drop("_first")
+
+
+def _judged_entities(entities: DataFrame) -> DataFrame:
+    return _judged(entities.withColumn("_type", S.normalised(F.col("type"), S.NODE_LOOKUP)), ["id"], ["_type", "name", "path", "location", "properties"], "ord")
+
+
+def _judged_relationships(relationships: DataFrame, ids: DataFrame, made: DataFrame) -> DataFrame:
+    """relationships with what there is of their ends (ids of entities; made: placeholders), and whether they repeat others."""
+    # A node is there from its entity on, a placeholder from its first unresolved relationship on.
+    there = ids.select("id", F.lit(-1).cast("long").alias("since")).union(made.select("target", "ord"))
+    sources, targets = there.toDF("source", "source_since"), there.toDF("target", "target_since")
+    # By target first, so that rows lie by source for what follows.
+    known = relationships.join(targets, "target", "left").join(sources, "source", "left").withColumn("_type", S.normalised(F.col("type"), S.RELATIONSHIP_LOOKUP)).withColumn("_key", F.coalesce("id", "_type"))
+    return _judged(known, ["source", "target", "_key"], ["_type", "location", "properties"], "ord")
 
 
 def placeholders(entities: DataFrame, relationships: DataFrame) -> DataFrame:
@@ -73,9 +88,13 @@ def placeholders(entities: DataFrame, relationships: DataFrame) -> DataFrame:
 
 def violations(entities: DataFrame, relationships: DataFrame, strict_duplicates: bool = False) -> DataFrame:
     """What breaks a rule: phase, ord, rank, error, message. The first in this order is the one raised."""
+    nodes = _judged_entities(entities)
+    ids = entities.select("id").distinct()
+    return _faults(nodes, _judged_relationships(relationships, ids, placeholders(entities, relationships)), strict_duplicates)
+
+
+def _faults(nodes: DataFrame, edges: DataFrame, strict_duplicates: bool) -> DataFrame:
     blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
-    of_type = S.normalised(F.col("type"), S.NODE_LOOKUP)
-    seen = _first_of_each(entities.withColumn("_type", of_type), ["id"], ["_type", "name", "path", "location", "properties"], "ord")
     fault = lambda rank, error, message: F.struct(F.lit(rank).alias("rank"), F.lit(error).alias("error"), message.alias("message"))
     quoted = lambda c: F.concat(F.lit("'"), F.coalesce(F.col(c), F.lit("None")), F.lit("'"))
     of_node = (
@@ -85,13 +104,6 @@ def violations(entities: DataFrame, relationships: DataFrame, strict_duplicates:
         .when(~F.col("same"), fault(3, "NodeAlreadyExistsError", F.concat(F.lit("Node "), quoted("id"), F.lit(" already exists with other values."))))
         .when(~F.col("fresh") & F.lit(strict_duplicates), fault(4, "NodeAlreadyExistsError", F.concat(F.lit("Node "), quoted("id"), F.lit(" already exists."))))
     )
-    nodes = seen.select(F.lit(0).alias("phase"), "ord", of_node.alias("f")).where("f IS NOT NULL")
-
-    # A node is there from its entity on, a placeholder from its first unresolved relationship on.
-    there = entities.select("id").distinct().withColumn("since", F.lit(-1).cast("long")).union(placeholders(entities, relationships).select("target", "ord"))
-    sources, targets = there.toDF("source", "source_since"), there.toDF("target", "target_since")
-    known = relationships.join(sources, "source", "left").join(targets, "target", "left").withColumn("_type", S.normalised(F.col("type"), S.RELATIONSHIP_LOOKUP)).withColumn("_key", F.coalesce("id", "_type"))
-    seen = _first_of_each(known, ["source", "target", "_key"], ["_type", "location", "properties"], "ord")
     named = F.concat(F.lit("Cannot create relationship '"), F.coalesce("id", "type"), F.lit("': "))
     of_edge = (
         F.when(F.col("source_since").isNull() | (F.col("source_since") >= F.col("ord")), fault(0, "NodeNotFoundError", F.concat(named, F.lit("Source entity "), quoted("source"), F.lit(" does not exist in graph."))))
@@ -99,8 +111,8 @@ def violations(entities: DataFrame, relationships: DataFrame, strict_duplicates:
         .when(F.col("_type").isNull(), fault(2, "InvalidRelationshipTypeError", F.concat(F.lit("Invalid relationship type "), quoted("type"))))
         .when(~F.col("same"), fault(3, "RelationshipAlreadyExistsError", F.concat(F.lit("Relationship "), quoted("id"), F.lit(" already exists with other values."))))
     )
-    edges = seen.select(F.lit(1).alias("phase"), "ord", of_edge.alias("f")).where("f IS NOT NULL")
-    return nodes.union(edges).select("phase", "ord", "f.*")
+    found = lambda rows, phase, of: rows.select(F.lit(phase).alias("phase"), "ord", of.alias("f")).where("f IS NOT NULL")
+    return found(nodes, 0, of_node).union(found(edges, 1, of_edge)).select("phase", "ord", "f.*")
 
 
 def from_tables(entities: DataFrame, relationships: DataFrame, metadata: dict[str, Any] | None = None, strict_duplicates: bool = False, on_missing: str = "error", check: bool = True) -> PropertyGraph:
@@ -117,27 +129,29 @@ def from_tables(entities: DataFrame, relationships: DataFrame, metadata: dict[st
         dangling = relationships.where("NOT is_unresolved").join(ids, "target", "left_anti")
         kept = relationships.join(dangling.select("ord"), "ord", "left_anti")
         relationships = kept if on_missing == "drop" else kept.unionByName(dangling.withColumn("is_unresolved", F.lit(True)).select(*kept.columns))
+    # Both tables are judged once; the check and the graph read the same rows.
+    judged = cut(_judged_entities(entities))
+    ids = judged.where("fresh").select("id")
+    made = cut(placeholders(ids, relationships))
+    edges = cut(_judged_relationships(relationships, ids, made))
     if check:
-        first = violations(entities, relationships, strict_duplicates).orderBy("phase", "ord", "rank").head()
+        first = _faults(judged, edges, strict_duplicates).orderBy("phase", "ord", "rank").head()
         if first:
             raise _ERRORS[first.error](first.message)
-    fresh = _first_of_each(entities, ["id"], ["type"], "ord").where("fresh")
     nothing = F.lit(None).cast("string")
-    nodes = fresh.select(
-        "id", S.normalised(F.col("type"), S.NODE_LOOKUP).alias("type"), "name", "path", "location", "properties",
+    nodes = judged.where("fresh").select(
+        "id", F.col("_type").alias("type"), "name", "path", "location", "properties",
         F.lit(False).alias("is_synthetic"), F.lit(True).alias("resolved"), nothing.alias("raw_call"), nothing.alias("extra"), F.col("ord").alias("node_ord"),
     )
-    after = entities.agg((F.coalesce(F.max("ord"), F.lit(-1)) + 1).alias("after"))
-    made = placeholders(entities, relationships).crossJoin(F.broadcast(after)).select(  # one row
+    after = (judged.agg(F.max("ord")).first()[0] or 0) + 1
+    placed = made.select(
         F.col("target").alias("id"), F.lit(S.PLACEHOLDER).alias("type"), F.col("raw_call").alias("name"), nothing.alias("path"), F.lit(None).cast(S.LOCATION).alias("location"), "properties",
-        F.lit(True).alias("is_synthetic"), F.lit(False).alias("resolved"), "raw_call", nothing.alias("extra"), (F.col("after") + F.col("ord")).alias("node_ord"),
+        F.lit(True).alias("is_synthetic"), F.lit(False).alias("resolved"), "raw_call", nothing.alias("extra"), (F.lit(after) + F.col("ord")).alias("node_ord"),
     )
-    kind = S.normalised(F.col("type"), S.RELATIONSHIP_LOOKUP)
-    keyed = relationships.withColumn("key", F.coalesce("id", kind))
-    edges = _first_of_each(keyed, ["source", "target", "key"], ["type"], "ord").where("fresh").select(
-        "source", "target", "key", "id", kind.alias("type"), "location", "properties", "is_derived", "is_primitive", "is_unresolved", nothing.alias("extra"), F.col("ord").alias("edge_ord"),
+    kept = edges.where("fresh").select(
+        "source", "target", F.col("_key").alias("key"), "id", F.col("_type").alias("type"), "location", "properties", "is_derived", "is_primitive", "is_unresolved", nothing.alias("extra"), F.col("ord").alias("edge_ord"),
     )
-    return PropertyGraph(nodes.unionByName(made), edges, metadata or {})
+    return PropertyGraph(nodes.unionByName(placed), kept, metadata or {})
 
 
 def _loaded(data: dict | str | Path) -> dict:
@@ -224,3 +238,10 @@ def _merged(old: DataFrame, new: DataFrame, keys: list[str], order: str, error:
     if found:
         raise error(f"{' -> '.join(found)} already exists with other values.")
     return grouped.select(*old.columns)
+
+
+def merged_rows(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """One row for each of the keys: of every column the value of the first row that has one."""
+    values = [c for c in rows.columns if c not in (*keys, order)]
+    first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in values]
+    return rows.groupBy(*keys).agg(*first, F.min(order).alias(order)).select(*rows.columns)

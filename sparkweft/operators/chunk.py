@@ -98,6 +98,41 @@ class HashingEmbedder:
         return [x / size for x in out] if size else out
 
 
+_models: dict[object, object] = {}
+
+
+class PooledEmbedder:
+    """Any model of token vectors, as an Embedder: the mean over a text's tokens by the mask, with length one.
+
+    load() gives the model, which each worker loads once, when it is first needed. The model takes texts
+    and the most tokens of one, and gives their token vectors and masks (0 for padding), texts padded to one length.
+    """
+
+    def __init__(self, load, dimension: int, longest: int = 512, batch: int = 16):
+        self.load, self.dimension, self.longest, self.batch = load, dimension, longest, batch
+
+    def __call__(self, texts: Sequence[str]) -> list[list[float]]:
+        import numpy as np
+
+        if self.load not in _models:
+            _models[self.load] = self.load()
+        out: list[list[float]] = []
+        for at in range(0, len(texts), self.batch):
+            some = [t or "" for t in texts[at : at + self.batch]]
+            vectors, mask = _models[self.load](some, self.longest)
+            mask = np.asarray(mask, float).reshape(len(some), -1, 1)
+            vectors = np.asarray(vectors, float).reshape(len(some), -1, self.dimension)
+            mean = (vectors * mask).sum(axis=1) / np.maximum(mask.sum(axis=1), 1e-9)
+            size = np.linalg.norm(mean, axis=1, keepdims=True)
+            out += (mean / np.where(size > 0, size, 1)).tolist()
+        return out
+
+
+def embed_text(text: str, embedder: Embedder | None = None) -> list[float]:
+    """The vector of one text."""
+    return (embedder or HashingEmbedder())([text])[0]
+
+
 def embed(chunks: DataFrame, embedder: Embedder | None = None, text: str = "text_representation") -> DataFrame:
     """chunks with an embedding (array<float>) of the text column; null texts count as empty."""
     use = embedder or HashingEmbedder()

@@ -2,34 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
+from ..functions.numbering import numbered
 from .graph import PropertyGraph
-from .traverse import hops
+from .traverse import reached
 
-# The level of a node that containment doesn't reach, by type.
-LEVELS = {"Repository": 0, "Directory": 1, "File": 2, "Module": 2, "Class": 3, "Function": 3, "Method": 4, "UnresolvedReference": 5}
+# The level of a node that containment doesn't reach, by type; of other types; of synthetic nodes.
+LEVELS = {"Repository": 0, "Directory": 1, "File": 2, "Class": 3, "Function": 3, "Method": 4, "UnresolvedReference": 5}
+OTHER_LEVEL, SYNTHETIC_LEVEL = 2, 5
 
 
 def _level_of_type():
-    out = F.lit(3)
+    out = F.lit(OTHER_LEVEL)
     for kind, level in LEVELS.items():
         out = F.when(F.col("type") == kind, level).otherwise(out)
     return out
 
 
 def node_levels(graph: PropertyGraph) -> DataFrame:
-    """(id, level): least distance from a node that nothing contains, over CONTAINS; else by type."""
-    contains = graph.edges.where("type = 'CONTAINS'").select("source", "target").distinct()
-    parents = contains.select(F.col("source").alias("id")).distinct()
-    roots = parents.join(contains.select(F.col("target").alias("id")), "id", "left_anti")
-    if roots.isEmpty():  # all in cycles: repositories, or else whatever there is, begin
-        repositories = graph.nodes.where("type = 'Repository'").select("id")
-        roots = repositories if not repositories.isEmpty() else graph.nodes.select("id").orderBy("node_ord").limit(1)
-    depth = hops(graph, roots.select(F.col("id").alias("seed")), len(LEVELS) * 8, ["CONTAINS"], "out").groupBy("id").agg(F.min("hop").alias("hop"))
-    return graph.nodes.join(depth, "id", "left").select("id", F.when(F.col("is_synthetic"), 5).otherwise(F.coalesce("hop", _level_of_type())).alias("level"))
+    """(id, level): least distance over CONTAINS from a node that contains others and that nothing contains.
+
+    Where there is none, the roots are the nodes that no edge enters, or else the first node. What no
+    root reaches has the level of synthetic nodes, or that of its type.
+    """
+    contains = cut(graph.edges.where("type = 'CONTAINS'").select("source", "target").distinct())
+    inside = contains.select(F.col("source").alias("id")).union(contains.select("target")).distinct()
+    roots = contains.select(F.col("source").alias("id")).distinct().join(contains.select(F.col("target").alias("id")), "id", "left_anti")
+    if roots.isEmpty():
+        entered = graph.edges.select(F.col("target").alias("id"))
+        roots = graph.nodes.select("id").join(entered, "id", "left_anti")
+        if roots.isEmpty():
+            roots = graph.nodes.orderBy("node_ord").limit(1).select("id")
+    depth = reached(roots, contains.toDF("at", "to")).join(inside, "id", "left_semi")
+    synthetic = F.coalesce("is_synthetic", F.lit(False)) | (F.col("type") == "UnresolvedReference")
+    return graph.nodes.join(depth, "id", "left").select("id", F.coalesce("hop", F.when(synthetic, SYNTHETIC_LEVEL), _level_of_type()).alias("level"))
 
 
 def hierarchical_layout(graph: PropertyGraph, horizontal: float = 3.0, vertical: float = 2.4) -> DataFrame:
@@ -38,27 +47,30 @@ def hierarchical_layout(graph: PropertyGraph, horizontal: float = 3.0, vertical:
     Parents are the containing nodes; a node without any goes by all nodes with edges to it.
     """
     levels = cut(node_levels(graph))
-    last = levels.agg(F.max("level")).first()[0]
-    edges = graph.edges.select("source", F.col("target").alias("id"), "type")
+    edges = cut(graph.edges.select("source", F.col("target").alias("id"), (F.col("type") == "CONTAINS").alias("holds")))
     placed = graph.spark.createDataFrame([], "id string, x double, y double")
-    for level in range((-1 if last is None else last) + 1):
+    for level, width in sorted((r.level, r["count"]) for r in levels.groupBy("level").count().collect()):  # a row a level
         here = levels.where(F.col("level") == level).select("id")
-        above = edges.join(placed.select(F.col("id").alias("source"), "x"), "source")
-        held = above.where("type = 'CONTAINS'").select("source", "id", "x").distinct().groupBy("id").agg(F.avg("x").alias("held"))
-        near = above.groupBy("id").agg(F.avg("x").alias("near"))
-        order = here.join(held, "id", "left").join(near, "id", "left").select("id", F.coalesce("held", "near", F.lit(0.0)).alias("mean"))
-        width = order.count()
-        place = F.row_number().over(Window.orderBy("mean", "id")) - 1
-        x = -(width - 1) * horizontal / 2 + place * horizontal
-        placed = cut(placed.union(order.select("id", (x if width > 1 else F.lit(0.0)).alias("x"), F.lit(-level * vertical).alias("y"))))
+        above = edges.join(here, "id", "left_semi").join(placed.select(F.col("id").alias("source"), "x"), "source")
+        # Parallel edges count each, but a containing node once.
+        by_source = above.groupBy("id", "source").agg(F.first("x").alias("x"), F.count("*").alias("n"), F.max("holds").alias("holds"))
+        means = by_source.groupBy("id").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("near"), F.avg(F.when(F.col("holds"), F.col("x"))).alias("held"))
+        order = here.join(means, "id", "left").select("id", F.coalesce("held", "near", F.lit(0.0)).alias("mean"))
+        x = F.col("place") * horizontal - (width - 1) * horizontal / 2
+        placed = cut(placed.union(numbered(order, "mean", "id").select("id", x.alias("x"), F.lit(-level * vertical).alias("y"))))
     return placed
 
 
 def multipartite_layout(graph: PropertyGraph) -> DataFrame:
     """(id, x, y): a column a type, its nodes by id around the middle."""
-    w = Window.partitionBy("type")
-    size, place = F.count("*").over(w), F.row_number().over(w.orderBy("id")) - 1
-    return graph.nodes.select("id", _level_of_type().cast("double").alias("x"), (place - (size - 1) / 2).alias("y"))
+    placed = numbered(graph.nodes.select(F.coalesce("type", F.lit("")).alias("type"), "id"), "type", "id")
+    sizes, begins, total = sorted((r.type, r["count"]) for r in placed.groupBy("type").count().collect()), [], 0  # a row a type
+    for kind, n in sizes:
+        begins.append((kind, total, n))
+        total += n
+    columns = graph.spark.createDataFrame(begins, "type string, begin long, size long")
+    y = F.col("place") - F.col("begin") - (F.col("size") - 1) / 2
+    return placed.join(F.broadcast(columns), "type").select("id", _level_of_type().cast("double").alias("x"), y.alias("y"))
 
 
 def compute_layout(graph: PropertyGraph, layout: str = "hierarchical") -> DataFrame:

@@ -70,8 +70,22 @@ def hops(graph: PropertyGraph, seeds: DataFrame, max_hops: int = 2, rel_types=No
     seen = cut(seeds.select("seed", F.col("seed").alias("id"), F.lit(0).alias("hop")).distinct())
     front = seen
     for hop in range(1, max_hops + 1):
-        reached = front.join(steps, front["id"] == steps["at"]).select("seed", F.col("to").alias("id")).distinct()
-        front = cut(reached.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("hop", F.lit(hop)))
+        found = front.join(steps, front["id"] == steps["at"]).select("seed", F.col("to").alias("id")).distinct()
+        front = cut(found.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("hop", F.lit(hop)))
+        if front.isEmpty():
+            break
+        seen = seen.union(front)
+    return seen
+
+
+def reached(roots: DataFrame, steps: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """(id, hop) of what steps (at, to) reach from any of the roots (id), with the distance of the nearest one."""
+    seen = front = cut(roots.select("id").distinct().withColumn("hop", F.lit(0)))
+    hop = 0
+    while max_hops is None or hop < max_hops:
+        hop += 1
+        found = front.join(steps, front["id"] == steps["at"]).select(F.col("to").alias("id")).distinct()
+        front = cut(found.join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop)))
         if front.isEmpty():
             break
         seen = seen.union(front)
@@ -88,18 +102,10 @@ def _seeds(graph: PropertyGraph, seeds) -> tuple[list[str], DataFrame]:
 def multi_hop_traversal(graph: PropertyGraph, seeds, max_hops: int = 2, rel_types=None, direction: str = "both", include_unresolved: bool = True) -> DataFrame:
     """(id, hop) of the nodes within max_hops of the nearest seed; the seeds themselves at hop 0."""
     _, rows = _seeds(graph, seeds)
-    together = rows.select(F.lit(0).alias("seed"), F.col("seed").alias("id"), F.lit(0).alias("hop")).distinct()
     steps = _steps(graph, rel_types, direction)
     if not include_unresolved:
         steps = steps.join(graph.nodes.where("is_synthetic").select(F.col("id").alias("to")), "to", "left_anti").select("at", "to")
-    seen = front = cut(together.select("id", "hop"))
-    for hop in range(1, max_hops + 1):
-        reached = front.join(steps, front["id"] == steps["at"]).select(F.col("to").alias("id")).distinct()
-        front = cut(reached.join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop)))
-        if front.isEmpty():
-            break
-        seen = seen.union(front)
-    return seen
+    return reached(rows.select(F.col("seed").alias("id")), steps, max_hops)
 
 
 @dataclass(frozen=True)
@@ -134,8 +140,8 @@ def shortest_paths(graph: PropertyGraph, source: str, rel_types=None, max_depth:
     depth = 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        reached = front.join(steps, front["id"] == steps["at"]).select(F.col("to").alias("id"), F.lit(depth).alias("depth"), F.concat("path", F.array("to")).alias("path"), F.concat("keys", F.array("place")).alias("keys"))
-        best = reached.join(seen.select("id"), "id", "left_anti").groupBy("id").agg(F.first("depth").alias("depth"), F.min_by("path", "keys").alias("path"), F.min("keys").alias("keys"))
+        found = front.join(steps, front["id"] == steps["at"]).select(F.col("to").alias("id"), F.lit(depth).alias("depth"), F.concat("path", F.array("to")).alias("path"), F.concat("keys", F.array("place")).alias("keys"))
+        best = found.join(seen.select("id"), "id", "left_anti").groupBy("id").agg(F.first("depth").alias("depth"), F.min_by("path", "keys").alias("path"), F.min("keys").alias("keys"))
         front = cut(best)
         if front.isEmpty():
             break

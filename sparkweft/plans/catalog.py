@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -9,8 +12,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
-from ..operators import build, depends, layout, metrics, query, retrieve, traverse, validate
-from . import star
+from ..functions.lineage import shared_dir
+from ..functions.schema import LOCATION
+from ..operators import build, chunk, depends, layout, metrics, query, retrieve, traverse, validate
+from ..sources import graph_io
+from . import star, tree
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,7 +56,7 @@ _BASIC = ("id", "type", "name", "path", "is_synthetic")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traverse.multi_hop_traversal(star.graph(spark, sf_dir, derived=False).kept(), "file:c0", 2, PRIMITIVE).withColumnRenamed("id", "node_id")
+    return traverse.multi_hop_traversal(star.graph(spark, sf_dir, derived=False), "file:c0", 2, PRIMITIVE).withColumnRenamed("id", "node_id")
 
 
 # Counts and statistics.
@@ -189,20 +195,20 @@ near AS (SELECT id, min(hop) AS hop FROM reach GROUP BY id)
 
 @_star("multi_hop_2_both", _REACH.format(n=2) + "SELECT id, hop FROM near", recursive=True)
 def _(spark, d):
-    return traverse.multi_hop_traversal(star.graph(spark, d, derived=False).kept(), "file:c0", 2)
+    return traverse.multi_hop_traversal(star.graph(spark, d, derived=False), "file:c0", 2)
 
 
 @_star("multi_hop_3_contains_out", """, reach AS (SELECT 'repo:0' AS id, 0 AS hop UNION SELECT target, hop + 1 FROM reach JOIN E ON source = id AND type = 'CONTAINS' WHERE hop < 3)
 SELECT id, min(hop) AS hop FROM reach GROUP BY id""", recursive=True)
 def _(spark, d):
-    return traverse.multi_hop_traversal(star.graph(spark, d).kept(), "repo:0", 3, ["CONTAINS"], "out")
+    return traverse.multi_hop_traversal(star.graph(spark, d), "repo:0", 3, ["CONTAINS"], "out")
 
 
 @_star("multi_hop_batch", """, steps AS (SELECT source AS a, target AS b FROM E0 WHERE target NOT LIKE 'unresolved:%' AND type <> 'CONTAINS'),
 reach AS (SELECT id AS seed, id, 0 AS hop FROM N WHERE type = 'File' UNION SELECT seed, b, hop + 1 FROM reach JOIN steps ON a = id WHERE hop < 2)
 SELECT seed, id, min(hop) AS hop FROM reach GROUP BY seed, id""", recursive=True)
 def _(spark, d):
-    g = star.graph(spark, d, derived=False).kept()
+    g = star.graph(spark, d, derived=False)
     seeds = g.nodes.where("type = 'File'").select(F.col("id").alias("seed"))
     return traverse.hops(g, seeds, 2, ["CALLS", "IMPORTS", "INHERITS"], "out", include_unresolved=False)
 
@@ -215,31 +221,31 @@ near AS (SELECT id, min(hop) AS hop FROM reach GROUP BY id)
 
 @_star("expand_context_nodes", _CONTEXT + "SELECT N.id, type, name, hop FROM N JOIN near USING (id)", recursive=True)
 def _(spark, d):
-    found = traverse.expand_context(star.graph(spark, d, derived=False).kept(), "file:c0", 2)
+    found = traverse.expand_context(star.graph(spark, d, derived=False), "file:c0", 2)
     return found.nodes.join(found.hop_distances, "id").select("id", "type", "name", "hop")
 
 
 @_star("expand_context_edges", _CONTEXT + "SELECT source, target, type FROM E0 WHERE source IN (SELECT id FROM near) AND target IN (SELECT id FROM near)", recursive=True)
 def _(spark, d):
-    return traverse.expand_context(star.graph(spark, d, derived=False).kept(), "file:c0", 2).edges.select("source", "target", "type")
+    return traverse.expand_context(star.graph(spark, d, derived=False), "file:c0", 2).edges.select("source", "target", "type")
 
 
 @_star("structural_context", _CONTEXT.replace("hop < 2", "hop < 1") + "SELECT N.id, type FROM N JOIN near USING (id)", recursive=True)
 def _(spark, d):
-    return query.get_structural_context(star.graph(spark, d, derived=False).kept(), "file:c0").nodes.select("id", "type")
+    return query.get_structural_context(star.graph(spark, d, derived=False), "file:c0").nodes.select("id", "type")
 
 
 @_star("shortest_path_contains", """, walk AS (SELECT 'repo:1' AS id, 0 AS depth, 'repo:1' AS path UNION ALL SELECT target, depth + 1, path || '>' || target FROM walk JOIN E0 ON source = id AND type = 'CONTAINS')
 SELECT id, depth, path FROM walk""", recursive=True)
 def _(spark, d):
-    found = traverse.shortest_paths(star.graph(spark, d, derived=False).kept(), "repo:1", ["CONTAINS"])
+    found = traverse.shortest_paths(star.graph(spark, d, derived=False), "repo:1", ["CONTAINS"])
     return found.select("id", "depth", F.array_join("path", ">").alias("path"))
 
 
 @_star("shortest_path_length", """, walk AS (SELECT 'file:c0' AS id, 0 AS depth UNION SELECT target, depth + 1 FROM walk JOIN E0 ON source = id WHERE depth < 3)
 SELECT id, min(depth) AS depth FROM walk GROUP BY id""", recursive=True)
 def _(spark, d):
-    return traverse.shortest_paths(star.graph(spark, d, derived=False).kept(), "file:c0", max_depth=3).select("id", "depth")
+    return traverse.shortest_paths(star.graph(spark, d, derived=False), "file:c0", max_depth=3).select("id", "depth")
 
 
 # Building and validation.
@@ -247,15 +253,15 @@ def _(spark, d):
 
 def _analysis(spark, d):
     """The star graph without its placeholders and derived edges, as entities and relationships."""
-    g = star.graph(spark, d, derived=False).kept()
+    g = star.graph(spark, d, derived=False)
     entities = g.nodes.where("NOT is_synthetic").select("id", "type", "name", "path", "location", "properties", F.col("node_ord").alias("ord"))
     return entities, g.edges.select("id", "source", "target", "type", "location", "properties", F.abs("edge_ord").alias("ord"))
 
 
-@_star("build_graph", "SELECT type, is_synthetic, count(*) AS n FROM N GROUP BY ALL")
+@_star("build_graph", """SELECT id, type, name, is_synthetic FROM N UNION ALL SELECT 'rel:' || lower(type) || ':' || source || '->' || target, type, NULL, target LIKE 'unresolved:%' FROM E0""")
 def _(spark, d):
     built = build.from_tables(*_analysis(spark, d))
-    return built.nodes.groupBy("type", "is_synthetic").agg(F.count("*").alias("n"))
+    return built.nodes.select("id", "type", "name", "is_synthetic").union(built.edges.select("key", "type", F.lit(None).cast("string"), "is_unresolved"))
 
 
 @_star("placeholder_nodes", "SELECT id, name, name AS raw_call FROM N WHERE is_synthetic")
@@ -341,9 +347,10 @@ def _(spark, d):
     return docs.select("doc_id", X.chunk_text(F.lit("file"), F.col("source"), F.concat("source", F.lit("."), "doc_id"), F.col("lang"), F.lit(""), F.lit(None).cast("string"), F.col("text")).alias("chunk"))
 
 
-@_star("node_labels", "SELECT id, CASE WHEN len(l) > 18 THEN substr(l, 1, 15) || '...' ELSE l END AS label FROM (SELECT id, CASE WHEN is_synthetic THEN '? ' || name WHEN type = 'Function' THEN name || '()' ELSE name END AS l FROM N)")
+@_star("node_labels", """, raw AS (SELECT id, is_synthetic, CASE WHEN is_synthetic THEN name WHEN type IN ('Function', 'Method') AND NOT contains(name, '(') THEN name || '()' ELSE name END AS shown FROM N)
+SELECT id, CASE WHEN is_synthetic THEN '? ' ELSE '' END || CASE WHEN len(shown) > 18 THEN left(shown, 15) || '...' ELSE shown END AS label FROM raw""")
 def _(spark, d):
-    return star.graph(spark, d, derived=False).nodes.select("id", X.node_label(F.col("is_synthetic"), F.col("type"), F.col("name"), F.col("raw_call")).alias("label"))
+    return star.graph(spark, d, derived=False).nodes.select("id", X.node_label(F.col("is_synthetic"), F.col("type"), F.col("name"), F.col("raw_call"), F.col("id")).alias("label"))
 
 
 @_entry("symbol_last_writer", "SELECT c_nationkey AS path, c_mktsegment AS symbol, max_by(c_custkey, c_custkey) AS id FROM customer GROUP BY ALL")
@@ -440,7 +447,7 @@ def _(spark, d):
 
 # Text retrieval.
 
-_BM25 = r"""WITH q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM benchmark WHERE item_id < 5),
+_BM25 = r"""WITH q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM benchmark),
 t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM documents),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), dl AS (SELECT doc_id, count(*) AS len FROM t GROUP BY doc_id), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 st AS (SELECT count(*) AS n, avg(len) AS avg FROM dl),
@@ -454,7 +461,7 @@ def _documents(spark, d) -> DataFrame:
 
 
 def _questions(spark, d) -> DataFrame:
-    return star.tables(spark, d, "benchmark")[0].where("item_id < 5").select(F.col("item_id").alias("query_id"), "text")
+    return star.tables(spark, d, "benchmark")[0].select(F.col("item_id").alias("query_id"), "text")
 
 
 @_entry("bm25_top_k", _BM25 + "SELECT item_id AS query_id, doc_id AS entity_id, CAST(rank AS INT) AS rank, round(s, 4) AS score FROM r WHERE rank <= 10")
@@ -464,7 +471,7 @@ def _(spark, d):
 
 _TWO = f"""WITH v AS (SELECT b.vec_id AS id, b.label, {_COSINE} AS s FROM embeddings a, embeddings b WHERE a.vec_id = 0),
 a AS (SELECT id, s FROM (SELECT id, s, row_number() OVER (ORDER BY round(s, 6) DESC, id) AS r FROM v) WHERE r <= 30),
-b AS (SELECT id, 1.0 / (1 + id % 4) AS s FROM v WHERE id % 5 = 0),
+b AS (SELECT id, 1.0 / (1 + label) AS s FROM v),
 na AS (SELECT id, (s - min(s) OVER ()) / nullif(max(s) OVER () - min(s) OVER (), 0) AS s FROM a), nb AS (SELECT id, (s - min(s) OVER ()) / nullif(max(s) OVER () - min(s) OVER (), 0) AS s FROM b),
 h AS (SELECT coalesce(na.id, nb.id) AS id, 0.6 * coalesce(na.s, 0) + 0.4 * coalesce(nb.s, 0) AS s, CASE WHEN nb.id IS NULL THEN 'semantic' WHEN na.id IS NULL THEN 'structural' ELSE 'both' END AS evidence FROM na FULL JOIN nb ON na.id = nb.id)
 """
@@ -474,17 +481,17 @@ h AS (SELECT coalesce(na.id, nb.id) AS id, 0.6 * coalesce(na.s, 0) + 0.4 * coale
 def _(spark, d):
     chunks = _chunks(spark, d)
     semantic = retrieve.search(chunks, _first_vector(chunks), 30).select(F.lit(0).alias("query_id"), "entity_id", "score")
-    structural = chunks.where("entity_id % 5 = 0").select(F.lit(0).alias("query_id"), "entity_id", (F.lit(1.0) / (1 + F.col("entity_id") % 4)).alias("score"))
+    structural = chunks.select(F.lit(0).alias("query_id"), "entity_id", (F.lit(1.0) / (1 + F.col("entity_type").cast("int"))).alias("score"))
     return retrieve.hybrid(semantic, structural, 0.6, 0.4, 20).select("entity_id", "evidence", F.round("score", 6).alias("score"))
 
 
-@_star("structural_retrieval", """, q AS (SELECT id FROM N WHERE lower(name) IN ('customer', 'nation_3', 'nation_5')), reach AS (SELECT id, 0 AS hop FROM q UNION SELECT target, hop + 1 FROM reach JOIN E0 ON source = id WHERE hop < 2 AND target NOT LIKE 'unresolved:%'),
-r AS (SELECT id, 1.0 / (1 + min(hop)) AS s FROM reach GROUP BY id)
-SELECT 0 AS query_id, id AS entity_id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (ORDER BY s DESC, id) AS k FROM r) WHERE k <= 25""", recursive=True)
+@_star("structural_retrieval", """, q AS (SELECT n_nationkey AS query_id, id FROM nation JOIN N ON lower(name) = lower(n_name)),
+reach AS (SELECT query_id, id, 0 AS hop FROM q UNION SELECT query_id, target, hop + 1 FROM reach JOIN E0 ON source = id WHERE hop < 2 AND target NOT LIKE 'unresolved:%'),
+r AS (SELECT query_id, id, 1.0 / (1 + min(hop)) AS s FROM reach GROUP BY ALL)
+SELECT query_id, id AS entity_id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS k FROM r) WHERE k <= 25""", recursive=True)
 def _(spark, d):
-    g = star.graph(spark, d, derived=False).kept()
-    questions = spark.createDataFrame([(0, "Which customer of NATION_3 or nation_5 is there?")], "query_id int, text string")
-    return retrieve.structural(g, questions, 25, max_hops=2, direction="out").select("query_id", "entity_id", F.round("score", 6).alias("score"))
+    questions = star.tables(spark, d, "nation")[0].select(F.col("n_nationkey").alias("query_id"), F.concat(F.lit("Which files of "), "n_name", F.lit(" are there?")).alias("text"))
+    return retrieve.structural(star.graph(spark, d, derived=False), questions, 25, max_hops=2, direction="out").select("query_id", "entity_id", F.round("score", 6).alias("score"))
 
 
 @_star("graph_aware_rank", """, seeds AS (SELECT 'file:c0' AS id, 1.0 AS s UNION ALL SELECT 'file:c1', 0.5), steps AS (SELECT source AS a, target AS b FROM E0 WHERE type IN ('IMPORTS', 'CONTAINS')),
@@ -492,7 +499,7 @@ reach AS (SELECT id AS seed, id, 0 AS hop FROM seeds UNION SELECT seed, b, hop +
 r AS (SELECT near.id, max(s * power(0.5, hop)) AS s FROM near JOIN seeds ON seed = seeds.id GROUP BY near.id)
 SELECT 0 AS query_id, id AS entity_id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (ORDER BY s DESC, id) AS k FROM r) WHERE k <= 15""", recursive=True)
 def _(spark, d):
-    g = star.graph(spark, d, derived=False).kept()
+    g = star.graph(spark, d, derived=False)
     seeds = spark.createDataFrame([(0, "file:c0", 1.0), (0, "file:c1", 0.5)], "query_id int, entity_id string, score double")
     return retrieve.graph_aware(g, seeds, 15, 2, ["IMPORTS", "CONTAINS"], "out").select("query_id", "entity_id", F.round("score", 6).alias("score"))
 
@@ -509,65 +516,238 @@ def _(spark, d):
 
 # Layout.
 
+_LEVEL = "CASE WHEN type = 'Repository' THEN 0 WHEN type = 'Directory' THEN 1 WHEN type = 'File' THEN 2 WHEN type IN ('Class', 'Function') THEN 3 ELSE 5 END"
 
-@_star("label_layers", "SELECT id, CAST(CASE WHEN is_synthetic THEN 5 WHEN type = 'Repository' THEN 0 WHEN type = 'Directory' THEN 1 WHEN type = 'File' THEN 2 ELSE 3 END AS INT) AS level FROM N")
+
+@_star("label_layers", f"SELECT id, CAST({_LEVEL} AS INT) AS level FROM N")
 def _(spark, d):
-    return layout.node_levels(star.graph(spark, d, derived=False).kept())
+    return layout.node_levels(star.graph(spark, d, derived=False))
+
 
+def _level_sql(name: str, types: str, sources: str, edge: str, level: int) -> str:
+    """A level's places: by the mean x of the parents above, then by id."""
+    return f"""{name} AS (SELECT id, (row_number() OVER (ORDER BY mean, id) - 1) * 3.0 - (count(*) OVER () - 1) * 1.5 AS x, {level} AS level
+  FROM (SELECT N.id, coalesce(avg(p.x), 0.0) AS mean FROM N LEFT JOIN E0 ON E0.target = N.id AND E0.type = '{edge}' LEFT JOIN ({sources}) p ON p.id = E0.source WHERE N.type IN ({types}) GROUP BY N.id))"""
 
-@_star("layout_level_positions", """, r AS (SELECT id, (row_number() OVER (ORDER BY id) - 1) * 3.0 - (count(*) OVER () - 1) * 1.5 AS x FROM N WHERE type = 'Repository'),
-dn AS (SELECT N.id, row_number() OVER (ORDER BY r.x, N.id) - 1 AS i, count(*) OVER () AS n FROM N JOIN E0 ON E0.target = N.id AND E0.type = 'CONTAINS' JOIN r ON r.id = E0.source WHERE N.type = 'Directory')
-SELECT id, x, 0.0 AS y FROM r UNION ALL SELECT id, i * 3.0 - (n - 1) * 1.5, -2.4 FROM dn""")
+
+_ABOVE = " UNION ALL ".join(f"SELECT id, x FROM l{i}" for i in range(4))
+_PLACES = ", " + ", ".join([
+    "l0 AS (SELECT id, (row_number() OVER (ORDER BY id) - 1) * 3.0 - (count(*) OVER () - 1) * 1.5 AS x, 0 AS level FROM N WHERE type = 'Repository')",
+    _level_sql("l1", "'Directory'", "SELECT id, x FROM l0", "CONTAINS", 1), _level_sql("l2", "'File'", "SELECT id, x FROM l1", "CONTAINS", 2),
+    _level_sql("l3", "'Class', 'Function'", "SELECT id, x FROM l2", "CONTAINS", 3), _level_sql("l5", "'UnresolvedReference'", _ABOVE, "CALLS", 5),
+])
+
+
+@_star("layout_level_positions", _PLACES + " SELECT id, x, round(level * -2.4, 6) AS y FROM (" + " UNION ALL ".join(f"SELECT * FROM l{i}" for i in (0, 1, 2, 3, 5)) + ")")
 def _(spark, d):
-    g = star.graph(spark, d, derived=False).kept()
-    top = g.nodes.where("type IN ('Repository', 'Directory')")
-    return layout.hierarchical_layout(type(g)(top, query.induced(g.edges, top.select("id")), g.metadata))
+    return layout.hierarchical_layout(star.graph(spark, d, derived=False)).withColumn("y", F.round("y", 6))
 
 
-@_star("multipartite_layout", "SELECT id, row_number() OVER (PARTITION BY type ORDER BY id) - 1 - (count(*) OVER (PARTITION BY type) - 1) / 2.0 AS y FROM N WHERE type IN ('Repository', 'Directory')")
+@_star("multipartite_layout", f"SELECT id, CAST({_LEVEL} AS DOUBLE) AS x, row_number() OVER (PARTITION BY type ORDER BY id) - 1 - (count(*) OVER (PARTITION BY type) - 1) / 2.0 AS y FROM N")
 def _(spark, d):
-    g = star.graph(spark, d, derived=False)
-    return layout.compute_layout(type(g)(g.nodes.where("type IN ('Repository', 'Directory')"), g.edges), "multipartite").select("id", "y")
+    return layout.compute_layout(star.graph(spark, d, derived=False), "multipartite")
 
 
 # Source trees, web pages and streams.
 
 
-def _own_source() -> str:
-    """The source tree at hand: this package."""
-    import sparkweft
+def _tree(name: str, sql: str):
+    """A query of the source tree that is made from the tables; its SQL may use entities, rels, t and m."""
+    return _entry(name, f"WITH {tree.SQL.strip()} {sql}")
 
-    return next(iter(sparkweft.__path__))
 
+_CODE = "type IN ('Class', 'Function', 'Method')"
 
-@_entry("repo_scan")
+
+@_tree("repo_scan", "SELECT id, type, name, path FROM entities")
 def _(spark, d):
-    from ..sources.analyzer import analyze_repository
+    return tree.analysis(spark, d).entities.select("id", "type", "name", "path")
+
 
-    return analyze_repository(spark, _own_source()).entities.select("id", "type", "name", "path")
+@_tree("ast_entities", f"SELECT id, type, name, path, properties FROM entities WHERE {_CODE}")
+def _(spark, d):
+    return tree.analysis(spark, d).entities.where(_CODE).select("id", "type", "name", "path", "properties")
 
 
-@_entry("ast_entities")
+@_tree("ast_calls", """SELECT id, source, target, '{"confidence":"' || CASE WHEN target LIKE 'unresolved:%' THEN 'syntactic_only' ELSE 'symbol_table_match' END
+  || '","raw_call":"' || CASE WHEN target LIKE 'unresolved:%' THEN substr(target, 12) ELSE split_part(target, ':', 3) END || '","resolved":' || CAST(target NOT LIKE 'unresolved:%' AS VARCHAR) || '}' AS properties FROM rels WHERE type = 'CALLS'""")
 def _(spark, d):
-    from ..sources.analyzer import analyze_repository
+    return tree.analysis(spark, d).relationships.where("type = 'CALLS'").select("id", "source", "target", "properties")
 
-    return analyze_repository(spark, _own_source()).entities.where("type IN ('Class', 'Function', 'Method')").select("id", "type", "name", "path", "properties")
+
+@_tree("ast_relationships", "SELECT id, source, target, type FROM rels WHERE type <> 'CALLS'")
+def _(spark, d):
+    return tree.analysis(spark, d).relationships.where("type <> 'CALLS'").select("id", "source", "target", "type")
 
 
-@_entry("ast_calls")
+@_tree("analysis_statistics", """, r AS (SELECT 'total_entities' AS statistic, count(*) AS value FROM entities UNION ALL SELECT 'total_relationships', count(*) FROM rels
+  UNION ALL SELECT 'primitive_relationships', count(*) FROM rels WHERE type <> 'DEPENDS_ON' UNION ALL SELECT 'derived_relationships', count(*) FROM rels WHERE type = 'DEPENDS_ON'
+  UNION ALL SELECT 'unresolved_calls_count', count(*) FROM rels WHERE target LIKE 'unresolved:%')
+SELECT statistic, CAST(value AS BIGINT) AS value FROM r""")
 def _(spark, d):
-    from ..sources.analyzer import analyze_repository
+    return spark.createDataFrame(list(tree.analysis(spark, d).stats().items()), "statistic string, value long")
+
 
-    return analyze_repository(spark, _own_source()).relationships.where("type = 'CALLS'").select("id", "source", "target", "properties")
+@_tree("analysis_document_graph", """SELECT id, type, name, false AS is_synthetic FROM entities
+UNION ALL SELECT DISTINCT target, 'UnresolvedReference', substr(target, 12), true FROM rels WHERE target LIKE 'unresolved:%'""")
+def _(spark, d):
+    """The analysis written as one JSON document, read again and built."""
+    found = tree.analysis(spark, d)
+    path = f"{os.path.dirname(found.metadata['root_path'])}/document-{uuid.uuid4().hex}/analysis.json"
+    found.export(path)
+    return build.build_from_file(spark, path).nodes.select("id", "type", "name", "is_synthetic")
+
+
+@_tree("chunk_sources", """SELECT id AS entity_id, lower(type) AS entity_type, CASE type WHEN 'Class' THEN 'class ' || name || CASE WHEN name = 'Nation' THEN '' ELSE '(Nation)' END WHEN 'Method' THEN 'parts(self, count)' WHEN 'Function' THEN name || '()' ELSE name END AS signature,
+  CASE WHEN type = 'Method' THEN '    def parts(self, count):' || chr(10) || '        return self.listed(count)' || chr(10)
+       WHEN type = 'Function' THEN 'def ' || name || '():' || chr(10) || '    return Supplier' || substr(name, 5) || '(Nation())' || chr(10)
+       WHEN name = 'Nation' THEN 'class Nation:' || chr(10) || '    key = int(' || substr(split_part(path, '/', 2), 2) || ')' || chr(10)
+       WHEN type = 'Class' THEN 'class ' || name || '(Nation):' || chr(10) || '    def parts(self, count):' || chr(10) || '        return self.listed(count)' || chr(10) END AS source_code
+FROM entities WHERE type IN ('Class', 'Function', 'Method')""")
+def _(spark, d):
+    found = tree.analysis(spark, d)
+    return chunk.chunk_entities(found.entities.where(_CODE), found.contents).select("entity_id", "entity_type", "signature", "source_code")
 
 
 @_entry("chunk_embeddings")
 def _(spark, d):
-    from ..operators.chunk import HashingEmbedder, chunk_entities, embed
-    from ..sources.analyzer import analyze_repository
+    found = tree.analysis(spark, d)
+    return chunk.embed(chunk.chunk_entities(found.entities, found.contents), chunk.HashingEmbedder(128)).select("entity_id", "entity_type", "signature", "embedding")
+
+
+@_tree("index_round_trip", "SELECT id AS entity_id, name, path AS file_path FROM entities WHERE type NOT IN ('Repository', 'Directory')")
+def _(spark, d):
+    """The index saved and loaded, with a chunk's text found by its own vector."""
+    found = tree.analysis(spark, d)
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    chunk.save_index(chunk.embed(chunk.chunk_entities(found.entities, found.contents), chunk.HashingEmbedder(32)), path)
+    return chunk.load_index(spark, path).select("entity_id", "name", "file_path")
+
+
+# Graphs in files, built one by one, and with each rule broken.
+
+_TOP = "SELECT id FROM N WHERE type IN ('Repository', 'Directory')"
+
 
-    found = analyze_repository(spark, _own_source())
-    return embed(chunk_entities(found.entities, found.contents), HashingEmbedder(128)).select("entity_id", "entity_type", "signature", "embedding")
+def _top(spark, d):
+    """The star graph's repositories and directories, for what goes through one document or one call a node."""
+    g = star.graph(spark, d, derived=False)
+    nodes = g.nodes.where("type IN ('Repository', 'Directory')")
+    return type(g)(nodes, query.induced(g.edges, nodes.select("id")), g.metadata)
+
+
+def _elements(graph):
+    """Nodes and edges of a graph as rows of one kind."""
+    return graph.nodes.select("id", "type", "name").union(graph.edges.select(F.concat("source", F.lit("->"), "target"), "type", "key"))
+
+
+_TOP_ELEMENTS = f"""SELECT id, type, name FROM N WHERE id IN ({_TOP}) UNION ALL
+SELECT source || '->' || target, type, 'rel:' || lower(type) || ':' || source || '->' || target FROM E0 WHERE source IN ({_TOP}) AND target IN ({_TOP})"""
+
+
+@_star("graph_json_round_trip", _TOP_ELEMENTS)
+def _(spark, d):
+    return _elements(graph_io.import_json(spark, graph_io.export_json(_top(spark, d))))
+
+
+@_star("graphml_round_trip", _TOP_ELEMENTS)
+def _(spark, d):
+    with tempfile.TemporaryDirectory() as folder:  # one document of the driver's
+        graph_io.export_graphml(_top(spark, d), f"{folder}/g.graphml")
+        return _elements(graph_io.import_graphml(spark, f"{folder}/g.graphml"))
+
+
+@_star("graph_tables_round_trip", "SELECT id, type, name FROM N UNION ALL SELECT source || '->' || target, type, 'rel:' || lower(type) || ':' || source || '->' || target FROM E0")
+def _(spark, d):
+    path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+    graph_io.save_tables(star.graph(spark, d, derived=False), path)
+    return _elements(graph_io.load_tables(spark, path))
+
+
+@_star("added_one_by_one", "SELECT id, type, name FROM N WHERE type = 'Repository' UNION ALL SELECT 'repo:0->repo:' || split_part(id, ':', 2), 'DEPENDS_ON', 'DEPENDS_ON' FROM N WHERE type = 'Repository' AND id <> 'repo:0'")
+def _(spark, d):
+    g = type(star.graph(spark, d)).empty(spark)
+    rows = sorted(star.tables(spark, d, "region")[0].select("r_regionkey", "r_name").collect())
+    for key, name in rows:
+        g = g.add_node(f"repo:{key}", "repository", name)
+    for key, _ in rows[1:]:
+        g = g.add_relationship("repo:0", f"repo:{key}", "depends_on")
+    return _elements(g)
+
+
+@_star("node_and_edge_lookups", """SELECT 'has_node' AS what, CAST(count(*) > 0 AS VARCHAR) AS found FROM N WHERE id = 'file:c1' UNION ALL SELECT 'has_no_node', CAST(count(*) > 0 AS VARCHAR) FROM N WHERE id = 'file:x'
+UNION ALL SELECT 'get_node', name FROM N WHERE id = 'file:c1' UNION ALL SELECT 'has_relationship', CAST(count(*) > 0 AS VARCHAR) FROM E WHERE source = 'repo:0' AND target = 'dir:0' AND type = 'CONTAINS'
+UNION ALL SELECT 'get_relationship', min('rel:contains:' || source || '->' || target) FROM E WHERE source = 'repo:0' AND target = 'dir:0' UNION ALL SELECT 'get_relationships', CAST(count(*) AS VARCHAR) FROM E WHERE source = 'repo:0' AND target = 'dir:0'
+UNION ALL SELECT 'number_of_nodes', CAST(count(*) AS VARCHAR) FROM N UNION ALL SELECT 'number_of_edges', CAST(count(*) AS VARCHAR) FROM E""")
+def _(spark, d):
+    g = star.graph(spark, d)
+    text = lambda value: str(value).lower() if isinstance(value, bool) else str(value)
+    edge = g.get_relationship("repo:0", "dir:0", "contains")
+    return spark.createDataFrame([
+        ("has_node", text(g.has_node("file:c1"))), ("has_no_node", text(g.has_node("file:x"))), ("get_node", g.get_node("file:c1")["name"]), ("has_relationship", text(g.has_relationship("repo:0", "dir:0", "CONTAINS"))),
+        ("get_relationship", edge and edge["id"]), ("get_relationships", text(g.get_relationships("repo:0", "dir:0").count())), ("number_of_nodes", text(g.number_of_nodes())), ("number_of_edges", text(g.number_of_edges())),
+    ], "what string, found string")
+
+
+@_star("edge_order", "SELECT source, target, type, row_number() OVER (ORDER BY source, target, type) AS place FROM E0 WHERE source LIKE 'repo:%'")
+def _(spark, d):
+    """get_all_relationships of the graph's top with nodes and edges in the order of their identifiers."""
+    from ..functions.numbering import numbered
+
+    top = _top(spark, d)
+    nodes = numbered(top.nodes.drop("node_ord"), "id", name="node_ord").select(*top.nodes.columns)
+    edges = numbered(top.edges.drop("edge_ord"), "source", "target", "type", name="edge_ord").select(*top.edges.columns)
+    rows = type(top)(nodes, edges).get_all_relationships().select("source", "target", "type").collect()
+    return spark.createDataFrame([(*r, i + 1) for i, r in enumerate(rows)], "source string, target string, type string, place long")
+
+
+@_star("planted_issues", """SELECT level, category, element_id FROM (
+  SELECT 'ERROR' AS level, 'node_id' AS category, ' ' AS element_id UNION ALL SELECT 'ERROR', 'node_name', 'dir:5' UNION ALL SELECT 'ERROR', 'node_type', 'dir:6' UNION ALL SELECT 'ERROR', 'entity_type', 'dir:4' UNION ALL SELECT 'ERROR', 'module_entity', 'dir:4'
+  UNION ALL SELECT 'ERROR', 'synthetic_node', 'dir:7' UNION ALL SELECT 'WARNING', 'synthetic_node', 'dir:7'
+  UNION ALL SELECT 'ERROR', 'missing_source', 'rel:contains:dir:8->' || target FROM E0 WHERE source = 'dir:8' AND target LIKE 'file:%'
+  UNION ALL SELECT 'ERROR', 'missing_target', 'rel:contains:' || source || '->dir:8' FROM E0 WHERE target = 'dir:8'
+  UNION ALL SELECT 'ERROR', 'relationship_type', 'rel:contains:' || source || '->dir:9' FROM E0 WHERE target = 'dir:9'
+  UNION ALL SELECT 'WARNING', 'deprecated_relationship', 'rel:contains:' || source || '->dir:10' FROM E0 WHERE target = 'dir:10'
+  UNION ALL SELECT 'ERROR', 'unresolved_reference', 'rel:contains:' || source || '->dir:11' FROM E0 WHERE target = 'dir:11')""")
+def _(spark, d):
+    """Every rule broken once: an id, a name, types, a placeholder, ends, kinds of relationships."""
+    g = star.graph(spark, d, derived=False)
+    files = g.nodes.where("type IN ('Repository', 'Directory', 'File')")
+    at = lambda i: F.col("id") == f"dir:{i}"
+    nodes = files.where(~at(8)).withColumns({
+        "type": F.when(at(4), "Module").when(at(6), "Variable").otherwise(F.col("type")), "name": F.when(at(5), " ").otherwise(F.col("name")),
+        "is_synthetic": at(7) | F.col("is_synthetic"),
+    })
+    nodes = nodes.unionByName(nodes.where(F.col("id") == "repo:0").withColumn("id", F.lit(" ")))
+    to = lambda i: F.col("target") == f"dir:{i}"
+    edges = g.edges.where("type = 'CONTAINS' AND (target LIKE 'dir:%' OR target LIKE 'file:%')").withColumns({
+        "type": F.when(to(9), "HOLDS").when(to(10), "DEFINED_IN").when(to(11), "CALLS").otherwise(F.col("type")), "is_unresolved": F.col("is_unresolved") | to(11),
+    })
+    return validate.validation_issues(type(g)(nodes, edges)).select("level", "category", "element_id")
+
+
+@_entry("base_and_dir_names", r"""SELECT page_id, regexp_extract(url, '[^/]*$') AS base, regexp_replace(regexp_replace(url, '[^/]*$', ''), '/$', '') AS dir FROM pages""")
+def _(spark, d):
+    return star.tables(spark, d, "pages")[0].select("page_id", X.base_name("url").alias("base"), X.dir_name("url").alias("dir"))
+
+
+@_entry("signatures", """SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'given ' || p_name WHEN p_size % 5 = 1 THEN p_name || '(self, x)' WHEN p_size % 5 = 2 THEN 'class ' || p_name || '(A, B)'
+  WHEN p_size % 5 = 3 THEN 'class ' || p_name ELSE p_name END AS signature FROM part""")
+def _(spark, d):
+    part, five = star.tables(spark, d, "part")[0], F.col("p_size") % 5
+    kind = F.when(five <= 1, "method").when(five <= 3, "class").otherwise("file")
+    given, names = F.when(five == 0, F.concat(F.lit("given "), "p_name")), lambda *x: F.array(*map(F.lit, x))
+    return part.select("p_partkey", X.signature(given, kind, F.col("p_name"), names("self", "x"), F.when(five == 2, names("A", "B"))).alias("signature"))
+
+
+@_entry("source_fallback", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE 'kept ' || lang END AS source_code FROM documents")
+def _(spark, d):
+    """Chunks whose file is there have its lines, others what their properties hold."""
+    docs = star.tables(spark, d, "documents")[0]
+    path = F.col("doc_id").cast("string")
+    entities = docs.select(F.concat(F.lit("file:"), path).alias("id"), F.lit("File").alias("type"), F.lit("x").alias("name"), path.alias("path"), F.lit(None).cast(LOCATION).alias("location"), F.to_json(F.struct(F.concat(F.lit("kept "), "lang").alias("source_code"))).alias("properties"))
+    contents = docs.where("doc_id % 2 = 0").select(path.alias("path"), F.col("text").alias("content"))
+    return chunk.chunk_entities(entities, contents).select(F.col("file_path").cast("long").alias("doc_id"), "source_code")
 
 
 @_entry("web_graph_placeholders", """WITH links AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages)
@@ -596,7 +776,7 @@ def _(spark, d):
 @_star("find_path", """, walk AS (SELECT 'repo:1' AS id, 'repo:1' AS path UNION ALL SELECT target, walk.path || '>' || target FROM walk JOIN E0 ON source = walk.id AND type = 'CONTAINS')
 SELECT path FROM walk WHERE id = (SELECT min(w.id) FROM walk w WHERE w.id LIKE 'file:c%')""", recursive=True)
 def _(spark, d):
-    g = star.graph(spark, d, derived=False).kept()
+    g = star.graph(spark, d, derived=False)
     inside = traverse.multi_hop_traversal(g, "repo:1", 2, ["CONTAINS"], "out").where("id LIKE 'file:c%'")
     path = traverse.find_path(g, "repo:1", inside.agg(F.min("id")).first()[0], ["CONTAINS"])
     return spark.createDataFrame([(">".join(path),)], "path string")

@@ -7,13 +7,18 @@ code graphs, so file dependencies derive as they do there.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import schema as S
+from ..functions.lineage import shared_dir
 from ..operators.depends import derive_depends_on_relationships
 from ..operators.graph import PropertyGraph
+from ..sources.graph_io import load_tables, save_tables
 
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 LARGEST = 40  # the size of a part that the graph holds
 
 
@@ -83,8 +88,33 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def fingerprint(spark: SparkSession, sf_dir: str, *names: str) -> str:
+    """A name for the state of the tables: their places, sizes and times."""
+    seen = []
+    for n in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{n}.parquet")
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        status = system.getFileStatus(path)
+        seen.append((n, sf_dir, system.getContentSummary(path).getLength(), status.getModificationTime()))
+    return hashlib.sha256(repr(seen).encode()).hexdigest()[:16]
+
+
 def graph(spark: SparkSession, sf_dir: str, derived: bool = True) -> PropertyGraph:
-    """The star graph; its identifiers order it, as the tables have no order of their own."""
+    """The star graph, stored once for a state of its tables in the folder that driver and executors share.
+
+    Nodes lie by id and edges by type and source, so a lookup reads the row groups that may hold it.
+    """
+    folder = f"{shared_dir(spark)}/star-{fingerprint(spark, sf_dir, *TABLES)}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/metadata/_SUCCESS")  # written last
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        made = built(spark, sf_dir).kept()
+        save_tables(PropertyGraph(made.nodes.repartitionByRange("id").sortWithinPartitions("id"), made.edges.repartitionByRange("type", "source").sortWithinPartitions("source"), made.metadata), folder)
+    found = load_tables(spark, folder)
+    return found if derived else PropertyGraph(found.nodes, found.edges.where("NOT is_derived"), found.metadata)
+
+
+def built(spark: SparkSession, sf_dir: str, derived: bool = True) -> PropertyGraph:
+    """The star graph as plans over its tables; its identifiers order it, as the tables have no order of their own."""
     nothing, nowhere = F.lit(None).cast("string"), F.lit(None).cast(S.LOCATION)
     nodes = _nodes(spark, sf_dir).select("id", "type", "name", "path", nowhere.alias("location"), F.lit("{}").alias("properties"), "is_synthetic", "resolved", "raw_call", nothing.alias("extra"), F.xxhash64("id").alias("node_ord"))
     edges = _edges(spark, sf_dir).withColumn("is_derived", F.lit(False))

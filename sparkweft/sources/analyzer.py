@@ -29,8 +29,9 @@ def _json(**fields) -> Column:
     return F.to_json(F.struct(*(v.alias(k) for k, v in sorted(fields.items()))), {"ignoreNullFields": "false"})
 
 
-def _relation(kind: str, source, target, identifier, location, properties):
-    return [identifier.alias("id"), source.alias("source"), target.alias("target"), F.lit(kind).alias("type"), location.cast(S.LOCATION).alias("location"), properties.alias("properties")]
+def _relation(kind: str, source, target, identifier, location, properties, order=None):
+    """order: the place in the file, which equal identifiers keep."""
+    return [identifier.alias("id"), source.alias("source"), target.alias("target"), F.lit(kind).alias("type"), location.cast(S.LOCATION).alias("location"), properties.alias("properties"), (F.lit(0) if order is None else order).cast("long").alias("ord")]
 
 
 def _contains(source, target):
@@ -42,14 +43,14 @@ def _place(path, start, end, first, last):
 
 
 def _entity(identifier, kind, name, path, location, properties):
-    return [identifier.alias("id"), kind.alias("type"), name.alias("name"), path.alias("path"), location.cast(S.LOCATION).alias("location"), properties.alias("properties")]
+    return [identifier.alias("id"), kind.alias("type"), name.alias("name"), path.alias("path"), location.cast(S.LOCATION).alias("location"), properties.alias("properties"), F.lit(0).cast("long").alias("ord")]
 
 
 def tree_tables(tree: DataFrame, name: str, abs_path: str) -> tuple[DataFrame, DataFrame]:
     """Entities and CONTAINS of the repository, its directories and files (kind, path, content)."""
     repo, path = F.lit(f"repo:{name}"), F.col("path")
     parent = F.when(X.dir_name("path") == "", repo).otherwise(F.concat(F.lit("dir:"), X.dir_name("path")))
-    root = tree.sparkSession.createDataFrame([(f"repo:{name}", "Repository", name, ".", None, json.dumps({"abs_path": abs_path, "language": "python"}, separators=(",", ":"), ensure_ascii=False))], f"id string, type string, name string, path string, location {S.LOCATION}, properties string")
+    root = tree.sparkSession.createDataFrame([(f"repo:{name}", "Repository", name, ".", None, json.dumps({"abs_path": abs_path, "language": "python"}, separators=(",", ":"), ensure_ascii=False), 0)], f"id string, type string, name string, path string, location {S.LOCATION}, properties string, ord long")
     folders, files = tree.where("kind = 'directory'"), tree.where("kind = 'file'")
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
     lines = F.coalesce(X.line_count(text), F.lit(0))
@@ -75,7 +76,7 @@ def code_tables(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     defined = facts.where("kind IN ('class', 'function')")
     location = _place(path, F.col("start_line"), F.col("end_line"), F.col("start_column"), F.col("end_column"))
     properties = F.when(F.col("kind") == "class", of_class).otherwise(of_function)
-    entities = defined.select(*_entity(identifier, kind, F.col("name"), path, location, properties), "qualified_name", (group * F.lit(1 << 32) + F.col("ord")).alias("ord"))
+    entities = defined.select(*_entity(identifier, kind, F.col("name"), path, location, properties)[:-1], "qualified_name", (group * F.lit(1 << 32) + F.col("ord")).alias("ord"))
     file_id = F.concat(F.lit("file:"), path)
     holder = F.when((F.col("kind") == "class") | F.col("parent").isNull(), file_id).when(F.col("is_method"), F.concat(F.lit("class:"), path, F.lit(":"), "parent")).otherwise(F.concat(F.lit("func:"), path, F.lit(":"), "parent"))
     return entities, defined.select(*_contains(holder, identifier))
@@ -91,27 +92,27 @@ def references(facts: DataFrame, entities: DataFrame, files: DataFrame) -> DataF
     number = lambda c: F.col(c).cast("string")
     known = imports.join(modules.withColumnRenamed("path", "file"), "module", "left")
     source, target = F.concat(F.lit("file:"), path), F.when(F.col("file").isNotNull(), F.concat(F.lit("file:"), "file")).otherwise(F.concat(F.lit("module:"), "module"))
-    out = known.select(*_relation("IMPORTS", source, target, F.concat(F.lit("rel:imports:"), source, F.lit("->"), target, F.lit(":"), number("start_line")), at(F.col("start_line"), F.col("start_column")), _json(imported_symbol=F.col("symbol"), alias=F.col("alias"), is_wildcard=F.col("is_wildcard"))))
+    out = known.select(*_relation("IMPORTS", source, target, F.concat(F.lit("rel:imports:"), source, F.lit("->"), target, F.lit(":"), number("start_line")), at(F.col("start_line"), F.col("start_column")), _json(imported_symbol=F.col("symbol"), alias=F.col("alias"), is_wildcard=F.col("is_wildcard")), F.col("ord")))
 
     bases = facts.where("kind = 'class'").select("path", "ord", F.concat(F.lit("class:"), path, F.lit(":"), "qualified_name").alias("owner"), F.posexplode("bases").alias("n", "b"))
-    bases = bases.select("path", "owner", F.concat_ws(":", F.lit("b"), "path", "ord", "n").alias("ref"), F.col("b.name").alias("expr"), F.col("b.line").alias("start_line"), F.col("b.col").alias("start_column"))
-    calls = facts.where("kind = 'call'").select("path", "owner", F.concat_ws(":", F.lit("c"), "path", "ord").alias("ref"), F.col("name").alias("expr"), "start_line", "start_column")
+    bases = bases.select("path", "ord", "owner", F.concat_ws(":", F.lit("b"), "path", "ord", "n").alias("ref"), F.col("b.name").alias("expr"), F.col("b.line").alias("start_line"), F.col("b.col").alias("start_column"))
+    calls = facts.where("kind = 'call'").select("path", "ord", "owner", F.concat_ws(":", F.lit("c"), "path", "ord").alias("ref"), F.col("name").alias("expr"), "start_line", "start_column")
     both = bases.union(calls.select(*bases.columns))
     found = both.join(resolve(both.select("ref", "path", "expr"), imports, symbols, modules), "ref", "left")
     there = F.col("id").isNotNull()
     location = at(F.col("start_line"), F.col("start_column"))
     owner = F.col("owner")
     base = F.coalesce("id", F.concat(F.lit("external:"), "expr"))
-    inherits = found.where("ref LIKE 'b:%'").select(*_relation("INHERITS", owner, base, F.concat(F.lit("rel:inherits:"), owner, F.lit("->"), base, F.lit(":"), number("start_line")), location, _json(raw_base_name=F.col("expr"), resolved=there)))
+    inherits = found.where("ref LIKE 'b:%'").select(*_relation("INHERITS", owner, base, F.concat(F.lit("rel:inherits:"), owner, F.lit("->"), base, F.lit(":"), number("start_line")), location, _json(raw_base_name=F.col("expr"), resolved=there), F.col("ord")))
     callee = F.coalesce("id", F.concat(F.lit("unresolved:"), "expr"))
     how = F.when(there, "symbol_table_match").otherwise("syntactic_only")
     identifier = F.concat(F.lit("rel:calls:"), owner, F.lit("->"), callee, F.lit(":"), number("start_line"), F.lit(":"), number("start_column"))
-    return out.union(inherits).union(found.where("ref LIKE 'c:%'").select(*_relation("CALLS", owner, callee, identifier, location, _json(raw_call=F.col("expr"), resolved=there, confidence=how))))
+    return out.union(inherits).union(found.where("ref LIKE 'c:%'").select(*_relation("CALLS", owner, callee, identifier, location, _json(raw_call=F.col("expr"), resolved=there, confidence=how), F.col("ord"))))
 
 
 @dataclass(frozen=True)
 class Analysis:
-    entities: DataFrame
+    entities: DataFrame  # ord, as in relationships: the order of those with equal identifiers
     relationships: DataFrame
     metadata: dict[str, Any]
     contents: DataFrame  # path, content
@@ -125,7 +126,7 @@ class Analysis:
 
     def _rows(self, table: DataFrame) -> list[dict]:
         """The table sorted by id, as the document holds it; a document is as large as its reader's memory anyway."""
-        rows = [r.asDict(recursive=True) for r in table.orderBy("id").collect()]
+        rows = [r.asDict(recursive=True) for r in table.orderBy("id", "ord").drop("ord").toLocalIterator()]
         return [r | {"properties": json.loads(r["properties"])} for r in rows]
 
     def to_dict(self) -> dict[str, Any]:
@@ -162,6 +163,6 @@ def analyze_repository(spark: SparkSession, root: str, include_derived: bool = T
     relationships = contains.union(code_contains).union(references(facts, code, files))
     if include_derived:
         derived = derive_depends_on_relationships(relationships.withColumn("is_derived", F.lit(False)))
-        relationships = relationships.unionByName(derived)
+        relationships = relationships.unionByName(derived.withColumn("ord", F.lit(0).cast("long")))
     metadata = {"repository_identity": f"repo:{name}", "root_path": os.path.abspath(root), "extracted_at": datetime.now(UTC).isoformat(), "analyzer_version": VERSION}
-    return Analysis(entities.unionByName(code.drop("qualified_name", "ord")), relationships, metadata, files.select("path", "content"))
+    return Analysis(entities.unionByName(code.drop("qualified_name")), relationships, metadata, files.select("path", "content"))

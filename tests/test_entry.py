@@ -1,9 +1,11 @@
-import duckdb
 import __spark_entry__ as entry
-from sparkweft.plans import catalog
-from sparkweft.streaming.ingest import ingest_nodes, windowed_counts
-from sparkweft.sources.graph_io import load_tables
-from sparkweft.plans import star
+import duckdb
+import pytest
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import functions as F
+from sparkweft.functions import schema as S
+from sparkweft.plans import catalog, star
+from sparkweft.streaming.ingest import ingest_edges, ingest_nodes, stored_graph, windowed_counts
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,11 +32,37 @@ def test_some_queries_against_duckdb(spark):
 
 
 def test_streams(spark, tmp_path):
-    nodes = star.graph(spark, SF).nodes
-    nodes.where("type = 'Directory'").write.parquet(f"{tmp_path}/in/a")
-    nodes.where("type IN ('Directory', 'Repository')").write.parquet(f"{tmp_path}/in/b")
+    g = star.graph(spark, SF)
+    top = g.nodes.where("type IN ('Directory', 'Repository')")
+    held = g.edges.where("type = 'CONTAINS' AND source LIKE 'repo:%'").select(*(c.split()[0] for c in S.EDGES.replace(S.LOCATION, "location").split(", ")))
+    g.nodes.where("type = 'Directory'").write.parquet(f"{tmp_path}/in/a")
+    top.write.parquet(f"{tmp_path}/in/b")
+    held.write.parquet(f"{tmp_path}/in/edges")
+    store = f"{tmp_path}/store"
+    with pytest.raises(StreamingQueryException, match="does not exist"):
+        ingest_edges(spark, f"{tmp_path}/in/edges", store, f"{tmp_path}/check-early").awaitTermination()
     for part in "ab":
-        ingest_nodes(spark, f"{tmp_path}/in/{part}", f"{tmp_path}/store{part}", f"{tmp_path}/check{part}").awaitTermination()
-    assert load_tables(spark, f"{tmp_path}/storeb/0").number_of_nodes() == 30
+        ingest_nodes(spark, f"{tmp_path}/in/{part}", store, f"{tmp_path}/check{part}").awaitTermination()
+    assert stored_graph(spark, store).number_of_nodes() == 30
+    for _ in range(2):  # the second time there is nothing new
+        ingest_edges(spark, f"{tmp_path}/in/edges", store, f"{tmp_path}/check-edges").awaitTermination()
+    stored = stored_graph(spark, store)
+    assert stored.number_of_edges() == 25 and {r.asDict()["id"] for r in stored.nodes.collect()} == {r.id for r in top.collect()}
+    # A stream of its own, with a checkpoint of its own, adds to the store and does not begin it anew.
+    more = g.nodes.where("id = 'file:c1'")
+    more.write.parquet(f"{tmp_path}/in/c")
+    ingest_nodes(spark, f"{tmp_path}/in/c", store, f"{tmp_path}/checkc").awaitTermination()
+    assert stored_graph(spark, store).number_of_nodes() == 31
+    more.withColumn("name", F.lit("another")).write.parquet(f"{tmp_path}/in/d")
+    with pytest.raises(StreamingQueryException, match="other values"):
+        ingest_nodes(spark, f"{tmp_path}/in/d", store, f"{tmp_path}/checkd").awaitTermination()
     events = spark.read.parquet(f"{SF}/events.parquet")
     assert windowed_counts(events).agg({"n": "sum"}).first()[0] == events.count()
+
+
+def test_a_stream_of_events_is_counted_like_the_table(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    stream = spark.readStream.schema(events.schema).parquet(f"{SF}/events.parquet")
+    windowed_counts(stream).writeStream.outputMode("complete").format("memory").queryName("counted").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start().awaitTermination()
+    key = lambda df: sorted((r.start, r.event_type, r.n, round(r.total, 4)) for r in df.collect())
+    assert key(spark.table("counted")) == key(windowed_counts(events))
