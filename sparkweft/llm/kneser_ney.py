@@ -1,14 +1,21 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and memory-mapped by the workers.
+"""Interpolated modified Kneser-Ney n-gram model, counted in Spark and memory-mapped by the workers.
 
-Tokens are words between white space, A-Z lower-cased, then one end a text. The model lies in the
-shared folder as sorted arrays: the words' 64-bit hashes in `words` ranges (a word's number is its
-place), with counts and continuation counts; and the bigrams, as pairs of numbers, in `buckets` by
-their first word, with counts and each context's sums. A context with more tokens than a bucket
-should hold is spread over several by its second words.
+Tokens are words between white space, A-Z lower-cased, then one end a text. The model, of order three or
+two, lies in the shared folder as sorted arrays:
 
-Counting aggregates before each shuffle: a task sends sorted arrays of distinct entries, one a range
-or bucket. Files are written under another name and renamed, with contents that depend on the input
-alone, so tasks may run again.
+- words: 64-bit hashes in ranges (a word's number is its place), with counts and continuation counts;
+- n-grams: in buckets by the word before the last one, so that an n-gram, its context and its shorter
+  forms lie together. Contexts are sorted, each with the run of its last words and their counts.
+
+A context's sums are those of its run, or are kept where that is long. An n-gram whose middle word has
+more tokens than a bucket should hold ("hot") goes to one of several buckets; the sums of its contexts,
+and the bigrams of the middle word, are put together in buckets of their own, by their own keys.
+
+Counting aggregates before each shuffle: a task sends sorted arrays of distinct entries, one a bucket.
+Files are written under another name and renamed, with contents that depend on the input alone, so
+tasks may run again. Texts are scored where they lie, by looking up their distinct n-grams in the mapped
+arrays; with a model beyond MAPPED bytes the n-grams go to the tasks of their buckets instead, and
+the answers come back, so that no worker reads more than the buckets it was dealt.
 """
 
 from __future__ import annotations
@@ -18,16 +25,22 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, hashing
+from .blobs import pack, unpack
 from .folder import Folder
 
 #: The end of a text as a token: no word has this hash but by chance.
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
-#: Bytes of text to a range of words, tokens to a bucket of bigrams, and entries that a task gathers before it sends them.
-RANGE_BYTES, BUCKET, GATHER = 64 << 20, 1 << 22, 1 << 22
+#: Bytes of text to a part of the counted words, words to a range, tokens to a bucket of n-grams, and entries that a task gathers before it sends them.
+PART_BYTES, RANGE, BUCKET, GATHER = 16 << 20, 1 << 22, 1 << 21, 1 << 21
+#: Last words from which on a context's sums are kept; runs of texts that are looked up together.
+WIDE, TOGETHER = 32, 4
+#: Bytes of a model that workers map; beyond, n-grams are sent to their buckets.
+MAPPED = 64 << 30
 
 
 def _tokens(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -36,176 +49,224 @@ def _tokens(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield begin, count + 1, np.insert(h, np.cumsum(count), END)
 
 
-def _range_of(h: np.ndarray, ranges: int) -> np.ndarray:
-    """Ranges in the order of the hashes."""
-    return ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+def _split(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Places of the entries of each part, in their order."""
+    order = np.argsort(part, kind="stable")
+    found, begin = np.unique(part[order], return_index=True)
+    yield from zip(found.tolist(), np.split(order, begin[1:]) if len(found) else [], strict=True)
 
 
-def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted distinct keys and their counts: differences of the upper halves pack well, lower halves don't."""
-    high, low = (keys >> np.uint64(32)).astype(np.uint32), keys.astype(np.uint32)
-    packed = pa.compress(np.diff(high, prepend=np.uint32(0)).tobytes() + counts.astype(np.uint32).tobytes(), "zstd", asbytes=True)
-    return np.array([len(keys), len(packed)], np.int64).tobytes() + packed + low.tobytes()
+def _summed(keys: list[np.ndarray], *values: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Distinct entries (arrays of keys, the first one first), in order, with the sums of their values; ones without any."""
+    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+    keys = [k[order] for k in keys]
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    first = np.flatnonzero(new)
+    if not values:
+        return [k[first] for k in keys], [np.diff(np.append(first, len(order)))]
+    return [k[first] for k in keys], [np.add.reduceat(v[order], first) if len(first) else v for v in values]
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, size = np.frombuffer(blob, np.int64, 2).tolist()
-    head = np.frombuffer(pa.decompress(blob[16 : 16 + size], 8 * n, "zstd", asbytes=True), np.uint32)
-    high = np.cumsum(head[:n], dtype=np.uint64)
-    return (high << np.uint64(32)) | np.frombuffer(blob, np.uint32, n, 16 + size), head[n:].astype(np.int64)
+def _gathered(blobs: list[bytes], keys: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The entries of all blobs as one: so many arrays of keys, the rest values."""
+    arrays = [np.concatenate(x) for x in zip(*map(unpack, blobs), strict=True)]
+    return _summed(arrays[:keys], *(v.astype(np.int64) for v in arrays[keys:]))
 
 
-def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, with the sums of their counts."""
-    if counts is None:
-        return np.unique(keys, return_counts=True)
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+def _rows(rows: list[dict]) -> pa.Table:
+    return pa.Table.from_pylist(rows, pa.schema([("kind", pa.string()), ("part", pa.int64()), ("blob", pa.binary())]))
 
 
-def _merged(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """The arrays of a group's rows as one. The rows of a key and task are distinct already."""
-    parts = [_unpack(b) for b in group["blob"].to_pylist()]
-    return _summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
+ROWS = "kind string, part long, blob binary"
 
 
-def _counted(texts: DataFrame, keys, split) -> DataFrame:
-    """(part, blob) of the distinct keys of each task: keys(texts) gives them, split(keys) the part of each."""
+def _spread(counts: np.ndarray) -> np.ndarray:
+    """How many entries have counts 1 to 4, 3 or more, and any."""
+    return np.array([*((counts == k).sum() for k in (1, 2, 3, 4)), (counts >= 3).sum(), len(counts)], np.int64)
 
-    def send(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        distinct, counts = _summed(np.concatenate(held))
-        part = split(distinct)
-        order = np.argsort(part, kind="stable")
-        found, begin = np.unique(part[order], return_index=True)
-        for p, at in zip(found.tolist(), np.split(order, begin[1:]), strict=True):
-            yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int64()), "blob": pa.array([_pack(distinct[at], counts[at])], pa.binary())})
-
-    def run(batches):
-        held, n = [], 0
-        for batch in batches:
-            for some in common.slices(batch):
-                for found in keys(some.column(0)):
-                    held.append(found)
-                    n += len(found)
-                    if n >= GATHER:
-                        yield from send(held)
-                        held, n = [], 0
-        if held:
-            yield from send(held)
 
-    return texts.mapInArrow(run, "part long, blob binary")
+def _sums(counts: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Of runs that begin there: total, and entries with counts 1, 2, 3 or more."""
+    if not len(begin):
+        return np.zeros((0, 4), np.int64)
+    return np.stack([np.add.reduceat(x.astype(np.int64), begin) for x in (counts, counts == 1, counts == 2, counts >= 3)], axis=1)
 
 
 @dataclass
 class Model:
     folder: Folder
+    order: int = 3
     tokens: int = 0  # N
-    words: int = 0  # V, the end too
+    words: int = 0  # V, the end too; as a number, the start of a text
+    parts: int = 1
     offsets: list[int] = field(default_factory=lambda: [0])  # the number of each range's first word
     buckets: int = 1
-    filled: frozenset[int] = frozenset()  # the buckets that have bigrams
-    hot: dict[int, int] = field(default_factory=dict)  # contexts in several buckets: how many
-    sums: dict[int, tuple[int, int, int, int]] = field(default_factory=dict)  # of those: tokens, and seconds seen once, twice, more
-    discounts: np.ndarray = field(default_factory=lambda: np.zeros(4))  # by count 0, 1, 2, 3 or more
-    lower: np.ndarray = field(default_factory=lambda: np.zeros(4))
+    discounts: list[np.ndarray] = field(default_factory=lambda: [np.zeros(4)] * 3)  # of unigrams, bigrams, trigrams; by count 0, 1, 2, 3 or more
     types: int = 0  # distinct bigrams
     spare: float = 1.0  # what the continuation probabilities leave for the uniform ones
+    bytes: int = 0
 
     def delete(self) -> None:
         self.folder.delete()
 
     # Words.
 
-    def numbers(self, h: np.ndarray) -> np.ndarray:
-        """The numbers of sorted distinct hashes; -1 for unknown words."""
-        out = np.full(len(h), -1, np.int64)
-        ranges = len(self.offsets) - 1
-        bounds = np.searchsorted(_range_of(h, ranges), np.arange(ranges + 1)) if ranges else [0]
-        for r in range(ranges):
-            some = h[bounds[r] : bounds[r + 1]]
-            if len(some) and self.offsets[r + 1] > self.offsets[r]:
-                known = self.folder.read(f"words-{r}", np.uint64)
-                at = np.minimum(np.searchsorted(known, some), len(known) - 1)
-                out[bounds[r] : bounds[r + 1]] = np.where(known[at] == some, at + self.offsets[r], -1)
-        return out
-
-    def of_words(self, name: str, numbers: np.ndarray) -> np.ndarray:
-        """counts or continuations of sorted numbers, 0 for -1."""
-        out = np.zeros(len(numbers), np.int64)
-        bounds = np.searchsorted(numbers, self.offsets)
-        for r in range(len(self.offsets) - 1):
-            if bounds[r + 1] > bounds[r]:
-                out[bounds[r] : bounds[r + 1]] = self.folder.read(f"{name}-{r}", np.int64)[numbers[bounds[r] : bounds[r + 1]] - self.offsets[r]]
-        return out
+    def part_of(self, h: np.ndarray) -> np.ndarray:
+        """Parts in the order of the hashes."""
+        return ((h >> np.uint64(32)) * np.uint64(self.parts) >> np.uint64(32)).astype(np.int64)
 
-    # Bigrams: the first word's number (`words` for a text's start) above the second's.
-
-    def bucket(self, keys: np.ndarray) -> np.ndarray:
-        first = keys >> np.uint64(32)
-        out = hashing.mix(first + np.uint64(1))
-        if self.hot:
-            hot = np.array(sorted(self.hot), np.uint64)
-            at = np.minimum(np.searchsorted(hot, first), len(hot) - 1)
-            spread = np.array([self.hot[int(x)] for x in hot], np.uint64)[at]
-            out = np.where(hot[at] == first, out + hashing.mix(keys) % spread, out)
-        return (out % np.uint64(self.buckets)).astype(np.int64)
-
-    def _by_bucket(self, bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        order = np.argsort(bucket, kind="stable")
-        found, begin = np.unique(bucket[order], return_index=True)
-        yield from zip(found.tolist(), np.split(order, begin[1:]) if len(found) else [], strict=True)
-
-    def of_bigrams(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of sorted distinct bigrams."""
-        out = np.zeros(len(keys), np.int64)
-        for b, at in self._by_bucket(self.bucket(keys)):
-            if b in self.filled:
-                known = self.folder.read(f"bigrams-{b}", np.uint64)
-                place = np.minimum(np.searchsorted(known, keys[at]), len(known) - 1)
-                out[at] = np.where(known[place] == keys[at], self.folder.read(f"seen-{b}", np.uint32)[place], 0)
-        return out
+    def range_of(self, part: np.ndarray) -> np.ndarray:
+        return part * (len(self.offsets) - 1) // self.parts
 
-    def of_contexts(self, first: np.ndarray) -> np.ndarray:
-        """Tokens, and seconds seen once, twice and more often, after sorted distinct first words."""
-        out = np.zeros((len(first), 4), np.int64)
-        plain = hashing.mix(first + np.uint64(1)) % np.uint64(self.buckets)
-        for b, at in self._by_bucket(plain.astype(np.int64)):
-            if b in self.filled:
-                known = self.folder.read(f"contexts-{b}", np.uint64)
-                place = np.minimum(np.searchsorted(known, first[at]), len(known) - 1)
-                out[at] = np.where((known[place] == first[at])[:, None], self.folder.read(f"after-{b}", np.int64).reshape(-1, 4)[place], 0)
-        for i in np.flatnonzero(np.isin(first, np.array(list(self.sums), np.uint64))) if self.sums else ():
-            out[i] = self.sums[int(first[i])]
+    def numbers(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of sorted distinct hashes: numbers (-1 for unknown words), counts and continuation counts."""
+        out = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        if self.words:
+            for r, at in _split(self.range_of(self.part_of(h))):
+                known = self.folder.read(f"words-{r}", np.uint64)
+                if len(known):
+                    place = np.minimum(np.searchsorted(known, h[at]), len(known) - 1)
+                    same = known[place] == h[at]
+                    at, place = at[same], place[same]
+                    out[0][at] = place + self.offsets[r]
+                    out[1][at] = self.folder.read(f"counts-{r}", np.int64)[place]
+                    follows = self.folder.read(f"follows-{r}", np.int64)
+                    out[2][at] = follows[place] if len(follows) else 0
         return out
 
-    def probabilities(self, h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of the tokens in training, and their probabilities after the token before (or a text's start)."""
+    # N-grams: the context as the middle word's number above the first one's (0 in bigrams), and the last word's.
+
+    def ngrams(self, number: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Contexts and last words of texts' tokens; a text's start counts as words before it. Unknown words have the number 2**32 - 1."""
+        number = number.astype(np.uint64) & np.uint64(0xFFFFFFFF)
+        begin = np.cumsum(count) - count
+        before = np.concatenate([[0], number[:-1]]).astype(np.uint64)
+        before[begin] = self.words
+        if self.order == 2:
+            return before << np.uint64(32), number
+        first = np.concatenate([[0], before[:-1]]).astype(np.uint64)
+        first[begin] = self.words
+        return before << np.uint64(32) | first, number
+
+    def hot(self, middle: np.ndarray) -> np.ndarray:
+        """In how many buckets each middle word's n-grams lie; 1 for most."""
+        known, n = self.folder.read("hot", np.uint64), self.folder.read("spread", np.uint64)
+        if not len(known):
+            return np.ones(len(middle), np.uint64)
+        at = np.minimum(np.searchsorted(known, middle), len(known) - 1)
+        return np.where(known[at] == middle, n[at], np.uint64(1))
+
+    def bucket(self, context: np.ndarray, last: np.ndarray) -> np.ndarray:
+        middle = context >> np.uint64(32)
+        salt = hashing.mix(context * np.uint64(3) + last) % self.hot(middle)
+        return ((hashing.mix(middle + np.uint64(1)) + salt) % np.uint64(self.buckets)).astype(np.int64)
+
+    def _own(self, key: np.ndarray) -> np.ndarray:
+        """The bucket of a key by itself: of hot words' contexts and bigrams."""
+        return (hashing.mix(key) % np.uint64(self.buckets)).astype(np.int64)
+
+    def write_runs(self, level: int, bucket: int, context: np.ndarray, last: np.ndarray, counts: np.ndarray) -> None:
+        """Entries by context and last word, as the arrays that `look` reads."""
+        begin = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.zeros(0, np.int64)
+        size = np.diff(np.append(begin, len(context)))
+        wide, large = np.flatnonzero(size > WIDE), np.flatnonzero(counts >= 255)
+        name = lambda kind: f"{kind}{level}-{bucket}"
+        write = self.folder.write
+        write(name("context"), context[begin])
+        write(name("begin"), np.append(begin, len(context)).astype(np.uint32))
+        write(name("last"), last.astype(np.uint32))
+        write(name("count"), np.minimum(counts, 255).astype(np.uint8))
+        write(name("large"), large.astype(np.uint32))
+        write(name("larger"), counts[large].astype(np.int64))
+        write(name("wide"), wide.astype(np.uint32))
+        write(name("sums"), _sums(counts, begin)[wide].ravel())
+
+    def look(self, level: int, bucket: int, context: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of n-grams of a bucket, and the sums of their contexts (as far as the bucket has them)."""
+        read = lambda kind, of: self.folder.read(f"{kind}{level}-{bucket}", of)
+        counts, sums = np.zeros(len(context), np.int64), np.zeros((len(context), 4), np.int64)
+        known = read("context", np.uint64)
+        if not len(known):
+            return counts, sums
+        place = np.minimum(np.searchsorted(known, context), len(known) - 1)
+        mine = np.flatnonzero(known[place] == context)
+        place, begin, entries = place[mine], read("begin", np.uint32), read("count", np.uint8)
+        low, high = begin[place].astype(np.int64), begin[place + 1].astype(np.int64)
+        large, larger = read("large", np.uint32), read("larger", np.int64)
+
+        def whole(at: np.ndarray) -> np.ndarray:
+            n = entries[at].astype(np.int64)
+            big = np.flatnonzero(n == 255)
+            n[big] = larger[np.searchsorted(large, at[big])] if len(big) else 0
+            return n
+
+        at, there = hashing.within(read("last", np.uint32), low, high, last[mine].astype(np.uint32))
+        counts[mine[there]] = whole(at[there])
+        # The sums of each context once, from its run or as they were kept.
+        distinct, back = np.unique(place, return_inverse=True)
+        of, size = np.zeros((len(distinct), 4), np.int64), np.diff(begin.astype(np.int64))[distinct] if len(distinct) else np.zeros(0, np.int64)
+        long = size > WIDE
+        if long.any():
+            of[long] = read("sums", np.int64).reshape(-1, 4)[np.searchsorted(read("wide", np.uint32), distinct[long])]
+        short = np.flatnonzero(~long)
+        n = size[short]
+        run = np.repeat(begin[distinct[short]].astype(np.int64) - np.cumsum(n) + n, n) + np.arange(n.sum())
+        of[short] = _sums(whole(run), np.cumsum(n) - n)
+        sums[mine] = of[back]
+        return counts, sums
+
+    def _parts(self, level: int, context: np.ndarray, last: np.ndarray, bucket: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What n-grams of a bucket have at a level: the discounted share, and the weight of what is shorter."""
+        counts, sums = self.look(level, bucket, context, last)
+        if hot.any():
+            keys = context[hot]
+            if level == 2:
+                keys = keys >> np.uint64(32)
+                both = keys << np.uint64(32) | last[hot]
+                found = np.zeros(len(keys), np.int64)
+                for p, at in _split(self._own(both)):
+                    known = self.folder.read(f"pair-{p}", np.uint64)
+                    if len(known):
+                        place = np.minimum(np.searchsorted(known, both[at]), len(known) - 1)
+                        found[at] = np.where(known[place] == both[at], self.folder.read(f"pairs-{p}", np.int64)[place], 0)
+                counts[hot] = found
+                known, total = self.folder.read("hot", np.uint64), self.folder.read("hotter", np.int64).reshape(-1, 4)
+                sums[hot] = total[np.searchsorted(known, keys)]
+            else:
+                found = np.zeros((len(keys), 4), np.int64)
+                for p, at in _split(self._own(keys)):
+                    known = self.folder.read(f"shared-{p}", np.uint64)
+                    if len(known):
+                        place = np.minimum(np.searchsorted(known, keys[at]), len(known) - 1)
+                        found[at] = np.where((known[place] == keys[at])[:, None], self.folder.read(f"sharing-{p}", np.int64).reshape(-1, 4)[place], 0)
+                sums[hot] = found
+        d, total = self.discounts[level - 1], np.maximum(sums[:, 0], 1)
+        high = np.where(sums[:, 0] > 0, np.maximum(counts - d[np.minimum(counts, 3)], 0) / total, 0.0)
+        return high, np.where(sums[:, 0] > 0, sums[:, 1:] @ d[1:] / total, 1.0)
+
+    def answers(self, bucket: int, context: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of n-grams of a bucket: a and b of their probability a + b p, where p is the last word's own."""
+        middle = context >> np.uint64(32)
+        hot = self.hot(middle) > 1
+        high, weight = self._parts(2, middle << np.uint64(32), last, bucket, hot)
+        if self.order == 3:
+            top, more = self._parts(3, context, last, bucket, hot)
+            return top + more * high, more * weight
+        return high, weight
+
+    def prepared(self, count: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of texts' tokens: training counts and own probabilities of all; distinct n-grams, and which one each token is."""
         distinct, back = np.unique(h, return_inverse=True)
-        number = self.numbers(distinct)
-        order = np.argsort(number, kind="stable")
-        count, follows = np.empty(len(number), np.int64), np.empty(len(number), np.int64)
-        count[order], follows[order] = self.of_words("counts", number[order]), self.of_words("follows", number[order])
-        low = np.maximum(follows - self.lower[np.minimum(follows, 3)], 0) / max(1, self.types) + self.spare / (self.words + 1)
-        number, low = number[back], low[back]
-        before = np.concatenate([[-1], number[:-1]])
-        before[starts] = self.words
-        context = np.unique(before[before >= 0]).astype(np.uint64)
-        after = self.of_contexts(context)
-        total = after[:, 0]
-        weight = np.where(total > 0, (after[:, 1:] @ self.discounts[1:]) / np.maximum(total, 1), 1.0)
-        place = np.searchsorted(context, np.maximum(before, 0).astype(np.uint64)).clip(max=max(0, len(context) - 1))
-        known = before >= 0
-        w = np.where(known, weight[place], 1.0) if len(context) else np.ones(len(h))
-        p = w * low
-        both = np.flatnonzero(known & (number >= 0))
-        if len(both):
-            keys, again = np.unique((before[both].astype(np.uint64) << np.uint64(32)) | number[both].astype(np.uint64), return_inverse=True)
-            seen = self.of_bigrams(keys)
-            high = np.maximum(seen - self.discounts[np.minimum(seen, 3)], 0)
-            p[both] += np.where(total[place[both]] > 0, high[again] / np.maximum(total[place[both]], 1), 0)
-        return count[back], p
+        number, seen, follows = self.numbers(distinct)
+        own = np.maximum(follows - self.discounts[0][np.minimum(follows, 3)], 0) / max(1, self.types) + self.spare / (self.words + 1)
+        context, last = self.ngrams(number[back], count)
+        order = np.lexsort((last, context))
+        new = np.ones(len(order), bool)
+        new[1:] = (context[order][1:] != context[order][:-1]) | (last[order][1:] != last[order][:-1])
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(new) - 1
+        return seen[back], own[back], context[order][new], last[order][new], which
 
 
 def _discounts(n: np.ndarray) -> np.ndarray:
@@ -218,126 +279,266 @@ def _discounts(n: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
-def train(docs: DataFrame) -> Model:
+def _sent(texts: DataFrame, entries, part, kind: str) -> DataFrame:
+    """Rows (kind, part, blob) of the distinct entries of each task: entries(texts) gives arrays of keys, part(*keys) where each goes."""
+
+    def send(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        keys, (counts,) = _summed([np.concatenate(x) for x in zip(*held, strict=True)])
+        for p, at in _split(part(*keys)):
+            yield from _rows([{"kind": kind, "part": p, "blob": pack(*(k[at] for k in keys), counts[at].astype(np.uint32))}]).to_batches()
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            for some in common.slices(batch):
+                for found in entries(some.column(0)):
+                    held.append(found)
+                    n += len(found[0])
+                    if n >= GATHER:
+                        yield from send(held)
+                        held, n = [], 0
+        if held:
+            yield from send(held)
+
+    return texts.mapInArrow(run, ROWS)
+
+
+def train(docs: DataFrame, order: int = 3) -> Model:
     """The model of all rows' texts, null ones as empty; without rows every text has probability 1 a token."""
+    if order not in (2, 3):
+        raise ValueError(f"the order is 2 or 3, not {order}")
     spark = docs.sparkSession
-    folder = Folder.fresh(spark, "kneser-ney")
+    model = Model(Folder.fresh(spark, "kneser-ney"), order)
     texts = common.text_columns(docs).select("text")
-    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0]
-    model = Model(folder)
-    if size is None:
+    told = texts.agg(F.sum(F.octet_length("text").cast("long")).alias("size"), F.count("*").alias("n")).first()
+    if told.size is None:
         return model
-    ranges = max(8, size // RANGE_BYTES)
+    _count_words(texts, model, told.size, told.n)
+    _count_ngrams(texts, model)
+    return model
+
+
+def _count_words(texts: DataFrame, model: Model, size: int, n: int) -> None:
+    folder = model.folder
+    model.parts = int(max(8, size // PART_BYTES))
 
     def words(column: pa.Array):
         for _, _, h in _tokens(column):
-            yield h
+            yield (h,)
 
-    def keep_words(key, group):
+    def count(key, group):
+        (h,), (counts,) = _gathered(group["blob"].to_pylist(), 1)
+        return pa.table({"part": [key[0].as_py()], "words": [len(h)], "tokens": [int(counts.sum())], "blob": [pack(h, counts)]})
+
+    counted = common.cut(_sent(texts, words, model.part_of, "words").groupBy("part").applyInArrow(count, "part long, words long, tokens long, blob binary"))
+    total = counted.agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens")).first()
+    model.words, model.tokens = total.words, total.tokens
+    if model.words >= (1 << 32) - 1:
+        raise ValueError("numbers of words take 32 bits")
+    ranges = int(min(model.parts, model.words // RANGE + 1))
+
+    def keep(key, group):
         r = key[0].as_py()
-        h, counts = _merged(group)
+        h, counts = (np.concatenate(x) for x in zip(*(unpack(b) for _, b in sorted(zip(group["part"].to_pylist(), group["blob"].to_pylist(), strict=True))), strict=True))
         folder.write(f"words-{r}", h)
-        folder.write(f"counts-{r}", counts.astype(np.int64))
-        often = counts >= BUCKET
-        return pa.table({"range": [r], "words": [len(h)], "tokens": [int(counts.sum())], "hot": pa.array([np.flatnonzero(often).tolist()], pa.list_(pa.int64())), "times": pa.array([counts[often].tolist()], pa.list_(pa.int64()))})
+        folder.write(f"counts-{r}", counts)
+        often = np.flatnonzero(counts >= BUCKET)
+        return pa.table({"range": [r], "words": [len(h)], "hot": pa.array([often.tolist()], pa.list_(pa.int64())), "times": pa.array([counts[often].tolist()], pa.list_(pa.int64()))})
 
-    told = _counted(texts, words, lambda h: _range_of(h, ranges)).groupBy("part").applyInArrow(keep_words, "range long, words long, tokens long, hot array<long>, times array<long>").collect()
-    each = {r["range"]: r for r in told}
+    by_range = counted.withColumn("range", F.expr(f"part * {ranges} DIV {model.parts}")).groupBy("range")
+    each = {r["range"]: r for r in by_range.applyInArrow(keep, "range long, words long, hot array<long>, times array<long>").collect()}  # a row for 4 million words
     model.offsets = [0, *np.cumsum([each[r].words if r in each else 0 for r in range(ranges)]).tolist()]
-    model.words, model.tokens = model.offsets[-1], sum(r.tokens for r in told)
-    if model.words >= 1 << 32:
-        raise ValueError("numbers of words take 32 bits")
     model.buckets = max(8, -(-model.tokens // BUCKET))
-    model.hot = {model.offsets[r["range"]] + at: -(-times // BUCKET) + 1 for r in told for at, times in zip(r.hot, r.times, strict=True)}
-    texts_seen = docs.count()
-    if texts_seen >= BUCKET:
-        model.hot[model.words] = -(-texts_seen // BUCKET) + 1  # the start of a text
-    _count_bigrams(texts, model)
-    return model
+    hot = sorted((model.offsets[r] + at, times) for r, row in each.items() for at, times in zip(row.hot, row.times, strict=True))
+    if n >= BUCKET:
+        hot.append((model.words, n))  # the start of a text
+    if hot:
+        folder.write("hot", np.array([w for w, _ in hot], np.uint64))
+        folder.write("spread", np.array([-(-times // BUCKET) + 1 for _, times in hot], np.uint64))
 
 
-def _count_bigrams(texts: DataFrame, model: Model) -> None:
+def _count_ngrams(texts: DataFrame, model: Model) -> None:
     folder = model.folder
 
-    def bigrams(column: pa.Array):
+    def ngrams(column: pa.Array):
         for _, count, h in _tokens(column):
             distinct, back = np.unique(h, return_inverse=True)
-            number = model.numbers(distinct)[back].astype(np.uint64)
-            before = np.concatenate([[0], number[:-1]]).astype(np.uint64)
-            before[np.cumsum(count) - count] = model.words
-            yield (before << np.uint64(32)) | number
+            yield model.ngrams(model.numbers(distinct)[0][back], count)
+
+    def follow(last: np.ndarray) -> list[dict]:
+        (last,), (n,) = _summed([last.astype(np.uint64)])
+        part = np.searchsorted(np.array(model.offsets[1:]), last, "right")
+        return [{"kind": "follow", "part": p, "blob": pack(last[at], n[at].astype(np.uint32))} for p, at in _split(part)]
 
-    def keep_bigrams(key, group):
+    def own(kind: str, key: np.ndarray, values: np.ndarray) -> list[dict]:
+        return [{"kind": kind, "part": p, "blob": pack(key[at], *(v[at].astype(np.uint32) for v in values))} for p, at in _split(model._own(key))]
+
+    def keep(key, group):
         b = key[0].as_py()
-        keys, seen = _merged(group)
-        folder.write(f"bigrams-{b}", keys)
-        folder.write(f"seen-{b}", np.minimum(seen, (1 << 32) - 1).astype(np.uint32))
-        first = keys >> np.uint64(32)
-        begin = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
-        after = np.stack([np.add.reduceat(x, begin) for x in (seen, seen == 1, seen == 2, seen >= 3)], axis=1).astype(np.int64)
-        folder.write(f"contexts-{b}", first[begin])
-        folder.write(f"after-{b}", after)
-        hot = [(int(c), *a) for c, a in zip(first[begin], after.tolist(), strict=True) if int(c) in model.hot]
-        second, types = np.unique(keys & np.uint64(0xFFFFFFFF), return_counts=True)
-        part = np.searchsorted(np.array(model.offsets[1:]), second, "right")
-        found, at = np.unique(part, return_index=True)
-        rows = [{"part": int(p), "blob": _pack(second[a], types[a])} for p, a in zip(found, np.split(np.arange(len(second)), at[1:]), strict=True)]
-        rows.append({"part": -1 - b, "n": [int((seen == k).sum()) for k in (1, 2, 3, 4)], "types": len(keys), "hot": [list(x) for x in hot]})
-        return pa.Table.from_pylist(rows, pa.schema([("part", pa.int64()), ("blob", pa.binary()), ("n", pa.list_(pa.int64())), ("types", pa.int64()), ("hot", pa.list_(pa.list_(pa.int64())))]))
+        (context, last), (counts,) = _gathered(group["blob"].to_pylist(), 2)
+        rows, told = [], []
+        middle = context >> np.uint64(32)
+        if model.order == 3:
+            model.write_runs(3, b, context, last, counts)
+            told.append(_spread(counts))
+            hot = np.flatnonzero(model.hot(middle) > 1)
+            if len(hot):  # their contexts go on in other buckets
+                at = np.flatnonzero(np.concatenate([[True], context[hot][1:] != context[hot][:-1]]))
+                rows += own("shared", context[hot][at], _sums(counts[hot], at).T)
+            (middle, last), (counts,) = _summed([middle, last])  # how many words come before each bigram
+        else:
+            told.append(_spread(counts[:0]))
+        hot = model.hot(middle) > 1
+        if hot.any():
+            rows += own("pair", middle[hot] << np.uint64(32) | last[hot], counts[hot][None])
+        model.write_runs(2, b, middle[~hot] << np.uint64(32), last[~hot], counts[~hot])
+        told.append(_spread(counts[~hot]))
+        return _rows([*rows, *follow(last[~hot]), {"kind": "told", "part": -1, "blob": pack(*told)}])
+
+    def merge(key, group):
+        """Sums of hot words' contexts, and their bigrams, of one bucket of their own."""
+        kind, b = key[0].as_py(), key[1].as_py()
+        (of,), values = _gathered(group["blob"].to_pylist(), 1)
+        if kind == "shared":
+            folder.write(f"shared-{b}", of)
+            folder.write(f"sharing-{b}", np.stack(values, axis=1).ravel())
+            return _rows([])
+        counts = values[0]
+        folder.write(f"pair-{b}", of)
+        folder.write(f"pairs-{b}", counts)
+        middle = of >> np.uint64(32)
+        begin = np.flatnonzero(np.concatenate([[True], middle[1:] != middle[:-1]]))
+        rows = [{"kind": "hotter", "part": int(m), "blob": pack(s)} for m, s in zip(middle[begin].tolist(), _sums(counts, begin), strict=True)]
+        return _rows([*rows, *follow(of & np.uint64(0xFFFFFFFF)), {"kind": "told", "part": -1, "blob": pack(_spread(counts[:0]), _spread(counts))}])
 
     def keep_follows(key, group):
         r = key[0].as_py()
-        second, types = _merged(group)
+        (last,), (n,) = _gathered(group["blob"].to_pylist(), 1)
         dense = np.zeros(model.offsets[r + 1] - model.offsets[r], np.int64)
-        dense[second.astype(np.int64) - model.offsets[r]] = types
+        dense[last.astype(np.int64) - model.offsets[r]] = n
         folder.write(f"follows-{r}", dense)
-        return pa.Table.from_pylist([{"n": [int((types == k).sum()) for k in (1, 2, 3, 4)], "more": int((types >= 3).sum())}], pa.schema([("n", pa.list_(pa.int64())), ("more", pa.int64())]))
-
-    counted = _counted(texts, bigrams, model.bucket)
-    kept = common.cut(counted.groupBy("part").applyInArrow(keep_bigrams, "part long, blob binary, n array<long>, types long, hot array<array<long>>"))
-    told = kept.where("part < 0").select("part", "n", "types", "hot").collect()  # a row a bucket
-    model.filled = frozenset(-1 - r.part for r in told)
-    model.types = sum(r.types for r in told)
-    model.discounts = _discounts(np.sum([r.n for r in told], axis=0))
-    for c, *a in (x for r in told for x in r.hot):
-        model.sums[c] = tuple(np.add(model.sums.get(c, (0, 0, 0, 0)), a).tolist())
-    told = kept.where("part >= 0").select("part", "blob").groupBy("part").applyInArrow(keep_follows, "n array<long>, more long").collect()
-    n = np.sum([r.n for r in told], axis=0)
-    model.lower = _discounts(n)
-    model.spare = float(model.lower[1] * n[0] + model.lower[2] * n[1] + model.lower[3] * sum(r.more for r in told)) / model.types
-
-
-def score(docs: DataFrame, model: Model) -> DataFrame:
+        return _rows([{"kind": "told", "part": r, "blob": pack(_spread(n))}])
+
+    kept = common.cut(_sent(texts, ngrams, model.bucket, "ngrams").groupBy("part").applyInArrow(keep, ROWS))
+    both = kept.where("kind IN ('shared', 'pair')")
+    if not both.isEmpty():
+        merged = common.cut(both.groupBy("kind", "part").applyInArrow(merge, ROWS))
+        kept = kept.union(merged)
+        known = folder.read("hot", np.uint64)
+        sums = np.zeros((len(known), 4), np.int64)
+        for r in merged.where("kind = 'hotter'").select("part", "blob").toLocalIterator():
+            sums[np.searchsorted(known, np.uint64(r.part))] += unpack(r.blob)[0]
+        folder.write("hotter", sums.ravel())
+    told = [unpack(r.blob) for r in kept.where("kind = 'told'").select("blob").collect()]  # a row a bucket
+    spreads = [np.sum(x, axis=0) for x in zip(*told, strict=True)]
+    told = kept.where("kind = 'follow'").groupBy("part").applyInArrow(keep_follows, ROWS).select("blob").collect()  # a row a range
+    follows = np.sum([unpack(r.blob)[0] for r in told], axis=0)
+    model.discounts = [_discounts(n) for n in (follows, spreads[1], spreads[0])]
+    model.types = int(spreads[1][5])
+    d = model.discounts[0]
+    model.spare = float(d[1] * follows[0] + d[2] * follows[1] + d[3] * follows[4]) / model.types
+    model.bytes = int(6 * spreads[1][5] + 20 * spreads[0][5] + 24 * model.words)  # about
+
+
+def _batches(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """As _tokens, several runs together."""
+    held = []
+    for found in _tokens(texts):
+        held.append(found)
+        if len(held) == TOGETHER:
+            yield held[0][0], np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
+            held = []
+    if held:
+        yield held[0][0], np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
+
+
+def _told(model: Model, count: np.ndarray, seen: np.ndarray, p: np.ndarray) -> list[np.ndarray]:
+    """Of texts: tokens, known ones, and the base's and the model's log10 probability."""
+    begin = np.cumsum(count) - count
+    base = np.log10((seen + 1.0) / (model.tokens + model.words + 1))
+    return [count.astype(np.int64), np.add.reduceat((seen > 0).astype(np.int64), begin), np.add.reduceat(base, begin), np.add.reduceat(np.log10(p), begin)]
+
+
+def score(docs: DataFrame, model: Model, routed: bool | None = None) -> DataFrame:
     """docs' doc_id with n_tokens, n_known, base_score and score (log10 of the text's probability), and train_tokens.
 
     Null and empty texts are their end alone. Words never seen share what the model leaves over, alike.
     Rows with the same doc_id each give a row; other columns are ignored; an empty table gives none.
+    routed sends n-grams to their buckets, with the same result; by default with models beyond MAPPED bytes.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double"
+    names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = [[], [], [], []]
-        for _, count, h in _tokens(batch.column(1)):
-            begin = np.cumsum(count) - count
-            seen, p = model.probabilities(h, begin)
-            base = np.log10((seen + 1.0) / (model.tokens + model.words + 1))
-            for into, values in zip(out, (count, np.add.reduceat((seen > 0).astype(np.int64), begin), np.add.reduceat(base, begin), np.add.reduceat(np.log10(p), begin)), strict=True):
-                into.append(values)
-        made = [pa.array(np.concatenate(x)) for x in out]
-        return pa.RecordBatch.from_arrays([batch.column(0), *made], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
-
-    found = common.map_texts(common.text_columns(docs), work, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+        out = []
+        for _, count, h in _batches(batch.column(1)):
+            seen, own, context, last, which = model.prepared(count, h)
+            a, b = np.empty(len(context)), np.empty(len(context))
+            for p, at in _split(model.bucket(context, last)):
+                a[at], b[at] = model.answers(p, context[at], last[at])
+            out.append(_told(model, count, seen, a[which] + b[which] * own))
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.concatenate(x)) for x in zip(*out, strict=True))], names)
+
+    texts = common.text_columns(docs)
+    if routed is None:
+        routed = model.bytes > MAPPED
+    found = _routed(texts, model, schema, names) if routed else common.map_texts(texts, work, schema)
     return found.withColumn("train_tokens", F.lit(model.tokens).cast("long")).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
+def _routed(texts: DataFrame, model: Model, schema: str, names: list[str]) -> DataFrame:
+    """The scores, with n-grams answered by the tasks of their buckets. A batch of texts has a number, by which all comes together again."""
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    sent = f"batch long, part long, blob binary, ids array<{kind}>"
+
+    def ask(batches):
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for some in common.slices(batch):
+                types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(some.schema.field(0).type)]
+                row = lambda *x, types=types: pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(x, types, strict=True)], ["batch", "part", "blob", "ids"])
+                ids = some.column(0).to_pylist()
+                for begin, count, h in _batches(some.column(1)):
+                    seen, own, context, last, which = model.prepared(count, h)
+                    places = list(_split(model.bucket(context, last)))
+                    for p, at in places:
+                        yield row(number, p, pack(context[at], last[at].astype(np.uint32)), None)
+                    where = np.concatenate([at for _, at in places])  # the order in which the answers come, by bucket
+                    yield row(number, -1, pack(count, seen.astype(np.uint32), own, which.astype(np.uint32), where.astype(np.uint32)), ids[begin : begin + len(count)])
+                    number += 1
+
+    def answer(key, group):
+        out = []
+        for batch, blob in zip(group["batch"].to_pylist(), group["blob"].to_pylist(), strict=True):
+            context, last = unpack(blob)
+            out.append({"batch": batch, "part": key[0].as_py(), "blob": pack(*model.answers(key[0].as_py(), context, last.astype(np.uint64)))})
+        return pa.Table.from_pylist(out, pa.schema([("batch", pa.int64()), ("part", pa.int64()), ("blob", pa.binary())]))
+
+    def put(texts_, answers):
+        columns = []
+        for blob, ids in zip(texts_["blob"].to_pylist(), texts_["ids"].combine_chunks(), strict=True):
+            count, seen, own, which, where = unpack(blob)
+            told = [unpack(b) for _, b in sorted(zip(answers["part"].to_pylist(), answers["blob"].to_pylist(), strict=True))]
+            a, b = np.empty(len(where)), np.empty(len(where))
+            a[where], b[where] = (np.concatenate(x) for x in zip(*told, strict=True))
+            columns.append([ids.values, *(pa.array(x) for x in _told(model, count, seen.astype(np.int64), a[which] + b[which] * own))])
+        return pa.Table.from_arrays([pa.concat_arrays(x) for x in zip(*columns, strict=True)], names)
+
+    asked = common.cut(texts.mapInArrow(ask, sent))
+    answered = asked.where("part >= 0").select("batch", "part", "blob").groupBy("part").applyInArrow(answer, "batch long, part long, blob binary")
+    return asked.where("part < 0").select("batch", "blob", "ids").groupBy("batch").cogroup(answered.groupBy("batch")).applyInArrow(put, schema)
+
+
 def held_out(mod: int = 7, is_: int = 2):
-    return F.crc32(F.col("doc_id").cast("string")) % mod == is_
+    """Whether a document is kept from training; one without a doc_id isn't."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % mod == is_, F.lit(False))
 
 
 def op8_lm_scores(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs.where(~held_out()))
-    found = score(docs, model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    found = score(docs, model).select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
     kept = common.cut(found)
     model.delete()
     return kept
