@@ -12,7 +12,7 @@ def pack(*arrays: np.ndarray) -> bytes:
         if a.dtype == np.uint64 and len(a) > 64:  # as differences, byte by byte
             raw, kind = np.diff(a, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), b"D"
         elif a.dtype == np.uint32 and len(a) > 64:  # byte by byte
-            raw, kind = np.ascontiguousarray(a).view(np.uint8).reshape(-1, 4).T.tobytes(), b"B"
+            raw, kind = np.ascontiguousarray(a).view(np.uint8).reshape(-1, 4).T.tobytes(), b"p"
         else:
             raw, kind = np.ascontiguousarray(a).tobytes(), a.dtype.char.encode()
         squeezed = pa.compress(raw, "zstd", asbytes=True) if raw else b""
@@ -29,7 +29,7 @@ def unpack(blob: bytes) -> list[np.ndarray]:
         at += squeezed
         if kind == b"D":
             out.append(np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64))
-        elif kind == b"B":
+        elif kind == b"p":
             out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel())
         else:
             out.append(np.frombuffer(data, np.dtype(kind.decode())))

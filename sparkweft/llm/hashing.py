@@ -114,12 +114,13 @@ def hash_of(value: str) -> int:
 def within(values: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each sorted slice values[low:high], the first place that isn't below the wanted value, and whether it equals it."""
     low, top = low.astype(np.int64), high.astype(np.int64)
-    end, last = top, max(0, len(values) - 1)
-    while True:
-        left = low < top
-        if not left.any():
-            break
-        middle = (low + top) >> 1
-        below = left & (values[np.minimum(middle, last)] < wanted) if len(values) else left
-        low, top = np.where(below, middle + 1, low), np.where(left & ~below, middle, top)
-    return low, (low < end) & (values[np.minimum(low, last)] == wanted) if len(values) else np.zeros(len(low), bool)
+    end, left = top.copy(), np.flatnonzero(low < top)
+    while len(left):
+        a, b = low[left], top[left]
+        middle = (a + b) >> 1
+        below = values[middle] < wanted[left]
+        low[left], top[left] = np.where(below, middle + 1, a), np.where(below, b, middle)
+        left = left[low[left] < top[left]]
+    inside = low < end
+    inside[inside] = values[low[inside]] == wanted[inside]
+    return low, inside

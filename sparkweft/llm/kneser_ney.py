@@ -5,7 +5,8 @@ two, lies in the shared folder as sorted arrays:
 
 - words: 64-bit hashes in ranges (a word's number is its place), with counts and continuation counts;
 - n-grams: in buckets by the word before the last one, so that an n-gram, its context and its shorter
-  forms lie together. Contexts are sorted, each with the run of its last words and their counts.
+  forms lie together. Middle words are sorted, each with the run of its first words, which each have the
+  run of their last words and counts.
 
 A context's sums are those of its run, or are kept where that is long. An n-gram whose middle word has
 more tokens than a bucket should hold ("hot") goes to one of several buckets; the sums of its contexts,
@@ -51,11 +52,17 @@ def _tokens(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 def _split(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Places of the entries of each part, in their order."""
+    part = part.astype(np.uint16) if len(part) and part.min() >= 0 and part.max() < 1 << 16 else part  # sorted faster
     order = np.argsort(part, kind="stable")
     found, begin = np.unique(part[order], return_index=True)
     yield from zip(found.tolist(), np.split(order, begin[1:]) if len(found) else [], strict=True)
 
 
+def _new(values: np.ndarray) -> np.ndarray:
+    """Where other values than before begin."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+
+
 def _summed(keys: list[np.ndarray], *values: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Distinct entries (arrays of keys, the first one first), in order, with the sums of their values; ones without any."""
     order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
@@ -168,12 +175,16 @@ class Model:
 
     def write_runs(self, level: int, bucket: int, context: np.ndarray, last: np.ndarray, counts: np.ndarray) -> None:
         """Entries by context and last word, as the arrays that `look` reads."""
-        begin = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.zeros(0, np.int64)
+        begin = _new(context)
+        middle = context[begin] >> np.uint64(32)
+        of = _new(middle)
         size = np.diff(np.append(begin, len(context)))
         wide, large = np.flatnonzero(size > WIDE), np.flatnonzero(counts >= 255)
         name = lambda kind: f"{kind}{level}-{bucket}"
         write = self.folder.write
-        write(name("context"), context[begin])
+        write(name("middle"), middle[of].astype(np.uint32))
+        write(name("from"), np.append(of, len(begin)).astype(np.uint32))
+        write(name("first"), context[begin].astype(np.uint32))
         write(name("begin"), np.append(begin, len(context)).astype(np.uint32))
         write(name("last"), last.astype(np.uint32))
         write(name("count"), np.minimum(counts, 255).astype(np.uint8))
@@ -183,14 +194,18 @@ class Model:
         write(name("sums"), _sums(counts, begin)[wide].ravel())
 
     def look(self, level: int, bucket: int, context: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of n-grams of a bucket, and the sums of their contexts (as far as the bucket has them)."""
+        """Counts of n-grams of a bucket, which come by context, and the sums of their contexts (as far as the bucket has them)."""
         read = lambda kind, of: self.folder.read(f"{kind}{level}-{bucket}", of)
         counts, sums = np.zeros(len(context), np.int64), np.zeros((len(context), 4), np.int64)
-        known = read("context", np.uint64)
-        if not len(known):
+        known = read("middle", np.uint32)
+        if not len(known) or not len(context):
             return counts, sums
-        place = np.minimum(np.searchsorted(known, context), len(known) - 1)
-        mine = np.flatnonzero(known[place] == context)
+        new = _new(context)  # each context once
+        middle, start = (context[new] >> np.uint64(32)).astype(np.uint32), read("from", np.uint32)
+        place = np.minimum(np.searchsorted(known, middle), len(known) - 1)
+        place, there = hashing.within(read("first", np.uint32), np.where(known[place] == middle, start[place], 0), np.where(known[place] == middle, start[place + 1], 0), context[new].astype(np.uint32))
+        size = np.diff(np.append(new, len(context)))
+        place, mine = np.repeat(place, size), np.flatnonzero(np.repeat(there, size))
         place, begin, entries = place[mine], read("begin", np.uint32), read("count", np.uint8)
         low, high = begin[place].astype(np.int64), begin[place + 1].astype(np.int64)
         large, larger = read("large", np.uint32), read("larger", np.int64)
@@ -204,7 +219,8 @@ class Model:
         at, there = hashing.within(read("last", np.uint32), low, high, last[mine].astype(np.uint32))
         counts[mine[there]] = whole(at[there])
         # The sums of each context once, from its run or as they were kept.
-        distinct, back = np.unique(place, return_inverse=True)
+        new = _new(place)
+        distinct, back = place[new], np.repeat(np.arange(len(new)), np.diff(np.append(new, len(place))))
         of, size = np.zeros((len(distinct), 4), np.int64), np.diff(begin.astype(np.int64))[distinct] if len(distinct) else np.zeros(0, np.int64)
         long = size > WIDE
         if long.any():
