@@ -15,15 +15,17 @@ from . import common
 MAPS, HELD = 512, 256 << 20
 _HEADER = struct.Struct("<8sq")  # the kind of the entries, and how many
 _maps: OrderedDict[str, np.ndarray] = OrderedDict()
+_read: dict[str, int] = {}  # bytes of the arrays that were read whole
 
 
-def _kept(key: str, values: np.ndarray) -> np.ndarray:
+def _kept(key: str, values: np.ndarray, mapped: bool = True) -> np.ndarray:
     """values, kept under the key; what was used least recently goes."""
-    _maps[key] = values
-    read = sum(a.nbytes for a in _maps.values() if not isinstance(a, np.memmap)) if not isinstance(values, np.memmap) else 0
-    while len(_maps) > MAPS or (read > HELD and len(_maps) > 1):
-        _, old = _maps.popitem(last=False)
-        read -= 0 if isinstance(old, np.memmap) else old.nbytes
+    _maps[key] = values = values.view(np.ndarray)  # plain, as each piece of a mapped array would be a map again
+    if not mapped:
+        _read[key] = values.nbytes
+    while len(_maps) > MAPS or (sum(_read.values()) > HELD and len(_maps) > 1):
+        old, _ = _maps.popitem(last=False)
+        _read.pop(old, None)
     return values
 
 
@@ -71,7 +73,7 @@ class Folder:
         with system.open_input_stream(path) as f:
             raw = f.read()
         stored, n = _HEADER.unpack_from(raw)
-        return _kept(key, np.frombuffer(raw, np.dtype(stored.rstrip(b"\0").decode()), n, _HEADER.size))
+        return _kept(key, np.frombuffer(raw, np.dtype(stored.rstrip(b"\0").decode()), n, _HEADER.size), False)
 
     def piece(self, name: str, kind, begin: int, end: int) -> np.ndarray:
         """Entries begin to end; of a file that can't be mapped only these are read."""
@@ -88,6 +90,7 @@ class Folder:
     def delete(self) -> None:
         for key in [k for k in _maps if k.startswith(self.uri)]:
             del _maps[key]
+            _read.pop(key, None)
         system, path = self._open()
         if os.path.basename(path) and system.get_file_info(path).type.name == "Directory":
             system.delete_dir(path)
