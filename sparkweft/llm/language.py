@@ -114,6 +114,11 @@ def _shares(like: np.ndarray, begin: np.ndarray, count: np.ndarray, mask: np.nda
     return share, np.add.reduceat(np.log(np.maximum(seen, 1e-300)), begin)
 
 
+def _least(share: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """The language of the set with the smallest share, of equal ones the last."""
+    return share.shape[1] - 1 - np.where(mask, share, 2.0)[:, ::-1].argmin(axis=1)
+
+
 def mixtures(units: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Texts that have runs, in order, and the shares of the languages in the best set."""
     begin = np.flatnonzero(np.diff(docs, prepend=-1))
@@ -127,7 +132,8 @@ def mixtures(units: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     best, value = share, fit - cost * mask.sum(axis=1)
     drop = share < LEAST
     drop[np.arange(len(drop)), share.argmax(axis=1)] = False
-    drop[drop.sum(axis=1) == 0] |= (share == np.where(mask, share, 2.0).min(axis=1, keepdims=True))[drop.sum(axis=1) == 0]
+    none = np.flatnonzero(drop.sum(axis=1) == 0)
+    drop[none, _least(share, mask)[none]] = True
     while True:
         mask = mask & ~drop
         mask[mask.sum(axis=1) == 0] = best[mask.sum(axis=1) == 0] > 0
@@ -139,7 +145,7 @@ def mixtures(units: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarra
         if not more.any():
             return docs[begin], best
         drop = np.zeros_like(mask)
-        drop[np.arange(len(mask)), np.where(mask, share, 2.0).argmin(axis=1)] = True
+        drop[np.arange(len(mask)), _least(share, mask)] = True
         drop[~more] = False
 
 

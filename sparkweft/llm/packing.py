@@ -141,7 +141,8 @@ def place(items: list[Item], limits: Limits, cut: bool) -> list[list[Item]]:
             fits = left & (need <= room).all(axis=1)
             if fits.any():
                 score = (need / size) @ (room / size)
-                best = int(np.argmax(np.where(fits, score, -1.0)))
+                score = np.where(fits, score, -1.0)
+                best = int(np.argmax(score >= score.max() * (1 - 1e-12)))  # the first of those that are equal but for rounding
                 chosen.append(items[best])
                 room -= need[best]
                 left[best] = False
