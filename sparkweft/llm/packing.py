@@ -132,18 +132,19 @@ def place(items: list[Item], limits: Limits, cut: bool) -> list[list[Item]]:
     items = list(items)
     need = np.array([[i.tokens, 1, i.loss] for i in items], float).reshape(-1, 3)
     size = np.array([limits.tokens, limits.segments, limits.loss_tokens], float)
-    left = np.ones(len(items), bool)
+    share, of, left = need / size, np.arange(len(items)), np.ones(len(items), bool)
     bins: list[list[Item]] = []
     waiting = len(items)
     while waiting:
+        if waiting < len(left) // 2:  # what has been placed is looked at no more
+            need, share, of, left = need[left], share[left], of[left], np.ones(waiting, bool)
         room, chosen = size.copy(), []
         while waiting:
-            fits = left & (need <= room).all(axis=1)
-            if fits.any():
-                score = (need / size) @ (room / size)
-                score = np.where(fits, score, -1.0)
+            fits = left & (need[:, 0] <= room[0]) & (need[:, 2] <= room[2])
+            if room[1] >= 1 and fits.any():
+                score = np.where(fits, share @ (room / size), -1.0)
                 best = int(np.argmax(score >= score.max() * (1 - 1e-12)))  # the first of those that are equal but for rounding
-                chosen.append(items[best])
+                chosen.append(items[of[best]])
                 room -= need[best]
                 left[best] = False
                 waiting -= 1
@@ -154,10 +155,11 @@ def place(items: list[Item], limits: Limits, cut: bool) -> list[list[Item]]:
             if not chosen or (cut and gap >= CUT_AT and room[1] >= 1):
                 best = int(np.argmax(np.where(left, need[:, 0], -1.0)))
                 if not cut:
-                    raise ValueError(f"an example exceeds the limits alone: {items[best].key}")
-                head, items[best] = items[best].split(gap)
+                    raise ValueError(f"an example exceeds the limits alone: {items[of[best]].key}")
+                head, items[of[best]] = items[of[best]].split(gap)
                 chosen.append(head)
-                need[best] = items[best].tokens, 1, items[best].loss
+                need[best] = items[of[best]].tokens, 1, items[of[best]].loss
+                share[best] = need[best] / size
             break
         bins.append(chosen)
     return bins
