@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import schema as S
-from ..functions.lineage import shared_dir
+from ..functions.lineage import cut, shared_dir
 from ..operators.depends import derive_depends_on_relationships
 from ..operators.graph import PropertyGraph
 from ..sources.graph_io import load_tables, save_tables
@@ -107,17 +107,22 @@ def graph(spark: SparkSession, sf_dir: str, derived: bool = True) -> PropertyGra
     folder = f"{shared_dir(spark)}/star-{fingerprint(spark, sf_dir, *TABLES)}"
     done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/metadata/_SUCCESS")  # written last
     if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
-        made = built(spark, sf_dir).kept()
-        save_tables(PropertyGraph(made.nodes.repartitionByRange("id").sortWithinPartitions("id"), made.edges.repartitionByRange("type", "source").sortWithinPartitions("source"), made.metadata), folder)
+        made = _graph(_nodes(spark, sf_dir), cut(_edges(spark, sf_dir)), True)  # edges are read twice: as they are, and for what derives from them
+        nodes, edges = cut(made.nodes), cut(made.edges)  # and both again, for the ranges' bounds
+        save_tables(PropertyGraph(nodes.repartitionByRange("id").sortWithinPartitions("id"), edges.repartitionByRange("type", "source").sortWithinPartitions("source"), made.metadata), folder)
     found = load_tables(spark, folder)
     return found if derived else PropertyGraph(found.nodes, found.edges.where("NOT is_derived"), found.metadata)
 
 
 def built(spark: SparkSession, sf_dir: str, derived: bool = True) -> PropertyGraph:
     """The star graph as plans over its tables; its identifiers order it, as the tables have no order of their own."""
+    return _graph(_nodes(spark, sf_dir), _edges(spark, sf_dir), derived)
+
+
+def _graph(nodes: DataFrame, edges: DataFrame, derived: bool) -> PropertyGraph:
     nothing, nowhere = F.lit(None).cast("string"), F.lit(None).cast(S.LOCATION)
-    nodes = _nodes(spark, sf_dir).select("id", "type", "name", "path", nowhere.alias("location"), F.lit("{}").alias("properties"), "is_synthetic", "resolved", "raw_call", nothing.alias("extra"), F.xxhash64("id").alias("node_ord"))
-    edges = _edges(spark, sf_dir).withColumn("is_derived", F.lit(False))
+    nodes = nodes.select("id", "type", "name", "path", nowhere.alias("location"), F.lit("{}").alias("properties"), "is_synthetic", "resolved", "raw_call", nothing.alias("extra"), F.xxhash64("id").alias("node_ord"))
+    edges = edges.withColumn("is_derived", F.lit(False))
     if derived:
         made = derive_depends_on_relationships(edges)
         edges = edges.unionByName(made.select("source", "target", "type", "properties", F.lit(True).alias("is_derived")))
