@@ -137,11 +137,29 @@ class Model:
                     same = known[place] == h[at]
                     at, place = at[same], place[same]
                     out[0][at] = place + self.offsets[r]
-                    out[1][at] = self.folder.read(f"counts-{r}", np.int64)[place]
-                    follows = self.folder.read(f"follows-{r}", np.int64)
-                    out[2][at] = follows[place] if len(follows) else 0
+                    out[1][at] = self.counts(f"counts-{r}", place)
+                    out[2][at] = self.counts(f"follows-{r}", place)
         return out
 
+    # Counts: a byte each, and those of 255 or more by their places.
+
+    def write_counts(self, name: str, counts: np.ndarray) -> None:
+        large = np.flatnonzero(counts >= 255)
+        self.folder.write(name, np.minimum(counts, 255).astype(np.uint8))
+        self.folder.write(f"{name}-large", large.astype(np.uint32))
+        self.folder.write(f"{name}-larger", counts[large].astype(np.int64))
+
+    def counts(self, name: str, at: np.ndarray) -> np.ndarray:
+        """The counts at places; zeros if none were written."""
+        known = self.folder.read(name, np.uint8)
+        if not len(known):
+            return np.zeros(len(at), np.int64)
+        found = known[at].astype(np.int64)
+        big = np.flatnonzero(found == 255)
+        if len(big):
+            found[big] = self.folder.read(f"{name}-larger", np.int64)[np.searchsorted(self.folder.read(f"{name}-large", np.uint32), at[big])]
+        return found
+
     # N-grams: the context as the middle word's number above the first one's (0 in bigrams), and the last word's.
 
     def ngrams(self, number: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,22 +192,26 @@ class Model:
         return (hashing.mix(key) % np.uint64(self.buckets)).astype(np.int64)
 
     def write_runs(self, level: int, bucket: int, context: np.ndarray, last: np.ndarray, counts: np.ndarray) -> None:
-        """Entries by context and last word, as the arrays that `look` reads."""
+        """Entries by context and last word, as the arrays that `look` reads.
+
+        A middle word is a context by itself at level 2. Where a context's run begins is kept by its low
+        16 bits, and `block` has the first context that begins at or after each multiple of 65,536.
+        """
         begin = _new(context)
         middle = context[begin] >> np.uint64(32)
         of = _new(middle)
         size = np.diff(np.append(begin, len(context)))
-        wide, large = np.flatnonzero(size > WIDE), np.flatnonzero(counts >= 255)
+        wide, bounds = np.flatnonzero(size > WIDE), np.append(begin, len(context))
         name = lambda kind: f"{kind}{level}-{bucket}"
         write = self.folder.write
         write(name("middle"), middle[of].astype(np.uint32))
-        write(name("from"), np.append(of, len(begin)).astype(np.uint32))
-        write(name("first"), context[begin].astype(np.uint32))
-        write(name("begin"), np.append(begin, len(context)).astype(np.uint32))
+        if level == 3:
+            write(name("from"), np.append(of, len(begin)).astype(np.uint32))
+            write(name("first"), context[begin].astype(np.uint32))
+        write(name("begin"), (bounds & 0xFFFF).astype(np.uint16))
+        write(name("block"), np.searchsorted(bounds, np.arange(1, (len(context) >> 16) + 1) << 16).astype(np.uint32))
         write(name("last"), last.astype(np.uint32))
-        write(name("count"), np.minimum(counts, 255).astype(np.uint8))
-        write(name("large"), large.astype(np.uint32))
-        write(name("larger"), counts[large].astype(np.int64))
+        self.write_counts(name("count"), counts)
         write(name("wide"), wide.astype(np.uint32))
         write(name("sums"), _sums(counts, begin)[wide].ravel())
 
@@ -201,34 +223,30 @@ class Model:
         if not len(known) or not len(context):
             return counts, sums
         new = _new(context)  # each context once
-        middle, start = (context[new] >> np.uint64(32)).astype(np.uint32), read("from", np.uint32)
+        middle = (context[new] >> np.uint64(32)).astype(np.uint32)
         place = np.minimum(np.searchsorted(known, middle), len(known) - 1)
-        place, there = hashing.within(read("first", np.uint32), np.where(known[place] == middle, start[place], 0), np.where(known[place] == middle, start[place + 1], 0), context[new].astype(np.uint32))
+        there = known[place] == middle
+        if level == 3:
+            start = read("from", np.uint32)
+            place, there = hashing.within(read("first", np.uint32), np.where(there, start[place], 0), np.where(there, start[place + 1], 0), context[new].astype(np.uint32))
         size = np.diff(np.append(new, len(context)))
         place, mine = np.repeat(place, size), np.flatnonzero(np.repeat(there, size))
-        place, begin, entries = place[mine], read("begin", np.uint32), read("count", np.uint8)
-        low, high = begin[place].astype(np.int64), begin[place + 1].astype(np.int64)
-        large, larger = read("large", np.uint32), read("larger", np.int64)
-
-        def whole(at: np.ndarray) -> np.ndarray:
-            n = entries[at].astype(np.int64)
-            big = np.flatnonzero(n == 255)
-            n[big] = larger[np.searchsorted(large, at[big])] if len(big) else 0
-            return n
-
-        at, there = hashing.within(read("last", np.uint32), low, high, last[mine].astype(np.uint32))
-        counts[mine[there]] = whole(at[there])
-        # The sums of each context once, from its run or as they were kept.
+        place, count = place[mine], f"count{level}-{bucket}"
+        # Each context once: where its run lies, and its sums, from the run or as they were kept.
         new = _new(place)
         distinct, back = place[new], np.repeat(np.arange(len(new)), np.diff(np.append(new, len(place))))
-        of, size = np.zeros((len(distinct), 4), np.int64), np.diff(begin.astype(np.int64))[distinct] if len(distinct) else np.zeros(0, np.int64)
+        begin, block = read("begin", np.uint16), read("block", np.uint32)
+        low, high = (begin[x].astype(np.int64) + (np.searchsorted(block, x, "right") << 16) for x in (distinct, distinct + 1))
+        at, there = hashing.within(read("last", np.uint32), low[back], high[back], last[mine].astype(np.uint32))
+        counts[mine[there]] = self.counts(count, at[there])
+        of, size = np.zeros((len(distinct), 4), np.int64), high - low
         long = size > WIDE
         if long.any():
             of[long] = read("sums", np.int64).reshape(-1, 4)[np.searchsorted(read("wide", np.uint32), distinct[long])]
         short = np.flatnonzero(~long)
         n = size[short]
-        run = np.repeat(begin[distinct[short]].astype(np.int64) - np.cumsum(n) + n, n) + np.arange(n.sum())
-        of[short] = _sums(whole(run), np.cumsum(n) - n)
+        run = np.repeat(low[short] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        of[short] = _sums(self.counts(count, run), np.cumsum(n) - n)
         sums[mine] = of[back]
         return counts, sums
 
@@ -357,7 +375,7 @@ def _count_words(texts: DataFrame, model: Model, size: int, n: int) -> None:
         r = key[0].as_py()
         h, counts = (np.concatenate(x) for x in zip(*(unpack(b) for _, b in sorted(zip(group["part"].to_pylist(), group["blob"].to_pylist(), strict=True))), strict=True))
         folder.write(f"words-{r}", h)
-        folder.write(f"counts-{r}", counts)
+        model.write_counts(f"counts-{r}", counts)
         often = np.flatnonzero(counts >= BUCKET)
         return pa.table({"range": [r], "words": [len(h)], "hot": pa.array([often.tolist()], pa.list_(pa.int64())), "times": pa.array([counts[often].tolist()], pa.list_(pa.int64()))})
 
@@ -432,7 +450,7 @@ def _count_ngrams(texts: DataFrame, model: Model) -> None:
         (last,), (n,) = _gathered(group["blob"].to_pylist(), 1)
         dense = np.zeros(model.offsets[r + 1] - model.offsets[r], np.int64)
         dense[last.astype(np.int64) - model.offsets[r]] = n
-        folder.write(f"follows-{r}", dense)
+        model.write_counts(f"follows-{r}", dense)
         return _rows([{"kind": "told", "part": r, "blob": pack(_spread(n))}])
 
     kept = common.cut(_sent(texts, ngrams, model.bucket, "ngrams").groupBy("part").applyInArrow(keep, ROWS))
