@@ -113,14 +113,20 @@ def hash_of(value: str) -> int:
 
 def within(values: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each sorted slice values[low:high], the first place that isn't below the wanted value, and whether it equals it."""
-    low, top = low.astype(np.int64), high.astype(np.int64)
-    end, left = top.copy(), np.flatnonzero(low < top)
-    while len(left):
-        a, b = low[left], top[left]
-        middle = (a + b) >> 1
-        below = values[middle] < wanted[left]
-        low[left], top[left] = np.where(below, middle + 1, a), np.where(below, b, middle)
-        left = left[low[left] < top[left]]
-    inside = low < end
-    inside[inside] = values[low[inside]] == wanted[inside]
-    return low, inside
+    place, size = low.astype(np.int64), high.astype(np.int64) - low.astype(np.int64)
+    some = np.flatnonzero(size > 0)
+    steps = np.frexp((size[some] - 1).astype(np.float64))[1].astype(np.uint8)  # halvings until one value is left
+    order = np.argsort(~steps, kind="stable")  # the longest slices first, so that each halving takes the first ones
+    some, left = some[order], np.cumsum(np.bincount(steps, minlength=1)[::-1])[::-1]
+    at, n, want = place[some], size[some], wanted[some]
+    for m in left[1:].tolist():
+        half = n[:m] >> 1
+        at[:m] += half * (values[at[:m] + half - 1] < want[:m])
+        n[:m] -= half
+    found = np.zeros(len(size), bool)
+    if len(some):
+        at += values[at] < want
+        last = at < high[some]
+        last[last] = values[at[last]] == want[last]
+        place[some], found[some] = at, last
+    return place, found

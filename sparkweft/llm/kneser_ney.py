@@ -39,7 +39,7 @@ END = np.uint64(0xE0D0E0D0E0D0E0D1)
 #: Bytes of text to a part of the counted words, words to a range, tokens to a bucket of n-grams, and entries that a task gathers before it sends them.
 PART_BYTES, RANGE, BUCKET, GATHER = 16 << 20, 1 << 22, 1 << 21, 1 << 21
 #: Last words from which on a context's sums are kept; runs of texts that are looked up together.
-WIDE, TOGETHER = 32, 4
+WIDE, TOGETHER = 32, 8
 #: Bytes of a model that workers map; beyond, n-grams are sent to their buckets.
 MAPPED = 64 << 30
 
@@ -63,9 +63,20 @@ def _new(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
 
 
+def _order(keys: list[np.ndarray]) -> np.ndarray:
+    """An order of the entries by one or two arrays of keys, the second ones below 2**32; equal entries come in any order."""
+    order = np.argsort(keys[0])
+    if len(keys) == 1:
+        return order
+    rank = np.zeros(len(order), np.uint64)
+    rank[order[_new(keys[0][order])[1:]]] = 1
+    rank[order] = np.cumsum(rank[order])
+    return np.argsort(rank << np.uint64(32) | keys[1].astype(np.uint64))
+
+
 def _summed(keys: list[np.ndarray], *values: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Distinct entries (arrays of keys, the first one first), in order, with the sums of their values; ones without any."""
-    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+    order = _order(keys)
     keys = [k[order] for k in keys]
     new = np.ones(len(order), bool)
     new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
@@ -295,12 +306,13 @@ class Model:
         number, seen, follows = self.numbers(distinct)
         own = np.maximum(follows - self.discounts[0][np.minimum(follows, 3)], 0) / max(1, self.types) + self.spare / (self.words + 1)
         context, last = self.ngrams(number[back], count)
-        order = np.lexsort((last, context))
+        order = _order([context, last])
+        context, last = context[order], last[order]
         new = np.ones(len(order), bool)
-        new[1:] = (context[order][1:] != context[order][:-1]) | (last[order][1:] != last[order][:-1])
+        new[1:] = (context[1:] != context[:-1]) | (last[1:] != last[:-1])
         which = np.empty(len(order), np.int64)
         which[order] = np.cumsum(new) - 1
-        return seen[back], own[back], context[order][new], last[order][new], which
+        return seen[back], own[back], context[new], last[new], which
 
 
 def _discounts(n: np.ndarray) -> np.ndarray:
