@@ -12,7 +12,8 @@ A context's sums are those of its run, or are kept where that is long. An n-gram
 more tokens than a bucket should hold ("hot") goes to one of several buckets; the sums of its contexts,
 and the bigrams of the middle word, are put together in buckets of their own, by their own keys.
 
-Counting aggregates before each shuffle: a task sends sorted arrays of distinct entries, one a bucket.
+Counting aggregates before each shuffle: a task sends sorted arrays of distinct entries, one a bucket;
+a shuffle has as many partitions as there are buckets, so that a task reads as much at every size.
 Files are written under another name and renamed, with contents that depend on the input alone, so
 tasks may run again. Texts are scored where they lie, by looking up their distinct n-grams in the mapped
 arrays; with a model beyond MAPPED bytes the n-grams go to the tasks of their buckets instead, and
@@ -376,7 +377,7 @@ def _count_words(texts: DataFrame, model: Model, size: int, n: int) -> None:
         (h,), (counts,) = _gathered(group["blob"].to_pylist(), 1)
         return pa.table({"part": [key[0].as_py()], "words": [len(h)], "tokens": [int(counts.sum())], "blob": [pack(h, counts)]})
 
-    counted = common.cut(_sent(texts, words, model.part_of, "words").groupBy("part").applyInArrow(count, "part long, words long, tokens long, blob binary"))
+    counted = common.cut(_sent(texts, words, model.part_of, "words").repartition(model.parts, "part").groupBy("part").applyInArrow(count, "part long, words long, tokens long, blob binary"))
     total = counted.agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens")).first()
     model.words, model.tokens = total.words, total.tokens
     if model.words >= (1 << 32) - 1:
@@ -465,7 +466,7 @@ def _count_ngrams(texts: DataFrame, model: Model) -> None:
         model.write_counts(f"follows-{r}", dense)
         return _rows([{"kind": "told", "part": r, "blob": pack(_spread(n))}])
 
-    kept = common.cut(_sent(texts, ngrams, model.bucket, "ngrams").groupBy("part").applyInArrow(keep, ROWS))
+    kept = common.cut(_sent(texts, ngrams, model.bucket, "ngrams").repartition(model.buckets, "part").groupBy("part").applyInArrow(keep, ROWS))
     both = kept.where("kind IN ('shared', 'pair')")
     if not both.isEmpty():
         merged = common.cut(both.groupBy("kind", "part").applyInArrow(merge, ROWS))
@@ -572,7 +573,7 @@ def _routed(texts: DataFrame, model: Model, schema: str, names: list[str]) -> Da
         return pa.Table.from_arrays([pa.concat_arrays(x) for x in zip(*columns, strict=True)], names)
 
     asked = common.cut(texts.mapInArrow(ask, sent))
-    answered = asked.where("part >= 0").select("batch", "part", "blob").groupBy("part").applyInArrow(answer, "batch long, part long, blob binary")
+    answered = asked.where("part >= 0").select("batch", "part", "blob").repartition(model.buckets, "part").groupBy("part").applyInArrow(answer, "batch long, part long, blob binary")
     return asked.where("part < 0").select("batch", "blob", "ids").groupBy("batch").cogroup(answered.groupBy("batch")).applyInArrow(put, schema)
 
 
