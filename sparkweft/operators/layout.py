@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
+from ..functions.lineage import cut, kept, to_all
 from ..functions.numbering import numbered
 from .graph import PropertyGraph
 from .traverse import reached
@@ -28,15 +28,20 @@ def node_levels(graph: PropertyGraph) -> DataFrame:
     Where there is none, the roots are the nodes that no edge enters, or else the first node. What no
     root reaches has the level of synthetic nodes, or that of its type.
     """
-    contains = cut(graph.edges.where("type = 'CONTAINS'").select("source", "target").distinct())
-    inside = contains.select(F.col("source").alias("id")).union(contains.select("target")).distinct()
-    roots = contains.select(F.col("source").alias("id")).distinct().join(contains.select(F.col("target").alias("id")), "id", "left_anti")
+    contains = kept(graph.edges.where("type = 'CONTAINS'").select("source", "target").distinct())
+    holders = kept(contains.select(F.col("source").alias("id")).distinct())
+    n = holders.count()
+    entered = contains.select(F.col("target").alias("id")).join(to_all(holders, n), "id", "left_semi")
+    roots = kept(holders.join(entered, "id", "left_anti"))
+    among = None
     if roots.isEmpty():
-        entered = graph.edges.select(F.col("target").alias("id"))
-        roots = graph.nodes.select("id").join(entered, "id", "left_anti")
+        among = contains.select(F.col("source").alias("id")).union(contains.select("target")).distinct()
+        roots = graph.nodes.select("id").join(graph.edges.select(F.col("target").alias("id")), "id", "left_anti")
         if roots.isEmpty():
             roots = graph.nodes.orderBy("node_ord").limit(1).select("id")
-    depth = reached(roots, contains.toDF("at", "to")).join(inside, "id", "left_semi")
+    depth = reached(roots, contains.toDF("at", "to"), starts=(holders, n))
+    if among is not None:
+        depth = depth.join(among, "id", "left_semi")  # other roots need not contain anything
     synthetic = F.coalesce("is_synthetic", F.lit(False)) | (F.col("type") == "UnresolvedReference")
     return graph.nodes.join(depth, "id", "left").select("id", F.coalesce("hop", F.when(synthetic, SYNTHETIC_LEVEL), _level_of_type()).alias("level"))
 
