@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import mmap
 import os
 import struct
+import sys
 import uuid
 from collections import OrderedDict
 
@@ -12,7 +14,7 @@ import numpy as np
 from . import common
 
 #: Arrays that a worker holds mapped, and bytes of those that it had to read whole because the folder isn't a local path.
-MAPS, HELD = 512, 256 << 20
+MAPS, HELD = 16384 if sys.version_info >= (3, 13) else 512, 256 << 20
 _HEADER = struct.Struct("<8sq")  # the kind of the entries, and how many
 _maps: OrderedDict[str, np.ndarray] = OrderedDict()
 _read: dict[str, int] = {}  # bytes of the arrays that were read whole
@@ -68,8 +70,10 @@ class Folder:
         if isinstance(system, fs.LocalFileSystem):
             with open(path, "rb") as f:
                 stored, n = _HEADER.unpack(f.read(_HEADER.size))
-            stored = np.dtype(stored.rstrip(b"\0").decode())
-            return _kept(key, np.memmap(path, stored, "r", _HEADER.size, (n,)) if n else np.zeros(0, stored))
+                stored = np.dtype(stored.rstrip(b"\0").decode())
+                # A map that holds no open file, where Python has such ones.
+                held = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **({"trackfd": False} if sys.version_info >= (3, 13) else {}))
+            return _kept(key, np.frombuffer(held, stored, n, _HEADER.size))
         with system.open_input_stream(path) as f:
             raw = f.read()
         stored, n = _HEADER.unpack_from(raw)

@@ -262,9 +262,12 @@ class Model:
         sums[mine] = of[back]
         return counts, sums
 
-    def _parts(self, level: int, context: np.ndarray, last: np.ndarray, bucket: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """What n-grams of a bucket have at a level: the discounted share, and the weight of what is shorter."""
-        counts, sums = self.look(level, bucket, context, last)
+    def _parts(self, level: int, context: np.ndarray, last: np.ndarray, places: list, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What n-grams have at a level: the discounted share, and the weight of what is shorter."""
+        counts, sums = np.zeros(len(context), np.int64), np.zeros((len(context), 4), np.int64)
+        for p, at in places:
+            counts[at], sums[at] = self.look(level, p, context[at], last[at])
+        # Those of hot words lie by their own keys: all buckets' ones together, so that each file is read once.
         if hot.any():
             keys = context[hot]
             if level == 2:
@@ -291,16 +294,20 @@ class Model:
         high = np.where(sums[:, 0] > 0, np.maximum(counts - d[np.minimum(counts, 3)], 0) / total, 0.0)
         return high, np.where(sums[:, 0] > 0, sums[:, 1:] @ d[1:] / total, 1.0)
 
-    def answers(self, bucket: int, context: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of n-grams of a bucket: a and b of their probability a + b p, where p is the last word's own."""
+    def answers(self, places: list, context: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of n-grams, with their buckets and places there: a and b of their probability a + b p, where p is the last word's own."""
         middle = context >> np.uint64(32)
         hot = self.hot(middle) > 1
-        high, weight = self._parts(2, middle << np.uint64(32), last, bucket, hot)
+        high, weight = self._parts(2, middle << np.uint64(32), last, places, hot)
         if self.order == 3:
-            top, more = self._parts(3, context, last, bucket, hot)
+            top, more = self._parts(3, context, last, places, hot)
             return top + more * high, more * weight
         return high, weight
 
+    def together(self) -> int:
+        """Runs of texts that are looked up together: more with more buckets, each of which a lookup may open."""
+        return max(TOGETHER, self.buckets // 8)
+
     def prepared(self, count: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         """Of texts' tokens: training counts and own probabilities of all; distinct n-grams, and which one each token is."""
         distinct, back = np.unique(h, return_inverse=True)
@@ -487,12 +494,12 @@ def _count_ngrams(texts: DataFrame, model: Model) -> None:
     model.bytes = int(6 * spreads[1][5] + 20 * spreads[0][5] + 24 * model.words)  # about
 
 
-def _batches(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _batches(texts: pa.Array, together: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """As _tokens, several runs together."""
     held = []
     for found in _tokens(texts):
         held.append(found)
-        if len(held) == TOGETHER:
+        if len(held) >= together:
             yield held[0][0], np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
             held = []
     if held:
@@ -519,11 +526,9 @@ def score(docs: DataFrame, model: Model, routed: bool | None = None) -> DataFram
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for _, count, h in _batches(batch.column(1)):
+        for _, count, h in _batches(batch.column(1), model.together()):
             seen, own, context, last, which = model.prepared(count, h)
-            a, b = np.empty(len(context)), np.empty(len(context))
-            for p, at in _split(model.bucket(context, last)):
-                a[at], b[at] = model.answers(p, context[at], last[at])
+            a, b = model.answers(list(_split(model.bucket(context, last))), context, last)
             out.append(_told(model, count, seen, a[which] + b[which] * own))
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.concatenate(x)) for x in zip(*out, strict=True))], names)
 
@@ -546,7 +551,7 @@ def _routed(texts: DataFrame, model: Model, schema: str, names: list[str]) -> Da
                 types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(some.schema.field(0).type)]
                 row = lambda *x, types=types: pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(x, types, strict=True)], ["batch", "part", "blob", "ids"])
                 ids = some.column(0).to_pylist()
-                for begin, count, h in _batches(some.column(1)):
+                for begin, count, h in _batches(some.column(1), model.together()):
                     seen, own, context, last, which = model.prepared(count, h)
                     places = list(_split(model.bucket(context, last)))
                     for p, at in places:
@@ -559,7 +564,7 @@ def _routed(texts: DataFrame, model: Model, schema: str, names: list[str]) -> Da
         out = []
         for batch, blob in zip(group["batch"].to_pylist(), group["blob"].to_pylist(), strict=True):
             context, last = unpack(blob)
-            out.append({"batch": batch, "part": key[0].as_py(), "blob": pack(*model.answers(key[0].as_py(), context, last.astype(np.uint64)))})
+            out.append({"batch": batch, "part": key[0].as_py(), "blob": pack(*model.answers([(key[0].as_py(), slice(None))], context, last.astype(np.uint64)))})
         return pa.Table.from_pylist(out, pa.schema([("batch", pa.int64()), ("part", pa.int64()), ("blob", pa.binary())]))
 
     def put(texts_, answers):

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from sparkweft.llm import kneser_ney as K
@@ -114,3 +115,21 @@ def test_the_query_against_brute_force(spark):
 def test_documents_without_an_id_are_learned_from(spark):
     docs = spark.createDataFrame([(None, "a b"), (3, "a")], "doc_id long, text string")
     assert docs.where(~K.held_out()).count() == 2
+
+
+def test_a_lookup_reads_each_file_of_hot_words_once_whatever_the_buckets(spark, monkeypatch):
+    monkeypatch.setattr(K, "BUCKET", 40)
+    docs = spark.createDataFrame([(i, " ".join(f"the w{(i * j) % 97} of the v{j % 13}" for j in range(30))) for i in range(60)], "doc_id long, text string")
+    model = K.train(docs)
+    count, h = next(x[1:] for x in K._tokens(pa.array([r.text for r in docs.collect()])))
+    _, _, context, last, _ = model.prepared(count, h)
+    read, opened = model.folder.read, []
+    monkeypatch.setattr(type(model.folder), "read", lambda self, name, kind: opened.append(name) or read(name, kind))
+    places = list(K._split(model.bucket(context, last)))
+    a, b = model.answers(places, context, last)
+    shared = [n for n in opened if n.startswith(("shared-", "pair-"))]
+    assert len(places) > 8 and shared and len(shared) == len(set(shared))
+    for p, at in places:  # the same as bucket by bucket
+        x, y = model.answers([(p, slice(None))], context[at], last[at])
+        assert (x == a[at]).all() and (y == b[at]).all()
+    model.delete()
