@@ -31,3 +31,14 @@ def _rows(df) -> list:
 def test_dependencies_shuffle_types_and_no_sets(large):
     plan = depends.file_dependencies(large.edges)._jdf.queryExecution().executedPlan().toString()
     assert "partial_collect_set" in plan and plan.index("partial_collect_set") < plan.index("REPARTITION_BY_COL")  # printed from the top
+
+
+def test_induced_edges_are_not_shuffled(spark, large):
+    gone = large.nodes.where("is_synthetic OR id = 'dir:3'").select("id")
+    ids = large.nodes.join(gone, "id", "left_anti").select("id")
+    found = query.induced(large.edges.where("type <> 'INHERITS'"), ids)
+    assert "LeftSemi" not in _plan(found)
+    lost = {r.id for r in gone.collect()}
+    assert _rows(found) == [r for r in _rows(large.edges) if r[2] != "INHERITS" and not lost & {r[0], r[1]}]
+    made = spark.createDataFrame([("a", "b"), ("a", None), ("c", "a"), ("b", "a")], "source string, target string").withColumn("type", F.lit("CALLS"))
+    assert _rows(query.induced(made, spark.createDataFrame([("a",), ("b",), ("b",)], "id string"))) == [("a", "b", "CALLS"), ("b", "a", "CALLS")]
