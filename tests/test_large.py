@@ -42,3 +42,9 @@ def test_induced_edges_are_not_shuffled(spark, large):
     assert _rows(found) == [r for r in _rows(large.edges) if r[2] != "INHERITS" and not lost & {r[0], r[1]}]
     made = spark.createDataFrame([("a", "b"), ("a", None), ("c", "a"), ("b", "a")], "source string, target string").withColumn("type", F.lit("CALLS"))
     assert _rows(query.induced(made, spark.createDataFrame([("a",), ("b",), ("b",)], "id string"))) == [("a", "b", "CALLS"), ("b", "a", "CALLS")]
+
+
+def test_edges_that_touch_nodes(spark, large):
+    gone = large.nodes.where("id IN ('dir:3', 'file:s1')").select("id")
+    want = [r for r in _rows(large.edges) if {r[0], r[1]} & {"dir:3", "file:s1"}]
+    assert want and _rows(query.touching(large.edges, gone.union(gone))) == want
