@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import schema as S
+from ..functions.lineage import kept, to_all
 from .graph import PropertyGraph
+from .query import missing_ends
 
 
 @dataclass(frozen=True)
@@ -47,17 +49,21 @@ def validation_issues(graph: PropertyGraph) -> DataFrame:
         ("ERROR", "synthetic_node", text("Synthetic node '", "$id", "' has type '", "$type", "'."), known & synthetic & (kind != S.PLACEHOLDER)),
         ("WARNING", "synthetic_node", text("Synthetic node '", "$id", "' is not marked unresolved."), known & synthetic & ~F.coalesce(F.col("resolved") == False, F.lit(False))),  # noqa: E712
     ])
-    ids = graph.nodes.groupBy("id").agg(F.max(flag("is_synthetic")).alias("syn"))
-    sources, targets = ids.select(F.col("id").alias("source"), F.lit(True).alias("has_source")), ids.select(F.col("id").alias("target"), F.col("syn").alias("target_synthetic"), F.lit(True).alias("has_target"))
-    edges = graph.edges.join(sources, "source", "left").join(targets, "target", "left")
     rel = S.normalised(F.col("type"), S.RELATIONSHIP_LOOKUP)
     unresolved = flag("is_unresolved") | F.startswith("target", F.lit("unresolved:"))
+    # Few edges lack an end, and few nodes are targets of unresolved calls: edges stay where they are.
+    lost = missing_ends(graph.edges, graph.nodes.select("id"))
+    called = kept(graph.edges.where((rel == "CALLS") & unresolved).select(F.col("target").alias("id")).distinct())
+    real = kept(graph.nodes.select("id", flag("is_synthetic").alias("syn")).join(to_all(called, called.count()), "id", "left_semi").groupBy("id").agg(F.max("syn").alias("syn")).where("NOT syn"))
+    m = lost.count()
+    no = lambda end: to_all(lost.select(F.col("id").alias(end), F.lit(True).alias(f"no_{end}")), m)
+    edges = graph.edges.join(no("source"), "source", "left").join(no("target"), "target", "left").join(to_all(real.select(F.col("id").alias("target"), F.lit(True).alias("target_real")), real.count()), "target", "left")
     return nodes.union(_issues(edges, F.coalesce("id", "key"), [
-        ("ERROR", "missing_source", text("Source '", "$source", "' does not exist."), F.col("has_source").isNull()),
-        ("ERROR", "missing_target", text("Target '", "$target", "' does not exist."), F.col("has_target").isNull()),
+        ("ERROR", "missing_source", text("Source '", "$source", "' does not exist."), flag("no_source") | F.col("source").isNull()),
+        ("ERROR", "missing_target", text("Target '", "$target", "' does not exist."), flag("no_target") | F.col("target").isNull()),
         ("ERROR", "relationship_type", text("Relationship type '", "$type", "' is invalid."), rel.isNull()),
         ("WARNING", "deprecated_relationship", text("Relationship type DEFINED_IN is deprecated."), F.coalesce(rel == "DEFINED_IN", F.lit(False))),
-        ("ERROR", "unresolved_reference", text("Unresolved call's target '", "$target", "' is not synthetic."), F.coalesce((rel == "CALLS") & unresolved & F.col("has_target") & ~F.col("target_synthetic"), F.lit(False))),
+        ("ERROR", "unresolved_reference", text("Unresolved call's target '", "$target", "' is not synthetic."), F.coalesce((rel == "CALLS") & unresolved & F.col("target_real"), F.lit(False))),
     ]))
 
 

@@ -48,3 +48,14 @@ def test_edges_that_touch_nodes(spark, large):
     gone = large.nodes.where("id IN ('dir:3', 'file:s1')").select("id")
     want = [r for r in _rows(large.edges) if {r[0], r[1]} & {"dir:3", "file:s1"}]
     assert want and _rows(query.touching(large.edges, gone.union(gone))) == want
+
+
+def test_validation_does_not_shuffle_the_edges(spark, large):
+    broken = PropertyGraph(large.nodes.where("id <> 'dir:3'").withColumn("is_synthetic", F.lit(False)), large.edges)
+    issues = validate.validation_issues(broken)
+    assert "join" not in _plan(issues).lower() or "rightHint=(strategy=broadcast)" in _plan(issues)
+    got = sorted((r.category, r.element_id) for r in issues.where("category IN ('missing_source', 'missing_target', 'unresolved_reference')").collect())
+    name = lambda r: f"rel:{r[2].lower()}:{r[0]}->{r[1]}"
+    edges = _rows(large.edges)
+    want = [("missing_source", name(r)) for r in edges if r[0] == "dir:3"] + [("missing_target", name(r)) for r in edges if r[1] == "dir:3"]
+    assert got == sorted(want + [("unresolved_reference", name(r)) for r in edges if r[1].startswith("unresolved:")])
