@@ -59,3 +59,11 @@ def test_validation_does_not_shuffle_the_edges(spark, large):
     edges = _rows(large.edges)
     want = [("missing_source", name(r)) for r in edges if r[0] == "dir:3"] + [("missing_target", name(r)) for r in edges if r[1] == "dir:3"]
     assert got == sorted(want + [("unresolved_reference", name(r)) for r in edges if r[1].startswith("unresolved:")])
+
+
+def test_a_small_front_filters_steps_below_their_shuffles(spark, large):
+    front = large.nodes.where("type = 'File'").select("id")
+    after = traverse._after(front, front.count(), traverse._steps(large, None, "out"))
+    assert "LeftSemi" in _plan(after)
+    inside = {r.id for r in front.collect()}
+    assert sorted(r.to for r in after.collect()) == sorted(r[1] for r in _rows(large.edges) if r[0] in inside)
