@@ -28,7 +28,7 @@ def node_levels(graph: PropertyGraph) -> DataFrame:
     Where there is none, the roots are the nodes that no edge enters, or else the first node. What no
     root reaches has the level of synthetic nodes, or that of its type.
     """
-    contains = kept(graph.edges.where("type = 'CONTAINS'").select("source", "target").distinct())
+    contains = kept(graph.edges.where("type = 'CONTAINS'").select("source", "target"))
     holders = kept(contains.select(F.col("source").alias("id")).distinct())
     n = holders.count()
     entered = contains.select(F.col("target").alias("id")).join(to_all(holders, n), "id", "left_semi")

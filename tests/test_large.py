@@ -67,3 +67,11 @@ def test_a_small_front_filters_steps_below_their_shuffles(spark, large):
     assert "LeftSemi" in _plan(after)
     inside = {r.id for r in front.collect()}
     assert sorted(r.to for r in after.collect()) == sorted(r[1] for r in _rows(large.edges) if r[0] in inside)
+
+
+def test_levels_keep_containment_without_a_shuffle(large, monkeypatch):
+    plans = []
+    monkeypatch.setattr(layout, "kept", lambda df: plans.append(_plan(df)) or lineage.kept(df))
+    twice = PropertyGraph(large.nodes, large.edges.union(large.edges))
+    assert sorted(layout.node_levels(twice).collect()) == sorted(layout.node_levels(large).collect())
+    assert not plans[0].startswith("Aggregate")
