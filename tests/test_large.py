@@ -75,3 +75,28 @@ def test_levels_keep_containment_without_a_shuffle(large, monkeypatch):
     twice = PropertyGraph(large.nodes, large.edges.union(large.edges))
     assert sorted(layout.node_levels(twice).collect()) == sorted(layout.node_levels(large).collect())
     assert not plans[0].startswith("Aggregate")
+
+
+@pytest.fixture
+def plain(spark):
+    """Plans as they are before they run, with reused exchanges."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield lambda df: df._jdf.queryExecution().executedPlan().toString().splitlines()
+    spark.conf.unset("spark.sql.adaptive.enabled")
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_all_edges_share_one_shuffle_by_order(spark, large, plain, monkeypatch):
+    lines = plain(large.edges.select("source", "target", "type"))
+    assert sum("Exchange hashpartitioning(l_orderkey" in x and "Reused" not in x for x in lines) == 1
+    monkeypatch.setattr(star, "KEYS", 0)  # tables of keys that are too large to send
+    assert _rows(star.built(spark, SF, derived=False).edges) == _rows(large.edges)
+
+
+def test_filters_of_both_ends_go_below_the_shuffles(spark, large, plain):
+    ids = large.nodes.where("type = 'File'").select("id")
+    found = query.induced(large.edges.where("type = 'CALLS'"), ids, ids.count())
+    lines = plain(found.select("source", "target"))
+    below = [i for i, x in enumerate(lines) if "Exchange hashpartitioning(l_orderkey" in x]
+    assert below and all("LeftSemi" in "".join(lines[i + 1 : i + 4]) for i in below)
