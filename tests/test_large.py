@@ -102,6 +102,26 @@ def test_filters_of_both_ends_go_below_the_shuffles(spark, large, plain):
     assert below and all("LeftSemi" in "".join(lines[i + 1 : i + 4]) for i in below)
 
 
+def test_levels_of_paths_are_shuffled_without_their_paths(spark, large, monkeypatch):
+    want = sorted((r.id, r.depth, list(r.path)) for r in traverse.shortest_paths(large, "repo:1", ["CONTAINS"]).collect())
+    plans = []
+    monkeypatch.setattr(traverse, "kept", lambda df: plans.append(_plan(df)) or lineage.kept(df))
+    monkeypatch.setattr(traverse, "SENT", 40)  # files are more, and so are what they hold
+    got = sorted((r.id, r.depth, list(r.path)) for r in traverse.shortest_paths(large, "repo:1", ["CONTAINS"]).collect())
+    assert got == want and max(x[1] for x in got) == 3
+    levels = [p for p in plans if "min(struct" in p]
+    assert "parent" in levels[0] and not any("path" in x.split("min(struct")[1].split(")")[0] for x in levels[0].splitlines() if "min(struct" in x)
+
+
+def test_nodes_that_lead_nowhere_are_no_front(spark, large, monkeypatch):
+    monkeypatch.setattr(traverse, "SENT", 200)
+    fronts = []
+    monkeypatch.setattr(traverse, "_after", lambda front, n, steps, after=traverse._after: fronts.append(n) or after(front, n, steps))
+    found = traverse.shortest_paths(large, "repo:1", ["CONTAINS"])
+    deepest = found.where("depth = 3").count()
+    assert deepest > 200 and len(fronts) == 3 and max(fronts) < deepest  # classes and functions contain nothing
+
+
 def test_seeds_with_enough_nodes_go_no_further(spark, large):
     questions = large.nodes.where("type = 'Directory'").select(F.expr("CAST(substr(id, 5) AS int)").alias("query_id"), "name").withColumnRenamed("name", "text")
     seeds = large.nodes.where("type = 'Directory'").select(F.col("id").alias("seed"))
