@@ -4,9 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkweft.functions import lineage
+from sparkweft.functions import schema as S
 from sparkweft.operators import depends, layout, query, retrieve, traverse, validate
 from sparkweft.operators.graph import PropertyGraph
 from sparkweft.plans import star
+from sparkweft.sources import graph_io
 
 SF = "/root/testdata/sf0.001"
 
@@ -138,3 +140,29 @@ def test_seeds_with_enough_nodes_go_no_further(spark, large):
     for r in retrieve.structural(large, questions, 4, 2, direction="out").orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.entity_id, round(r.score, 6)))
     assert got == {k: v[:4] for k, v in best.items()}
+
+
+def test_tables_are_stored_without_what_follows(spark, large, tmp_path):
+    odd = [
+        ("a", "b", "k", None, "CALLS", None, "{}", False, True, False, None, 3),
+        ("a", "b", "rel:calls:a->b", "rel:calls:a->b", "CALLS", None, None, False, True, False, None, None),
+        ("a", "b", "mine", "mine", "CALLS", None, "{}", False, True, False, "{}", 5),
+        ("b", "a", "other", "rel:holds:b->a", "HOLDS", None, "{}", None, None, None, None, 6),
+        ("b", "a", "untyped", "untyped", None, None, "{}", False, False, False, None, 7),
+    ]
+    edges = large.edges.unionByName(spark.createDataFrame(odd, S.EDGES))
+    nodes = large.nodes.withColumn("node_ord", F.when(F.col("type") != "File", F.col("node_ord")))
+    for at_once in (False, True):
+        path = f"{tmp_path}/{at_once}"
+        graph_io.save_tables(PropertyGraph(nodes, edges, {"a": 1}), path, at_once)
+        stored = spark.read.parquet(f"{path}/edges")
+        assert stored.where("id IS NOT NULL OR key IS NOT NULL OR edge_ord IS NOT NULL").count() <= len(odd)
+        back = graph_io.load_tables(spark, path)
+        assert back.metadata == {"a": 1} and back.nodes.columns == nodes.columns and back.edges.columns == edges.columns
+        for given, got in ((nodes, back.nodes), (edges, back.edges)):
+            assert given.exceptAll(got).isEmpty() and got.exceptAll(given).isEmpty()
+    # Tables of before hold every value.
+    large.nodes.write.parquet(f"{tmp_path}/old/nodes")
+    large.edges.write.partitionBy("type").parquet(f"{tmp_path}/old/edges")
+    spark.createDataFrame([("{}",)], "metadata string").write.json(f"{tmp_path}/old/metadata")
+    assert graph_io.load_tables(spark, f"{tmp_path}/old").edges.exceptAll(large.edges).isEmpty()
