@@ -6,16 +6,18 @@ import json
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import lineage
 from ..functions import schema as S
-from ..functions.lineage import cut
+from ..functions.lineage import cut, dropped, kept, to_all
 from ..functions.scalars import without_prefix
 from .graph import PropertyGraph, dumps
 
 ENTITIES = f"id string, type string, name string, path string, location {S.LOCATION}, properties string, ord long"
 RELATIONSHIPS = f"id string, source string, target string, type string, location {S.LOCATION}, properties string, ord long"
+PASSES = 4  # at most, over parts of the keys, so that a pass shuffles a part of them
 _ERRORS = {e.__name__: e for e in (S.KnowledgeGraphError, S.NodeNotFoundError, S.NodeAlreadyExistsError, S.RelationshipAlreadyExistsError, S.InvalidNodeTypeError, S.InvalidRelationshipTypeError, ValueError)}
 
 
@@ -27,7 +29,7 @@ def _is(json_column: Column, key: str, value: str) -> Column:
 def is_false(json_column: Column, key: str) -> Column:
     """Whether the value is the boolean false: not 0, "false" or null."""
     kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(json_column), f"$.{key}", "variant"))
-    return (kind == "BOOLEAN") & _is(json_column, key, "false")
+    return _is(json_column, key, "false") & (kind == "BOOLEAN")  # few need the second look
 
 
 def is_truthy(json_column: Column, key: str) -> Column:
@@ -64,8 +66,16 @@ def _judged(rows: DataFrame, keys: list[str], values: list[str], order: str) ->
     return rows.withColumn("_first", first).withColumn("fresh", F.col(order) == F.col("_first.o")).withColumn("same", print_.eqNullSafe(F.col("_first.v"))).drop("_first")
 
 
+def _typed_entities(entities: DataFrame) -> DataFrame:
+    return entities.withColumn("_type", S.normalised(F.col("type"), S.NODE_LOOKUP))
+
+
+def _typed_relationships(relationships: DataFrame) -> DataFrame:
+    return relationships.withColumn("_type", S.normalised(F.col("type"), S.RELATIONSHIP_LOOKUP)).withColumn("_key", F.coalesce("id", "_type"))
+
+
 def _judged_entities(entities: DataFrame) -> DataFrame:
-    return _judged(entities.withColumn("_type", S.normalised(F.col("type"), S.NODE_LOOKUP)), ["id"], ["_type", "name", "path", "location", "properties"], "ord")
+    return _judged(_typed_entities(entities), ["id"], ["_type", "name", "path", "location", "properties"], "ord")
 
 
 def _judged_relationships(relationships: DataFrame, ids: DataFrame, made: DataFrame) -> DataFrame:
@@ -74,8 +84,8 @@ def _judged_relationships(relationships: DataFrame, ids: DataFrame, made: DataFr
     there = ids.select("id", F.lit(-1).cast("long").alias("since")).union(made.select("target", "ord"))
     sources, targets = there.toDF("source", "source_since"), there.toDF("target", "target_since")
     # By target first, so that rows lie by source for what follows.
-    known = relationships.join(targets, "target", "left").join(sources, "source", "left").withColumn("_type", S.normalised(F.col("type"), S.RELATIONSHIP_LOOKUP)).withColumn("_key", F.coalesce("id", "_type"))
-    return _judged(known, ["source", "target", "_key"], ["_type", "location", "properties"], "ord")
+    known = relationships.join(targets, "target", "left").join(sources, "source", "left")
+    return _judged(_typed_relationships(known), ["source", "target", "_key"], ["_type", "location", "properties"], "ord")
 
 
 def placeholders(entities: DataFrame, relationships: DataFrame) -> DataFrame:
@@ -93,13 +103,16 @@ def violations(entities: DataFrame, relationships: DataFrame, strict_duplicates:
     return _faults(nodes, _judged_relationships(relationships, ids, placeholders(entities, relationships)), strict_duplicates)
 
 
+def _blank(column: str) -> Column:
+    return F.trim(F.coalesce(F.col(column), F.lit(""))) == ""
+
+
 def _faults(nodes: DataFrame, edges: DataFrame, strict_duplicates: bool) -> DataFrame:
-    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
     fault = lambda rank, error, message: F.struct(F.lit(rank).alias("rank"), F.lit(error).alias("error"), message.alias("message"))
     quoted = lambda c: F.concat(F.lit("'"), F.coalesce(F.col(c), F.lit("None")), F.lit("'"))
     of_node = (
         F.when(F.col("type") == "Module", fault(0, "KnowledgeGraphError", F.concat(F.lit("Invalid entity "), quoted("id"), F.lit(": Module entities are deprecated in v2.0; module_name must be a property on File."))))
-        .when(blank("id") | blank("name"), fault(1, "ValueError", F.concat(F.lit("A node's id and name must not be blank: "), quoted("id"))))
+        .when(_blank("id") | _blank("name"), fault(1, "ValueError", F.concat(F.lit("A node's id and name must not be blank: "), quoted("id"))))
         .when(F.col("_type").isNull(), fault(2, "InvalidNodeTypeError", F.concat(F.lit("Invalid node type "), quoted("type"))))
         .when(~F.col("same"), fault(3, "NodeAlreadyExistsError", F.concat(F.lit("Node "), quoted("id"), F.lit(" already exists with other values."))))
         .when(~F.col("fresh") & F.lit(strict_duplicates), fault(4, "NodeAlreadyExistsError", F.concat(F.lit("Node "), quoted("id"), F.lit(" already exists."))))
@@ -115,11 +128,73 @@ def _faults(nodes: DataFrame, edges: DataFrame, strict_duplicates: bool) -> Data
     return found(nodes, 0, of_node).union(found(edges, 1, of_edge)).select("phase", "ord", "f.*")
 
 
+def _passes(rows: DataFrame, n: int, key: str, found) -> DataFrame:
+    """What found makes of the n rows, kept, from one part of them by their key after another."""
+    passes = max(1, min(PASSES, -(-n // lineage.AT_ONCE)))
+    out = None
+    for i in range(passes):
+        part = kept(found(rows.where(F.pmod(F.xxhash64(key), F.lit(passes)) == i)))
+        out = part if out is None else out.union(part)
+    return out
+
+
+def _marked(rows: DataFrame, key: str, keys: DataFrame, n: int, mark: str) -> DataFrame:
+    """rows with the mark, true where their key is one of the n distinct keys, else null."""
+    return rows.join(to_all(keys.toDF(key).withColumn(mark, F.lit(True)), n), key, "left")
+
+
+def _judged_apart(entities: DataFrame, relationships: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame, int]:
+    """Entities and relationships that are fresh and break no rule, then those in doubt, judged; placeholders; the entities' last place.
+
+    In doubt is what another row may repeat, what may lack an end, and what looks wrong by itself. Only identifiers
+    are kept and compared to find it, so tables without such rows are neither shuffled nor stored with all they hold.
+    """
+    entities, relationships = _typed_entities(entities), _typed_relationships(relationships)
+    wrong_node = F.coalesce((F.col("type") == "Module") | _blank("id") | _blank("name") | F.col("_type").isNull() | F.col("ord").isNull(), F.lit(True))
+    wrong_edge = F.coalesce(F.col("source").isNull() | F.col("target").isNull() | F.col("_type").isNull() | F.col("ord").isNull() | (F.col("ord") < 0), F.lit(True))
+    noted = Observation()
+    ids = kept(entities.observe(noted, F.max("ord").alias("last")).select("id", wrong_node.alias("wrong")))
+    open_ = lambda c: F.when(F.col("is_unresolved"), F.col(c)).alias(c)
+    ends = kept(relationships.select("source", "target", "is_unresolved", open_("ord"), open_("properties"), wrong_edge.alias("wrong")))
+    n_ids, n_ends = ids.count(), ends.count()
+    made = kept(placeholders(ids, ends))
+
+    # Each identifier with the number of its entities; ends that are only looked for count as none.
+    needed = ends.select(F.explode(F.array("source", F.when(~F.col("is_unresolved"), F.col("target")))).alias("id")).where("id IS NOT NULL")
+    each = ids.select("id", F.lit(1).alias("n")).union(needed.withColumn("n", F.lit(0)))
+    odd = _passes(each, n_ids + 2 * n_ends, "id", lambda part: part.groupBy("id").agg(F.sum("n").alias("n")).where("n <> 1"))
+    again, lost = odd.where("n > 1").select("id"), odd.where("n = 0").select("id")
+    # Pairs by a hash: one too many only means that its rows are judged.
+    pairs = ends.select(F.xxhash64("source", "target").alias("_pair"))
+    twice = _passes(pairs, n_ends, "_pair", lambda part: part.repartition("_pair").groupBy("_pair").agg(F.count("*").alias("n")).where("n > 1").select("_pair"))
+    n_again, n_lost, n_twice = again.count(), lost.count(), twice.count()
+
+    judged_nodes = judged_edges = None
+    if n_again or not ids.where("wrong").isEmpty():
+        doubt = F.coalesce("_again", F.lit(False)) | wrong_node
+        marked = _marked(entities, "id", again, n_again, "_again").select(*entities.columns, doubt.alias("_doubt"))
+        judged_nodes = kept(_judged_entities(marked.where("_doubt").drop("_doubt", "_type")))
+        entities = marked.where("NOT _doubt").drop("_doubt")
+    if n_lost or n_twice or not ends.where("wrong").isEmpty():
+        doubt = F.coalesce("_twice", F.lit(False)) | F.coalesce("_source", F.lit(False)) | F.coalesce(F.col("_target") & ~F.col("is_unresolved"), F.lit(False)) | wrong_edge
+        marked = _marked(relationships.withColumn("_pair", F.xxhash64("source", "target")), "_pair", twice, n_twice, "_twice")
+        marked = _marked(_marked(marked, "source", lost, n_lost, "_source"), "target", lost, n_lost, "_target").select(*relationships.columns, doubt.alias("_doubt"))
+        doubted = kept(marked.where("_doubt").drop("_doubt", "_type", "_key"))
+        theirs = kept(doubted.select(F.explode(F.array("source", "target")).alias("id")).distinct())
+        there = ids.select("id").join(to_all(theirs, theirs.count()), "id", "left_semi").distinct()
+        judged_edges = kept(_judged_relationships(doubted, there, made))
+        relationships = marked.where("NOT _doubt").drop("_doubt")
+    dropped(ids)
+    dropped(ends)
+    return entities, relationships, judged_nodes, judged_edges, made, noted.get["last"] or 0
+
+
 def from_tables(entities: DataFrame, relationships: DataFrame, metadata: dict[str, Any] | None = None, strict_duplicates: bool = False, on_missing: str = "error", check: bool = True) -> PropertyGraph:
     """The graph of entities and relationships (columns of ENTITIES and RELATIONSHIPS).
 
     One job looks for broken rules and raises the first. on_missing says what becomes of a relationship
     to a target that neither exists nor is marked unresolved: an error, a placeholder, or nothing (drop).
+    The graph is a plan over the tables, which are read once to be judged and again with the graph.
     """
     if on_missing not in ("error", "placeholder", "drop"):
         raise ValueError(f"on_missing is 'error', 'placeholder' or 'drop', not {on_missing!r}")
@@ -127,31 +202,31 @@ def from_tables(entities: DataFrame, relationships: DataFrame, metadata: dict[st
     if on_missing != "error":
         ids = entities.select(F.col("id").alias("target")).distinct()
         dangling = relationships.where("NOT is_unresolved").join(ids, "target", "left_anti")
-        kept = relationships.join(dangling.select("ord"), "ord", "left_anti")
-        relationships = kept if on_missing == "drop" else kept.unionByName(dangling.withColumn("is_unresolved", F.lit(True)).select(*kept.columns))
-    # Both tables are judged once; the check and the graph read the same rows.
-    judged = cut(_judged_entities(entities))
-    ids = judged.where("fresh").select("id")
-    made = cut(placeholders(ids, relationships))
-    edges = cut(_judged_relationships(relationships, ids, made))
+        sound = relationships.join(dangling.select("ord"), "ord", "left_anti")
+        relationships = sound if on_missing == "drop" else sound.unionByName(dangling.withColumn("is_unresolved", F.lit(True)).select(*sound.columns))
+    entities, relationships, judged, edges, made, last = _judged_apart(entities, relationships)
+    if judged is None:
+        judged = entities.withColumns({"fresh": F.lit(True), "same": F.lit(True)}).limit(0)
+    if edges is None:
+        nowhere = F.lit(None).cast("long")
+        edges = relationships.withColumns({"source_since": nowhere, "target_since": nowhere, "fresh": F.lit(True), "same": F.lit(True)}).limit(0)
     if check:
         first = _faults(judged, edges, strict_duplicates).orderBy("phase", "ord", "rank").head()
         if first:
             raise _ERRORS[first.error](first.message)
     nothing = F.lit(None).cast("string")
-    nodes = judged.where("fresh").select(
+    nodes = entities.unionByName(judged.where("fresh").select(*entities.columns)).select(
         "id", F.col("_type").alias("type"), "name", "path", "location", "properties",
         F.lit(False).alias("is_synthetic"), F.lit(True).alias("resolved"), nothing.alias("raw_call"), nothing.alias("extra"), F.col("ord").alias("node_ord"),
     )
-    after = (judged.agg(F.max("ord")).first()[0] or 0) + 1
     placed = made.select(
         F.col("target").alias("id"), F.lit(S.PLACEHOLDER).alias("type"), F.col("raw_call").alias("name"), nothing.alias("path"), F.lit(None).cast(S.LOCATION).alias("location"), "properties",
-        F.lit(True).alias("is_synthetic"), F.lit(False).alias("resolved"), "raw_call", nothing.alias("extra"), (F.lit(after) + F.col("ord")).alias("node_ord"),
+        F.lit(True).alias("is_synthetic"), F.lit(False).alias("resolved"), "raw_call", nothing.alias("extra"), (F.lit(last + 1) + F.col("ord")).alias("node_ord"),
     )
-    kept = edges.where("fresh").select(
+    kept_edges = relationships.unionByName(edges.where("fresh").select(*relationships.columns)).select(
         "source", "target", F.col("_key").alias("key"), "id", F.col("_type").alias("type"), "location", "properties", "is_derived", "is_primitive", "is_unresolved", nothing.alias("extra"), F.col("ord").alias("edge_ord"),
     )
-    return PropertyGraph(nodes.unionByName(placed), kept, metadata or {})
+    return PropertyGraph(nodes.unionByName(placed), kept_edges, metadata or {})
 
 
 def _loaded(data: dict | str | Path) -> dict:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sparkweft.functions import lineage
 from sparkweft.functions import schema as S
-from sparkweft.operators import depends, layout, query, retrieve, traverse, validate
+from sparkweft.operators import build, depends, layout, query, retrieve, traverse, validate
 from sparkweft.operators.graph import PropertyGraph
 from sparkweft.plans import star
 from sparkweft.sources import graph_io
@@ -166,3 +166,28 @@ def test_tables_are_stored_without_what_follows(spark, large, tmp_path):
     large.edges.write.partitionBy("type").parquet(f"{tmp_path}/old/edges")
     spark.createDataFrame([("{}",)], "metadata string").write.json(f"{tmp_path}/old/metadata")
     assert graph_io.load_tables(spark, f"{tmp_path}/old").edges.exceptAll(large.edges).isEmpty()
+
+
+def test_built_graphs_keep_identifiers_alone(spark, large, monkeypatch):
+    wide = []
+    for name in ("cut", "kept"):
+        monkeypatch.setattr(build, name, lambda df, keep=getattr(lineage, name): wide.append(df.columns) or keep(df), raising=False)
+    entities = large.nodes.where("NOT is_synthetic").select("id", "type", "name", "path", "location", "properties", F.col("node_ord").alias("ord"))
+    relationships = large.edges.select("id", "source", "target", "type", "location", "properties", F.abs("edge_ord").alias("ord"))
+    graph = build.from_tables(entities, relationships)
+    assert wide and not any({"name", "location"} & set(columns) for columns in wide)
+    assert _rows(graph.edges) == _rows(large.edges)
+    assert sorted(r.id for r in graph.nodes.select("id").collect()) == sorted(r.id for r in large.nodes.collect())
+    # Rows in doubt: a repeated node and edge, an edge whose target is only a later placeholder, and one without its source.
+    more = spark.createDataFrame([("file:x", "File", "x", "x", None, "{}", 1), ("file:x", "File", "x", "x", None, "{}", 2), (None, "File", "y", "y", None, "{}", 3)], build.ENTITIES)
+    edge = lambda id_, source, target, ord_, properties="{}": (id_, source, target, "CALLS", None, properties, ord_)
+    rows = [edge("a", "file:x", "file:c0", 1), edge("a", "file:x", "file:c0", 2), edge("b", "file:x", "late", 5), edge("c", "file:x", "late", 6, '{"resolved":false}'), edge("d", "gone", "file:c0", 7), edge("e", "file:x", "late", 8)]
+    some, edges = entities.union(more), relationships.union(spark.createDataFrame(rows, build.RELATIONSHIPS))
+    first = build.violations(some, build.flagged(edges)).orderBy("phase", "ord", "rank").collect()
+    assert [(r.error, r.ord) for r in first] == [("ValueError", 3), ("NodeNotFoundError", 5), ("NodeNotFoundError", 7)]
+    with pytest.raises(ValueError, match="'None'"):
+        build.from_tables(some, edges)
+    with pytest.raises(S.NodeNotFoundError, match="'late'"):
+        build.from_tables(some.where("id IS NOT NULL"), edges)
+    free = build.from_tables(some, edges, check=False)
+    assert free.edges.count() == large.edges.count() + 5 and free.nodes.count() == large.nodes.count() + 3
